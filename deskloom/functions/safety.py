@@ -3,7 +3,7 @@
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from deskloom import fixed, kernels
 
@@ -40,7 +40,7 @@ def _wide(pattern: str) -> str:
 def _suspect(rules):
     pattern = "(?is)" + "|".join(f"(?:{_wide(p)})" for _, _, p, _ in rules)
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf(T.BooleanType())
     def suspect(text: pa.Array) -> pa.Array:
         return kernels.matches(text, pattern)
 

@@ -1,7 +1,7 @@
 """Text expressions: trimming, normalising, tokens."""
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from deskloom import fixed, kernels
 
@@ -29,7 +29,7 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
     return kernels.nfkc(text)
 

@@ -121,9 +121,14 @@ def tool_conformance(rows: DataFrame, tools: DataFrame, key: str = "ticket_id")
     )
     calls = calls.withColumn("names", F.transform("calls", lambda c: c["name"]))
     flat = calls.select(key, "names", F.posexplode("calls").alias("position", "call")).select(
-        key, "position", F.col("call.name").alias("action"), F.col("call.given").alias("given"), "names"
+        key,
+        "position",
+        F.col("call.name").alias("action"),
+        F.col("call.given").alias("given"),
+        "names",
+        catalogue.alias("catalogue"),
     )
-    spec = F.get(F.filter(catalogue, lambda x: x["name"] == F.col("action")), F.lit(0))["parameters"]
+    spec = F.get(F.filter("catalogue", lambda x: x["name"] == F.col("action")), F.lit(0))["parameters"]
     flat = flat.withColumn("spec", spec)
     none = F.array().cast("array<string>")
     given = F.coalesce(F.map_keys("given"), none)
@@ -135,7 +140,7 @@ def tool_conformance(rows: DataFrame, tools: DataFrame, key: str = "ticket_id")
         return F.when(wanted == "string", kind == "STRING").when(wanted == "number", number).otherwise(True)
 
     known = F.col("spec").isNotNull()
-    missing = F.array_sort(F.array_except(F.coalesce("spec.required", none), given))
+    missing = F.array_sort(F.array_except(F.coalesce(F.col("spec.required"), none), given))
     unknown = F.when(known, F.array_sort(F.array_except(given, F.coalesce(F.map_keys("spec.properties"), none)))).otherwise(none)
     wrong = F.array_sort(F.filter(given, lambda n: ~F.coalesce(right_type(n), F.lit(True))))
     checked_before = F.array_contains(F.slice("names", F.lit(1), F.col("position")), fixed.VERIFY_TOOL)

@@ -52,18 +52,13 @@ def misfiled(documents: DataFrame, vocab_size: int = fixed.VOCABULARY) -> DataFr
 def language(text: Column, profiles=fixed.LANGUAGE_WORDS) -> Column:
     """The language whose function words a text uses most; ties by name."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))
-    return F.transform(
-        F.array(found),
-        lambda words: F.array_max(
-            F.array(
-                *[
-                    F.struct(
-                        F.size(F.filter(words, lambda w, p=profile: w.isin(list(p)))).alias("hits"),
-                        F.lit(-place).alias("order"),
-                        F.lit(name).alias("language"),
-                    )
-                    for place, (name, profile) in enumerate(sorted(profiles.items()))
-                ]
-            )
-        ),
-    )[0]["language"]
+
+    def score(words: Column, place: int, name: str) -> Column:
+        hits = F.size(F.filter(words, lambda w: w.isin(profiles[name])))
+        return F.struct(hits.alias("hits"), F.lit(-place).alias("order"), F.lit(name).alias("language"))
+
+    def best(words: Column) -> Column:
+        return F.array_max(F.array(*[score(words, place, name) for place, name in enumerate(sorted(profiles))]))
+
+    # The words are bound to one variable, so they are extracted once.
+    return F.transform(F.array(found), best)[0]["language"]

@@ -1,6 +1,6 @@
 """Ticket files: CSV in, CSV out, and tickets from a table of turns."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deskloom import fixed
 from deskloom.functions import text as t
@@ -46,9 +46,6 @@ def write_output(output: DataFrame, path: str, order_by: str = "ticket_id") -> N
     typed.write.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
 
 
-ISSUE = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
-
-
 def tickets_from_turns(turns: DataFrame, ids=("conv_id", "turn", "role", "text")) -> DataFrame:
     """Tickets (ticket_id, conv_id, part, issue) from one row per turn.
 
