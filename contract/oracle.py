@@ -268,6 +268,7 @@ CANNED_HITS = f"""{CLASSIFIED}, hitting AS (
 
 # --- retrieval ------------------------------------------------------------------------
 
+LETTERS = r"[\p{L}]+"
 STOP = words_in(fixed.STOP_WORDS)
 
 
@@ -325,7 +326,7 @@ lexical AS (
 def dense_top(n: int, prefilter: bool = False) -> str:
     """(query_id, doc_id, score, rank) for query_units and doc_units."""
     fits = "(domain_filter IS NULL OR domain_filter = domain)"
-    return f"""similar AS (
+    return f"""nearest AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM (
       SELECT q.query_id, q.domain_filter, d.doc_id, d.domain,
@@ -334,7 +335,7 @@ def dense_top(n: int, prefilter: bool = False) -> str:
   WHERE place <= {n}),
 semantic AS (
   SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-  FROM similar WHERE {fits})"""
+  FROM nearest WHERE {fits})"""
 
 
 DOC_UNITS = """doc_units AS (SELECT vec_id AS doc_id, embedding, domain FROM embeddings JOIN docs ON doc_id = vec_id)"""
@@ -356,7 +357,7 @@ HYBRID = f"""{LEXICON}, {item_queries()}, {lexical_top(24)},
 query_units AS (SELECT query_id, domain_filter, embedding FROM queries JOIN embeddings ON vec_id = query_id WHERE query != ''),
 {DOC_UNITS}, {dense_top(24)}, {fused(fixed.FILE_CANDIDATES)}"""
 
-FUSED_COLUMNS = f"""query_id, doc_id, fused_rank, semantic_rank, lexical_rank, round(semantic_score, 6) AS semantic_score,
+FUSED_COLUMNS = f"""query_id, doc_id, fused_rank, coalesce(semantic_rank, 0) AS semantic_rank, coalesce(lexical_rank, 0) AS lexical_rank, round(semantic_score, 6) AS semantic_score,
   round(lexical_score, 6) AS lexical_score, round(1.0 / ({fixed.RRF_K} + fused_rank), 6) AS fused_score, round(rrf_sum, 6) AS rrf_sum"""
 
 
@@ -488,7 +489,7 @@ def sql() -> dict[str, str]:
       SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS p, {strip('html')} AS content FROM pages),
       parts AS (SELECT *, string_split(p, '/') AS s FROM files WHERE contains(p, '/') AND content != '')
       SELECT 'data/' || p AS doc_path, lower(s[1]) AS domain, CASE WHEN len(s) >= 3 THEN s[2] ELSE lower(s[1]) END AS topic,
-             CASE WHEN len(s) >= 4 THEN s[3] ELSE regexp_replace(s[-1], '^(.+)\.[^.]*$', '\1') END AS subtopic,
+             CASE WHEN len(s) >= 4 THEN s[3] ELSE regexp_replace(s[-1], '^(.+)[.][^.]*$', chr(92) || '1') END AS subtopic,
              sha256(content) AS content_hash FROM parts"""
     out["corpus_stats"] = f"WITH {DOCS} SELECT domain, topic, count(*) AS documents, sum(length(content))::BIGINT AS characters FROM docs GROUP BY ALL"
     out["manifest_delta"] = f"""WITH {VERSIONS} SELECT doc_path, CASE WHEN old.h IS NULL THEN 'new' WHEN new.h IS NULL THEN 'deleted'
@@ -583,7 +584,7 @@ def sql() -> dict[str, str]:
     out["tool_conformance"] = conformance()
     out["recency_rank"] = recency()
     out["misfiled_docs"] = misfiled()
-    language = f"""WITH {DOCS}, found AS (SELECT doc_id, domain, regexp_extract_all(lower(content), '\p{{L}}+') AS w FROM docs),
+    language = f"""WITH {DOCS}, found AS (SELECT doc_id, domain, regexp_extract_all(lower(content), '{LETTERS}') AS w FROM docs),
       hits AS ({" UNION ALL ".join(f"SELECT doc_id, domain, {q(name)} AS language, len(list_filter(w, lambda x: x IN {words_in(profile)})) AS n FROM found" for name, profile in sorted(fixed.LANGUAGE_WORDS.items()))}),
       best AS (SELECT doc_id, domain, language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, language) AS place FROM hits) WHERE place = 1)"""
     out["language_id"] = f"{language} SELECT doc_id, domain, language FROM best"

@@ -25,7 +25,14 @@ QUERIES = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    """Register a query; whole numbers come out as bigint, as in the SQL."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = f(spark, sf)
+        wide = {c: F.col(c).cast("bigint") for c, kind in df.dtypes if kind == "int"}
+        return df.withColumns(wide) if wide else df
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -256,7 +263,9 @@ def dense_topk_prefilter(spark, sf):
 
 def fused_columns(df, *more):
     return df.select(
-        "query_id", "doc_id", "fused_rank", "semantic_rank", "lexical_rank",
+        "query_id", "doc_id", "fused_rank",
+        F.coalesce("semantic_rank", F.lit(0)).alias("semantic_rank"),
+        F.coalesce("lexical_rank", F.lit(0)).alias("lexical_rank"),
         F.round("semantic_score", 6).alias("semantic_score"),
         F.round("lexical_score", 6).alias("lexical_score"),
         F.round("fused_score", 6).alias("fused_score"),

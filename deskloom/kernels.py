@@ -4,6 +4,8 @@ Each one is a small block function: Spark partitions the rows, the helper works
 on one batch (or one run of batches) and keeps bounded state.
 """
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +17,9 @@ TILE_PRODUCTS = 4_000_000
 
 
 def nfkc(text):
-    return pc.utf8_normalize(text, form="NFKC")
+    # Arrow's own utf8_normalize leaves letters decomposed, so not that one.
+    done = (x if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist())
+    return pa.array(done, pa.string())
 
 
 def matches(text, pattern):
