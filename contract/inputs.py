@@ -3,11 +3,12 @@
 The same texts are used by the queries and by the SQL they are checked with.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from deskloom.functions import text as t
-from deskloom.session import spread
-from deskloom.sources import tickets as src
+from deskloom.sources import corpus, tickets as src
 
 COMPANIES = ["de", "en", "es", "fr"]
 
@@ -135,14 +136,26 @@ def injection_scores(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("ticket_id", parts[0].alias("label"), parts[1].cast("double").alias("score"))
 
 
-def tools(spark: SparkSession) -> DataFrame:
-    from deskloom.sources.corpus import TOOLS as schema
-
-    rows = [
-        (name, f"does {name}", ("object", {p: (kind, p) for p, kind in properties.items()}, required))
+def tool_entries() -> list[dict]:
+    return [
+        {
+            "name": name,
+            "description": f"does {name}",
+            "parameters": {
+                "type": "object",
+                "properties": {p: {"type": kind, "description": p} for p, kind in properties.items()},
+                "required": required,
+            },
+        }
         for name, properties, required in TOOLS
     ]
-    return spark.createDataFrame(rows, schema)
+
+
+def tools(spark: SparkSession) -> DataFrame:
+    """The tool catalogue, from JSON text so that parameters keep their order."""
+    rows = spark.createDataFrame([(json.dumps(tool_entries()),)], "j string")
+    parsed = F.from_json("j", T.ArrayType(T.StructType.fromDDL(corpus.TOOLS)))
+    return rows.select(F.inline(parsed))
 
 
 def queries(spark: SparkSession, sf: str, with_domain: bool = True) -> DataFrame:

@@ -4,6 +4,8 @@ Written from the definitions, not from the plans: patterns are the same fixed
 values, spelt for a matcher without look-ahead where needed.
 """
 
+import json
+
 from contract import inputs as i
 from deskloom import fixed
 
@@ -494,7 +496,7 @@ def sql() -> dict[str, str]:
     out["corpus_stats"] = f"WITH {DOCS} SELECT domain, topic, count(*) AS documents, sum(length(content))::BIGINT AS characters FROM docs GROUP BY ALL"
     out["manifest_delta"] = f"""WITH {VERSIONS} SELECT doc_path, CASE WHEN old.h IS NULL THEN 'new' WHEN new.h IS NULL THEN 'deleted'
       WHEN old.h = new.h THEN 'same' ELSE 'changed' END AS status FROM old FULL JOIN new USING (doc_path)"""
-    out["incremental_refresh"] = f"""WITH {VERSIONS} SELECT doc_path, CASE WHEN old.h = new.h THEN -1 ELSE length(new.content) END::INT AS characters
+    out["incremental_refresh"] = f"""WITH {VERSIONS} SELECT doc_path, CASE WHEN old.h = new.h THEN -1 ELSE length(new.content) END::BIGINT AS characters
       FROM new LEFT JOIN old USING (doc_path)"""
     out["term_df"] = f"WITH {LEXICON} SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM doc_terms GROUP BY term"
     out["tfidf_weights"] = f"WITH {LEXICON} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM doc_weights"
@@ -513,7 +515,7 @@ def sql() -> dict[str, str]:
     out["dense_topk_domain"] = dense("(item_id % 10)::VARCHAR", False)
     out["dense_topk_prefilter"] = dense("(item_id % 10)::VARCHAR", True)
     out["rrf_fusion"] = f"WITH {HYBRID} SELECT {FUSED_COLUMNS} FROM fused"
-    out["chunk_documents"] = f'WITH RECURSIVE {DOCS}, {chunks("docs")} SELECT doc_id, chunk_no, start, "end", chunk FROM chunks'
+    out["chunk_documents"] = f'WITH RECURSIVE {DOCS}, {chunks("docs")} SELECT doc_id, chunk_no::BIGINT AS chunk_no, start::BIGINT AS start, "end"::BIGINT AS "end", chunk FROM chunks'
     out["hybrid_topk"] = f"""WITH RECURSIVE {HYBRID}, hits AS (SELECT * FROM fused WHERE fused_rank <= {fixed.TOP_K}), {SNIPPED}
       SELECT {FUSED_COLUMNS}, doc_path, snippet, snippet = content AS is_full_file FROM snipped"""
     out["chunk_topk"] = f"""WITH RECURSIVE {LEXICON}, {item_queries()},
@@ -525,6 +527,7 @@ def sql() -> dict[str, str]:
     out["response_clamp"] = f"""WITH {CANNED_HITS}, {route('hitting')}, {respond()}
       SELECT ticket_id, response, answer_why AS justification, confidence_score, source_documents, action_names FROM responded"""
 
+    out["index_roundtrip"] = out["tfidf_topk"]
     ticket_hits = f"""{LEXICON.replace(DOCS + ', ', '')}, {TICKET_QUERIES}, {lexical_top(24)}"""
     hitting = """hitting AS (
       SELECT c.*, coalesce(len(paths), 0) > 0 AS has_docs, coalesce(paths, []) AS hit_paths
@@ -548,6 +551,7 @@ def sql() -> dict[str, str]:
     prompt = " || ".join(f"{q(text)} || {value}" for text, value in zip(parts, values))
     out["classification_prompts"] = f"WITH {JUDGED} SELECT ticket_id, {prompt} AS prompt FROM flagged WHERE NOT is_injection"
 
+    out["response_prompts"] = response_prompts(short, safe)
     out["output_findings"] = f"WITH {faulty()}, {FINDINGS} SELECT * FROM findings"
     out["output_check_summary"] = f"""WITH {faulty()}, {FINDINGS}
       SELECT severity, "check", count(*) AS n FROM (
@@ -567,7 +571,7 @@ def sql() -> dict[str, str]:
              round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM counts"""
     out["brier"] = f"""WITH {TRUTH} SELECT count(*) AS n, round(avg((confidence - correct::INT) ** 2), 6) AS brier,
       round(stddev_pop(confidence), 6) AS spread, min(confidence) = max(confidence) AS flat FROM truth"""
-    out["calibration_bins"] = f"""WITH {TRUTH} SELECT least(floor(confidence * 10), 9)::INT AS bin, count(*) AS n,
+    out["calibration_bins"] = f"""WITH {TRUTH} SELECT least(floor(confidence * 10), 9)::BIGINT AS bin, count(*) AS n,
       round(avg(confidence), 6) AS mean_confidence, round(avg(correct::INT), 6) AS share_correct FROM truth GROUP BY bin"""
     out["pii_confusion"] = f"WITH {TRUTH} SELECT pii_detected AS guess, toxic AS truth, count(*) AS n FROM truth GROUP BY ALL"
     out["citation_missing"] = """WITH cited AS (
@@ -592,6 +596,29 @@ def sql() -> dict[str, str]:
     return out
 
 
+def response_prompts(short: str, safe: str) -> str:
+    from deskloom.plans.triage import RESPONSE_PROMPT
+
+    entries = sorted(i.tool_entries(), key=lambda e: e["name"])
+    catalogue = "[" + ",".join(json.dumps(e, separators=(",", ":")) for e in entries) + "]"
+    section = f"""CASE WHEN has_docs THEN corpus ELSE {q(fixed.NO_DOCS_SECTION)} END"""
+    values = [
+        "true_company", "product_area", "risk_level", "status", "language", short, "safety_flags", safe, section,
+        q(catalogue[: fixed.TOOLS_CHARS]),
+    ]
+    prompt = " || ".join(f"{q(text)} || {value}" for text, value in zip(RESPONSE_PROMPT.split("%s"), values))
+    one = f"""'[' || fused_rank || '] PATH: ' || doc_path || chr(10) || '    DOMAIN: ' || domain || ' / ' || topic || ' / ' || subtopic
+      || chr(10) || '    CONTENT:' || chr(10) || substr(snippet, 1, {fixed.SNIPPET_CHARS})"""
+    return f"""WITH RECURSIVE {DOCS}, {CLASSIFIED}, {LEXICON.replace(DOCS + ', ', '')}, {TICKET_QUERIES}, {lexical_top(24)},
+      semantic AS (SELECT query_id, doc_id, score, rank FROM lexical WHERE false), {fused(fixed.FILE_CANDIDATES)},
+      hits AS (SELECT * FROM fused WHERE fused_rank <= {fixed.TOP_K}), {SNIPPED},
+      hitting AS (
+        SELECT c.*, corpus IS NOT NULL AS has_docs, corpus
+        FROM classified c LEFT JOIN (SELECT query_id, string_agg({one}, chr(10) || chr(10) ORDER BY fused_rank) AS corpus FROM snipped GROUP BY query_id)
+          ON query_id = ticket_id), {route('hitting')}
+      SELECT ticket_id, {prompt} AS prompt FROM routed WHERE NOT (status = 'escalated' AND is_injection)"""
+
+
 def conformance() -> str:
     spec = ", ".join(
         f"({q(name)}, {listed(sorted(properties))}, {listed(sorted(required))}, "
@@ -605,7 +632,7 @@ def conformance() -> str:
       named AS (SELECT *, list_transform(calls, lambda c: coalesce(nullif(c->>'$.action', ''), c->>'$.name')) AS names FROM calls),
       flat AS (SELECT ticket_id, names, unnest(range(0, len(calls))) AS position, unnest(calls) AS c, unnest(names) AS action FROM named),
       given AS (SELECT *, CASE WHEN json_type(c, '$.parameters') = 'OBJECT' THEN json_keys(c, '$.parameters') ELSE [] END AS keys FROM flat)
-      SELECT ticket_id, position::INT AS position, action, t.name IS NOT NULL AS known,
+      SELECT ticket_id, position::BIGINT AS position, action, t.name IS NOT NULL AS known,
         coalesce(array_to_string(list_filter(t.required, lambda p: NOT list_contains(keys, p)), '|'), '') AS missing,
         coalesce(array_to_string(list_sort(list_filter(keys, lambda p: t.name IS NOT NULL AND NOT list_contains(t.props, p))), '|'), '') AS "unknown",
         coalesce(array_to_string(list_sort(list_filter(keys, lambda p: CASE

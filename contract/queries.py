@@ -1,5 +1,7 @@
 """The registered queries: thin wiring of the package to the driver's tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contract import inputs as i
@@ -18,7 +20,7 @@ from deskloom.operators import (
     validation,
 )
 from deskloom.plans import index as ix, retrieval, triage as tr
-from deskloom.session import spread
+from deskloom.session import shared_folder, spread
 from deskloom.sources import corpus
 
 QUERIES = {}
@@ -217,6 +219,15 @@ def tfidf_topk_nonzero(spark, sf):
     return ranked(lexical.top_documents(i.queries(spark, sf, False), index, 24, drop_zero=True))
 
 
+@query
+def index_roundtrip(spark, sf):
+    """The search over an index that was written to the shared folder and loaded."""
+    folder = f"{shared_folder(spark)}/deskloom-index-{uuid.uuid4().hex}"
+    ix.save(ix.build(i.documents(spark, sf)), folder)
+    index = ix.load(spark, folder, with_vectors=False)
+    return ranked(lexical.top_documents(i.queries(spark, sf), index.lexical, 24))
+
+
 # --- dense search ---------------------------------------------------------------
 
 
