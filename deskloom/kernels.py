@@ -52,6 +52,15 @@ def chunk_offsets(text, size, overlap):
     return spans
 
 
+def chunks(text, size, overlap, drop_tail):
+    """Chunks of one text with their places, blank ones left out."""
+    spans = chunk_offsets(text, size, overlap)
+    if drop_tail and len(spans) > 1 and spans[-2][1] == len(text):
+        spans.pop()
+    cut = ({"start": a, "end": b, "chunk": text[a:b].strip()} for a, b in spans)
+    return [part for part in cut if part["chunk"]]
+
+
 def best_rows(query, doc, score, n):
     """Indices of the n best rows of every query: score down, document up."""
     order = np.lexsort((doc, -score, query))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from deskloom import fixed
 from deskloom.functions import text as t
 from deskloom.operators import lexical
+from deskloom.session import stage
 
 
 def prefer_recent(hits: DataFrame) -> DataFrame:
@@ -27,7 +28,8 @@ def misfiled(documents: DataFrame, vocab_size: int = fixed.VOCABULARY) -> DataFr
     words = texts.select("doc_id", "domain", F.explode(t.words(F.col("content"))).alias("word"))
     counts = words.groupBy("doc_id", "domain", "word").agg(F.count("*").alias("tf"))
     per_domain = counts.groupBy("word", "domain").agg(F.sum("tf").alias("n"))
-    top = per_domain.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(vocab_size)
+    per_word = stage(per_domain.groupBy(F.col("word").alias("term")).agg(F.sum("n").alias("total")), "words")
+    top = lexical.most_frequent(per_word, vocab_size).withColumnRenamed("term", "word")
     model = per_domain.join(F.broadcast(top.select("word")), "word", "left_semi")
     totals = model.groupBy("domain").agg(F.sum("n").alias("domain_total"))
     size = top.agg(F.count("*").alias("v")).scalar()

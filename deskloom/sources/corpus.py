@@ -85,7 +85,8 @@ def front_matter(content: Column) -> dict[str, Column]:
     # The last value wins when a key is repeated.
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     values = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
-    items = F.filter(lines, lambda x: F.rlike(x, F.lit(r"^\s+-\s")))
+    trail = F.regexp_extract(F.concat(head, F.lit("\n")), r"(?m)^breadcrumbs:[ \t]*\r?\n((?:[ \t]+-[ \t].*\r?\n)+)", 1)
+    items = F.filter(F.split(trail, r"\r?\n"), lambda x: x != "")
     crumbs = F.transform(items, lambda x: F.regexp_extract(x, r'^\s+-\s+"?(.*?)"?\s*$', 1))
     return {"front": F.map_from_arrays(keys, values), "breadcrumbs": crumbs}
 
