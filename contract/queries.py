@@ -20,7 +20,7 @@ from deskloom.operators import (
     validation,
 )
 from deskloom.plans import index as ix, retrieval, triage as tr
-from deskloom.session import shared_folder, spread
+from deskloom.session import shared_folder, spread, stage
 from deskloom.sources import corpus
 
 QUERIES = {}
@@ -65,7 +65,7 @@ def redact_text(spark, sf):
 
 @query
 def redact_strict(spark, sf):
-    docs = t.once(spread(i.documents(spark, sf), "doc_id"), "plain", t.normalise(F.col("content")))
+    docs = t.once(spread(i.documents(spark, sf), "doc_id"), {"plain": t.normalise(F.col("content"))})
     return docs.select("doc_id", s.redact(F.col("plain"), strict=True).alias("redacted"))
 
 
@@ -314,7 +314,8 @@ def chunk_topk(spark, sf):
     index = lexical.build_index(docs)
     asked = i.queries(spark, sf)
     hits = asked.select("query_id", F.col("query_id").alias("doc_id"))
-    chunks = chunking.chunk(docs.join(hits.select("doc_id"), "doc_id", "left_semi").select("doc_id", "content"))
+    asked_for = docs.join(hits.select("doc_id"), "doc_id", "left_semi").select("doc_id", "content")
+    chunks = stage(chunking.chunk(asked_for), "chunks")
     rank = chunking.rank_chunks_lexical(hits, chunks, asked, index.vocab)
     best = chunking.join_chunks(chunking.best_chunks(rank), chunks)
     return best.select("query_id", F.array_join("chunk_numbers", ",").alias("chunk_numbers"), "snippet")

@@ -11,13 +11,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(fixed.WHITESPACE))
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once, however often it is used.
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once, however often they are used.
 
-    A projection may be merged into the Python step and the projection above
-    it, which repeats its work; a generator of one row is not.
+    A projection may be merged into the Python step or projection above it, and
+    a later filter pushed below it, which repeats its work; a generator of one
+    row is not.
     """
-    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+    values = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(values)))
 
 
 def null_safe(text: Column) -> Column:

@@ -120,9 +120,17 @@ def matrix(array, dim):
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
-def allowed(query_domain, doc_domain):
-    """Mask of (query, document) pairs whose domains agree; "" takes any."""
-    return (query_domain[:, None] == "") | (query_domain[:, None] == doc_domain[None, :])
+def domain_codes(names, domains):
+    """Place of every domain in the sorted names, one beyond the last if absent."""
+    if len(names) == 0:
+        return np.zeros(len(domains), int)
+    at = np.minimum(np.searchsorted(names, domains), len(names) - 1)
+    return np.where(names[at] == domains, at, len(names))
+
+
+def allowed(query_code, doc_code):
+    """Mask of (query, document) pairs whose domains agree; -1 takes any."""
+    return (query_code[:, None] < 0) | (query_code[:, None] == doc_code[None, :])
 
 
 def top_of_tile(scores, fits, candidates, docs, n, first_query):
@@ -142,14 +150,15 @@ def top_of_tile(scores, fits, candidates, docs, n, first_query):
 def dense_top(batches, block, n, prefilter):
     """n nearest documents per query among this task's documents (cosine).
 
-    block: query ids, unit query matrix and domain of every query ("" = any).
+    block: query ids, unit query matrix, sorted domain names, and the domain
+    code of every query.
     """
-    query_ids, vectors, domains = block
+    query_ids, vectors, names, domains = block
     best, doc_type = Best(n), None
     for batch in batches:
         doc_type = batch.column("doc_id").type
         docs = as_numpy(batch.column("doc_id"))
-        doc_domain = as_numpy(batch.column("domain").fill_null(""))
+        doc_domain = domain_codes(names, as_numpy(batch.column("domain").fill_null("")))
         unit = matrix(batch.column("embedding"), vectors.shape[1])
         step_q = min(len(vectors), 4096)
         step_d = max(1, TILE_CELLS // max(1, step_q))
@@ -167,15 +176,16 @@ def sparse_top(batches, block, n):
     """n best documents per query by sparse dot product, scores above zero only.
 
     Input rows are postings (doc_id, domain, slot, weight), all rows of one
-    document next to each other. block: query ids, domain of every query, and
-    the query postings sorted by slot (slot starts, query numbers, weights).
+    document next to each other. block: query ids, sorted domain names, domain
+    code of every query, and the query postings sorted by slot (slot starts,
+    query numbers, weights).
     """
-    query_ids, domains, starts, post_query, post_weight = block
+    query_ids, names, domains, starts, post_query, post_weight = block
     best, doc_type, held = Best(n), None, None
 
     def score(docs, doc_domain, slots, weights):
         change = np.r_[0, np.flatnonzero(docs[1:] != docs[:-1]) + 1]
-        ids, id_domain = docs[change], doc_domain[change]
+        ids, id_domain = docs[change], domain_codes(names, doc_domain[change])
         number = np.repeat(np.arange(len(change)), np.diff(np.r_[change, len(docs)]))
         # Fixed order within a document, so equal documents get equal sums.
         order = np.lexsort((slots, number))

@@ -6,6 +6,7 @@ or broadcast; a query set beyond one block takes one more scan per block.
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,6 +32,14 @@ def query_blocks(queries: DataFrame, key: str, rows: int = BLOCK_QUERIES) -> Ite
         yield kept.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).toArrow()
 
 
+def domain_filters(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The domain names the queries ask for, and the place of each query's own
+    among them (-1 for none)."""
+    wanted = np.array(block.column("domain_filter").to_pylist())
+    names = np.unique(wanted[wanted != ""])
+    return names, np.where(wanted == "", -1, np.searchsorted(names, wanted))
+
+
 def over_blocks(
     queries: DataFrame,
     key: str,

@@ -77,15 +77,23 @@ class Index:
         self.clustered = clustered
 
 
+def by_document(documents: DataFrame) -> DataFrame:
+    """Texts moved once, to one part per document.
+
+    The number of parts is explicit, as counting makes many rows of few bytes
+    and parts merged by their bytes would be too few.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return documents.select("doc_id", "domain", "content").repartition(parts, "doc_id")
+
+
 def build_index(documents: DataFrame, size: int = fixed.VOCABULARY, stop_words=fixed.STOP_WORDS) -> Index:
     """Index of documents (doc_id, domain, content).
 
     The texts are moved once, by document; counting, weighting and scoring all
     reuse that partitioning, so the much larger set of terms is not shuffled.
     """
-    parts = documents.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    texts = documents.select("doc_id", "domain", "content").repartition(int(parts), "doc_id")
-    counts = term_counts(texts, "doc_id", "domain", stop_words=stop_words)
+    counts = term_counts(by_document(documents), "doc_id", "domain", stop_words=stop_words)
     # Small, costly and read by several jobs: written once.
     vocab = stage(vocabulary(counts, documents, size), "vocabulary")
     return Index(documents, vocab, term_weights(counts, vocab, "doc_id", "domain"), clustered=True)
@@ -157,7 +165,7 @@ def top_documents(
         shipped = spark.sparkContext.broadcast(
             (
                 block.column("query_id").combine_chunks(),
-                np.array(block.column("domain_filter").to_pylist()),
+                *blocks.domain_filters(block),
                 starts,
                 owner[order],
                 weight[order],

@@ -23,13 +23,13 @@ def misfiled(documents: DataFrame, vocab_size: int = fixed.VOCABULARY) -> DataFr
     combines on the map side. A frequent word is a hot join key on the document
     side only, which adaptive execution broadcasts around or splits.
     """
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = documents.select("doc_id", "domain", "content").repartition(parts, "doc_id")
+    texts = lexical.by_document(documents)
     words = texts.select("doc_id", "domain", F.explode(t.words(F.col("content"))).alias("word"))
-    counts = words.groupBy("doc_id", "domain", "word").agg(F.count("*").alias("tf"))
+    # Read four times below: written once.
+    counts = stage(words.groupBy("doc_id", "domain", "word").agg(F.count("*").alias("tf")), "counts")
     per_domain = counts.groupBy("word", "domain").agg(F.sum("tf").alias("n"))
     per_word = stage(per_domain.groupBy(F.col("word").alias("term")).agg(F.sum("n").alias("total")), "words")
-    top = lexical.most_frequent(per_word, vocab_size).withColumnRenamed("term", "word")
+    top = stage(lexical.most_frequent(per_word, vocab_size).withColumnRenamed("term", "word"), "vocabulary")
     model = per_domain.join(F.broadcast(top.select("word")), "word", "left_semi")
     totals = model.groupBy("domain").agg(F.sum("n").alias("domain_total"))
     size = top.agg(F.count("*").alias("v")).scalar()

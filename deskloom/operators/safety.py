@@ -14,7 +14,7 @@ def scan(df: DataFrame, text: str, normalise: bool = True) -> DataFrame:
     Each stage is its own projection, so the normalised text, its lower-case
     form and the card-masked copy are computed once per row.
     """
-    out = t.once(df, "_text", t.normalise(F.col(text)) if normalise else F.col(text))
+    out = t.once(df, {"_text": t.normalise(F.col(text)) if normalise else F.col(text)})
     out = out.withColumns({"_suspect": s.suspect(F.col("_text")), "_gates": s.pii_gates(F.col("_text"))})
     out = out.withColumns(
         {
@@ -23,14 +23,11 @@ def scan(df: DataFrame, text: str, normalise: bool = True) -> DataFrame:
         }
     )
     none = F.array().cast("array<string>")
-    out = out.withColumns(
-        {
-            "injection_reasons": F.when(
-                F.col("_suspect"), s.injection_reasons("_text", "_low")
-            ).otherwise(none),
-            "pii_types": s.pii_types(F.col("_text"), F.col("_masked"), F.col("_gates")),
-        }
-    )
+    found = {
+        "injection_reasons": F.when(F.col("_suspect"), s.injection_reasons("_text", "_low")).otherwise(none),
+        "pii_types": s.pii_types(F.col("_text"), F.col("_masked"), F.col("_gates")),
+    }
+    out = t.once(out, found)
     return out.withColumns(
         {
             "regex_injection": F.size("injection_reasons") > 0,

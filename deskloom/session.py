@@ -26,9 +26,14 @@ def local_session(cores: str = "8", **conf) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a new one if unset."""
+    """The folder the cluster names for checkpoints.
+
+    Only a local session, as in tests, gets one of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="deskloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

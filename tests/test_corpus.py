@@ -95,6 +95,15 @@ def test_delta_and_refresh(spark):
     assert {(r.doc_path, r.made) for r in out.collect()} == {("a", "old"), ("b", "new"), ("d", "new")}
 
 
+def test_manifest_on_disk(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "1", "x")], "doc_path string, content_hash string, content string")
+    manifest.write(docs, str(tmp_path / "m"))
+    assert manifest.is_current(manifest.delta(manifest.read(spark, str(tmp_path / "m")), docs))
+    assert manifest.read(spark, str(tmp_path / "none")) is None
+    write(tmp_path, "broken/part-0.parquet", b"no parquet")
+    assert manifest.read(spark, str(tmp_path / "broken")) is None
+
+
 def test_prefer_recent(spark):
     rows = [(1, "a", 1, None, 2), (1, "b", 2, datetime(2020, 1, 1), 2), (1, "c", 3, datetime(2024, 1, 1), 2), (1, "d", 4, datetime(2024, 1, 1), 3)]
     df = spark.createDataFrame(rows, "query_id int, doc_id string, fused_rank int, doc_date timestamp, depth int")
