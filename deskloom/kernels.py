@@ -52,13 +52,25 @@ def chunk_offsets(text, size, overlap):
     return spans
 
 
-def chunks(text, size, overlap, drop_tail):
-    """Chunks of one text with their places, blank ones left out."""
-    spans = chunk_offsets(text, size, overlap)
-    if drop_tail and len(spans) > 1 and spans[-2][1] == len(text):
-        spans.pop()
-    cut = ({"start": a, "end": b, "chunk": text[a:b].strip()} for a, b in spans)
-    return [part for part in cut if part["chunk"]]
+def chunks(texts, size, overlap, drop_tail):
+    """Chunks of every text with their places, blank ones left out."""
+    offsets, starts, ends, parts = [0], [], [], []
+    for text in texts.to_pylist():
+        spans = chunk_offsets(text, size, overlap)
+        if drop_tail and len(spans) > 1 and spans[-2][1] == len(text):
+            spans.pop()
+        for a, b in spans:
+            part = text[a:b].strip()
+            if part:
+                starts.append(a)
+                ends.append(b)
+                parts.append(part)
+        offsets.append(len(parts))
+    rows = pa.StructArray.from_arrays(
+        [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(parts, pa.string())],
+        ["start", "end", "chunk"],
+    )
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
 def best_rows(query, doc, score, n):
