@@ -5,13 +5,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contract import inputs as i
-from deskloom import fixed
 from deskloom.functions import safety as s, text as t
 from deskloom.operators import (
     chunking,
     conversations,
     dense,
-    fusion,
     lexical,
     manifest,
     metrics,
