@@ -5,6 +5,7 @@ or broadcast; a query set beyond one block takes one more scan per block.
 """
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +19,21 @@ BLOCK_QUERIES = 32_768
 BLOCK_VALUES = 8_000_000
 
 
-def query_blocks(queries: DataFrame, key: str, rows: int = BLOCK_QUERIES) -> Iterator[pa.Table]:
-    """Arrow tables that together hold every query, each of at most about rows rows."""
+def query_blocks(queries: DataFrame, key: str, rows: int = BLOCK_QUERIES) -> Iterator[tuple[pa.Table, bool]]:
+    """Arrow tables that together hold every query, of at most about rows rows,
+    each with whether it is one of many."""
     # One row beyond the bound tells whether the set fits; it is then used whole.
     head = queries.limit(rows + 1).toArrow()
     if head.num_rows <= rows:
         if head.num_rows:
-            yield head
+            yield head, False
         return
     kept = stage(queries, "queries")
     parts = 2 * -(-kept.count() // rows)
     for part in range(parts):
-        yield kept.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).toArrow()
+        block = kept.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).toArrow()
+        if block.num_rows:
+            yield block, True
 
 
 def domain_filters(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -43,13 +47,9 @@ def domain_filters(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def over_blocks(
     queries: DataFrame,
     key: str,
-    search: Callable[[pa.Table], DataFrame],
+    search: Callable[[pa.Table, bool], DataFrame],
     rows: int = BLOCK_QUERIES,
 ) -> DataFrame | None:
     """Union of the results of all blocks; null for no queries."""
-    found = None
-    for block in query_blocks(queries, key, rows):
-        if block.num_rows:
-            part = search(block)
-            found = part if found is None else found.unionByName(part)
-    return found
+    found = [search(block, many) for block, many in query_blocks(queries, key, rows)]
+    return reduce(DataFrame.unionByName, found) if found else None

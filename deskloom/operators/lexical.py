@@ -151,7 +151,11 @@ def top_documents(
         f"{a} {df.schema[a].dataType.simpleString()}" for a, df in (("query_id", queries), ("doc_id", index.documents))
     ) + ", score double, fits boolean"
 
-    def search(block: pa.Table) -> DataFrame:
+    def search(block: pa.Table, many: bool) -> DataFrame:
+        nonlocal index
+        if many and index.clustered:
+            # More than one scan: count once, then read the written weights.
+            index = Index(index.documents, index.vocab, stage(index.weights, "weights"), clustered=False)
         postings = block.column("postings").combine_chunks()
         fan = np.diff(postings.offsets.to_numpy())
         flat = postings.flatten()
