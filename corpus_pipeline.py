@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deskloom.llm import common, content_sort, language, minhash_forest
+from deskloom.llm import common, containment, content_sort, language, minhash_forest, queries
 
 
 def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -21,9 +21,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
-    found = content_sort.duplicates(common.rows(docs)).filter("kept")
-    return keep(docs, found).dropDuplicates(["doc_id", "text"])
+    """Of equal texts the row with the smallest doc_id stays; of repeated rows one."""
+    found = common.stage(content_sort.duplicates(common.rows(docs)).filter("kept"), "pipeline-copies")
+    kept = keep(docs, found)
+    if found.count() == kept.count():
+        return kept
+    text = F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("doc_id", content_sort.normalised(text)).orderBy("text")
+    return kept.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +36,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep(docs, minhash_forest.near_duplicates(common.rows(docs)).filter("kept"))
 
 
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    items = common.rows(common.read(spark, sf_dir, "benchmark"), "item_id")
+    found = containment.contained(common.rows(docs), items).select(F.col("id").alias("__id")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of tokens: the pieces of every document and their places."""
+    return queries.packed(docs)
+
+
 STAGES = [
     ("language ID", identify_language),
     ("exact dedup", drop_copies),
     ("near dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("packing", pack),
 ]
 
 # Packing needs a tokenizer and near-dedup components: no SQL.

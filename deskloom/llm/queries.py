@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, content_sort, language, minhash_forest
+from . import common, containment, content_sort, language, minhash_forest, packing
 
 
 def held_out(key: str, parts: int, rest: int):
@@ -37,14 +37,80 @@ def op6_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.sequences(
+        common.rows(documents),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(common.read(spark, folder, "documents"))
+
+
+def op10_containment(spark: SparkSession, folder: str) -> DataFrame:
+    items = common.rows(common.read(spark, folder, "benchmark"), "item_id")
+    found = containment.contained(common.rows(common.read(spark, folder, "documents")), items)
+    return found.select(
+        "item_id",
+        F.col("id").alias("doc_id"),
+        "n_shared",
+        "n_item",
+        (F.col("n_shared") / F.col("n_item")).alias("containment"),
+    )
+
+
 QUERIES = {
     "op3_language": op3_language,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_content_sort": op6_content_sort,
+    "op8_packing": op8_packing,
+    "op10_containment": op10_containment,
 }
 
+# Distinct five-word shingles, or the whole sequence of a shorter text, of a table (key, text).
+SHINGLES = r"""
+    SELECT DISTINCT key, CASE WHEN n < 5 THEN array_to_string(words, ' ')
+        ELSE array_to_string(words[pos:pos + 4], ' ') END AS shingle
+    FROM (
+        SELECT key, words, len(words) AS n, unnest(range(1, greatest(len(words) - 3, 2))) AS pos
+        FROM (
+            SELECT key, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM ({table})
+        ) WHERE len(words) > 0
+    )
+"""
+
 # SQL for the queries that it can express.
 SQL = {
+    "op5_minhash_forest": f"""
+        WITH RECURSIVE grams AS MATERIALIZED ({SHINGLES.format(table="SELECT doc_id AS key, text FROM documents")}),
+        sizes AS MATERIALIZED (SELECT key, count(*) AS n FROM grams GROUP BY key),
+        links AS MATERIALIZED (
+            SELECT a.key AS a, b.key AS b FROM grams a JOIN grams b ON a.shingle = b.shingle AND a.key <> b.key
+            JOIN sizes x ON x.key = a.key JOIN sizes y ON y.key = b.key
+            GROUP BY a.key, b.key, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+        ),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        found AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id,
+               doc_id <= coalesce(b, doc_id) AS kept
+        FROM documents LEFT JOIN sizes ON sizes.key = doc_id LEFT JOIN found ON found.a = doc_id
+    """,
+    "op10_containment": f"""
+        WITH grams AS MATERIALIZED ({SHINGLES.format(table="SELECT doc_id AS key, text FROM documents")}),
+        items AS MATERIALIZED ({SHINGLES.format(table="SELECT item_id AS key, text FROM benchmark")}),
+        sizes AS (SELECT key, count(*) AS n_item FROM items GROUP BY key)
+        SELECT i.key AS item_id, g.key AS doc_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+        FROM items i JOIN grams g ON g.shingle = i.shingle JOIN sizes s ON s.key = i.key
+        GROUP BY i.key, g.key, n_item HAVING 100 * count(*) >= 75 * n_item
+    """,
     "op6_content_sort": r"""
         WITH texts AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
