@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, containment, content_sort, language, minhash_forest, packing
+from . import common, containment, content_sort, language, minhash_forest, packing, secrets, toxicity
 
 
 def held_out(key: str, parts: int, rest: int):
@@ -37,6 +37,19 @@ def op6_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = common.rows(common.read(spark, folder, "documents"))
+    labels = common.read(spark, folder, "labels").select(F.col("doc_id").cast("long").alias("id"), "toxic")
+    found = toxicity.score(documents, toxicity.fit(documents, labels.filter(~held_out("id", 5, 0))))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(held_out("id", 5, 0), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "evidence",
+    )
+
+
 def packed(documents: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +66,23 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(common.read(spark, folder, "documents"))
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(common.rows(common.read(spark, folder, "documents")))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(column: str):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["first"], s["last"])), ",")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(kind) for kind in ("assign", "access", "hex")],
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("found").alias("spans"),
+    )
+
+
 def op10_containment(spark: SparkSession, folder: str) -> DataFrame:
     items = common.rows(common.read(spark, folder, "benchmark"), "item_id")
     found = containment.contained(common.rows(common.read(spark, folder, "documents")), items)
@@ -69,7 +99,9 @@ QUERIES = {
     "op3_language": op3_language,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_content_sort": op6_content_sort,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_secrets": op9_secrets,
     "op10_containment": op10_containment,
 }
 
