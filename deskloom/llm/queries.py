@@ -5,13 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, containment, content_sort, language, minhash_forest, packing, secrets, toxicity
+from . import common, containment, content_sort, language, licenses, minhash_forest, packing, secrets, toxicity
 
 
 def held_out(key: str, parts: int, rest: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts)) == rest
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    documents = common.rows(common.read(spark, folder, "documents"))
+    found = licenses.scan(documents, licenses.fit(documents)).filter("confirmed")
+    each = found.groupBy("id", "family").agg(
+        F.max("probability").alias("probability"),
+        F.max("similarity").alias("similarity"),
+        F.countDistinct("paragraph").alias("paragraphs"),
+    )
+    best = F.max(F.struct("similarity", "probability", "family"))
+    named = each.groupBy("id").agg(
+        best.alias("best"),
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
+        F.sum("paragraphs").alias("n_paragraphs"),
+    )
+    ids = documents.select("id").join(named, "id", "left")
+    return ids.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce("best.family", F.lit(licenses.UNKNOWN)).alias("family"),
+        F.coalesce("families", F.lit("")).alias("families"),
+        F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"),
+        F.col("best.probability").alias("probability"),
+        F.col("best.similarity").alias("similarity"),
+    )
+
+
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     table = common.rows(common.read(spark, folder, "documents"), "doc_id", "text", "lang")
     fitted = language.fit(table.filter(~F.coalesce(held_out("id", 3, 1), F.lit(False))))
@@ -96,6 +121,7 @@ def op10_containment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op3_language": op3_language,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_content_sort": op6_content_sort,
