@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, containment, content_sort, language, licenses, minhash_forest, packing, secrets, toxicity
+from . import common, containment, content_sort, extraction, language, licenses, minhash_forest, packing, secrets, suffix_sort, toxicity
 
 
 def held_out(key: str, parts: int, rest: int):
@@ -37,6 +37,13 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_suffix_sort(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_sort.cleaned(common.rows(common.read(spark, folder, "documents")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     table = common.rows(common.read(spark, folder, "documents"), "doc_id", "text", "lang")
     fitted = language.fit(table.filter(~F.coalesce(held_out("id", 3, 1), F.lit(False))))
@@ -50,6 +57,12 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = common.read(spark, folder, "pages").select(F.col("page_id").cast("long").alias("id"), "url", "html")
+    found = extraction.extract(pages)
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash_forest.near_duplicates(common.rows(common.read(spark, folder, "documents")))
     return found.select(
@@ -122,7 +135,9 @@ def op10_containment(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_suffix_sort": op2_suffix_sort,
     "op3_language": op3_language,
+    "op4_extraction": op4_extraction,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_content_sort": op6_content_sort,
     "op7_toxicity": op7_toxicity,
