@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskloom.llm import common, containment, content_sort, language, minhash_forest, queries
@@ -10,7 +10,8 @@ from deskloom.llm import common, containment, content_sort, language, minhash_fo
 
 def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among the ids (id), with their own columns."""
-    return docs.join(ids.select(F.col("id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("ids.id"))
+    return docs.alias("docs").join(ids.select("id").alias("ids"), same, "left_semi")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = keep(docs, found)
     if found.count() == kept.count():
         return kept
-    text = F.coalesce("text", F.lit(""))
-    order = Window.partitionBy("doc_id", content_sort.normalised(text)).orderBy("text")
-    return kept.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+    row = F.struct(*[F.col(f"`{name}`") for name in kept.columns]).alias("row")
+    text = F.xxhash64(content_sort.normalised(F.coalesce("text", F.lit("")))).alias("body")
+    once = kept.select("doc_id", text, row).groupBy("doc_id", "body").agg(F.first("row").alias("row"))
+    return once.select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     items = common.rows(common.read(spark, sf_dir, "benchmark"), "item_id")
-    found = containment.contained(common.rows(docs), items).select(F.col("id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_anti")
+    found = containment.contained(common.rows(docs), items).select("id").distinct()
+    return docs.alias("docs").join(found.alias("ids"), F.col("docs.doc_id") == F.col("ids.id"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
