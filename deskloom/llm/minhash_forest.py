@@ -38,7 +38,7 @@ DEPTH = 6  # values of a tree's key
 SHALLOW = 3  # values that candidates share at least
 KEYS = shingles.odd(41, TREES * DEPTH)
 WINDOW = 16  # rows paired with each other in thin regions; ranks from here on count as crowded
-NEAR = 2  # neighbours paired in crowded regions
+NEAR = 1  # neighbours paired in crowded regions; the second sweep sees to the rest
 WIDE = 64  # neighbours looked at by the second sweep
 SKETCH = 0.55  # estimated similarity below which a pair is no candidate, 4 deviations under 0.75
 PERCENT = 75
