@@ -68,14 +68,16 @@ def duplicates(documents: DataFrame) -> DataFrame:
     found = common.stage(
         found.mapInArrow(runs, "id long, head long, place long, text_sha256 string"), "content-runs"
     )
+    pieces = found.groupBy("text_sha256", "head").agg(F.count("*").alias("size"))
     groups = (
-        found.groupBy("text_sha256", "head")
-        .agg(F.count("*").alias("size"))
-        .groupBy("text_sha256")
+        pieces.groupBy("text_sha256")
         .agg(F.min("head").alias("keep_id"), F.sum("size").alias("group_size"))
         .filter("group_size > 1")
     )
-    joined = found.join(groups, "text_sha256", "left")
+    # By run, of which a task sorted each: rows of one large group don't meet again.
+    named = pieces.join(groups, "text_sha256").drop("size")
+    same = (F.col("f.text_sha256") == F.col("g.text_sha256")) & F.col("f.head").eqNullSafe(F.col("g.head"))
+    joined = found.alias("f").join(named.alias("g"), same, "left").select("f.*", "keep_id", "group_size")
     keep = F.coalesce("keep_id", "id")
     return joined.select(
         "id",
