@@ -74,6 +74,7 @@ TAG = re.compile(
 )
 CLASS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
+DIGITS = re.compile(r"\d+")  # numbers in an id differ from page to page
 
 
 @dataclass
@@ -101,7 +102,7 @@ def digest(*parts) -> int:
 def marked(name: str, attributes: str, within: bool) -> tuple[bool, str]:
     """Whether an element isn't part of an article, and what distinguishes it in a path."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in CLASS.finditer(attributes)} if attributes.strip() else {}
-    label = f"{name}.{'.'.join(sorted(found.get('class', '').split()))}"
+    label = f"{name}#{DIGITS.sub('', found.get('id', ''))}.{'.'.join(sorted(found.get('class', '').split()))}"
     if name in OUTSIDE or name in RAW or (name == "header" and not within):
         return True, label
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
