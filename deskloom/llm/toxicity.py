@@ -235,11 +235,39 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int
     made = [index.vector(dict(zip(row["words"], row["counts"], strict=True))) for row in full]
     index.build(made)
     if len(full):
-        raw = [index.vote(*index.nearest(at, w, NEIGHBOURS, without=i)) for i, (at, w, _) in enumerate(made)]
-        index.curve = logistic(np.array([(logit(p), log(size)) for p, (*_, size) in zip(raw, made, strict=True)]), index.labels)
+        votes = left_out(rows.filter(F.size("words") > 0), index).collect()  # at most the sample
+        seen = np.array([(row["vote"], row["size"], row["toxic"]) for row in votes])
+        index.curve = logistic(np.stack([[logit(p) for p in seen[:, 0]], np.log(seen[:, 1])], 1), seen[:, 2])
     return index
 
 
+def left_out(examples: DataFrame, index: Index) -> DataFrame:
+    """(vote, size, toxic): the vote on every example without itself, scored in tasks."""
+    ship = examples.sparkSession.sparkContext.broadcast(index)
+    tasks = examples.sparkSession.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ship.value
+        number = {key: i for i, key in enumerate(own.ids.tolist())}
+        for batch in batches:
+            made = []
+            columns = [batch.column(name).to_pylist() for name in ("id", "words", "counts")]
+            for key, words, counts in zip(*columns, strict=True):
+                at, weights, size = own.vector(dict(zip(words, counts, strict=True)))
+                made.append((own.vote(*own.nearest(at, weights, NEIGHBOURS, without=number[key])), size))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([vote for vote, _ in made], pa.float64()),
+                    pa.array([size for _, size in made], pa.float64()),
+                    batch.column("toxic").cast(pa.bool_()),
+                ],
+                ["vote", "size", "toxic"],
+            )
+
+    spread = examples.select("id", "toxic", "words", "counts").repartition(tasks, "id")
+    return spread.mapInArrow(run, "vote double, size double, toxic boolean")
+
+
 def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     """(id, score, evidence) of every row (id, text); evidence are the nearest examples."""
     ship = documents.sparkSession.sparkContext.broadcast(index)
