@@ -4,8 +4,8 @@ Terms whose document frequency differs clearly between the labels (a z-test) are
 the dimensions; their weights are 1 + log tf times an inverse document frequency
 counted over all documents. A document's most similar examples by cosine are
 found exactly with a block-max inverted index: examples stand in blocks, every
-posting list knows its largest weight per block, and blocks are scored in order
-of their bounds until no bound can beat the k-th best. Votes weighted by
+posting list knows its largest weight per block, and only blocks are scored whose
+bound reaches the k-th best cosine of the blocks with the highest bounds. Votes weighted by
 similarity, with a prior of one vote at the base rate, are turned into a
 probability by a logistic curve in the vote and in the length of the document's
 vector, that is how much evidence there is; the curve is fitted on the examples,
@@ -41,6 +41,7 @@ CLEAR = 5.0  # z of a term that becomes a dimension
 LEAST = 3  # examples a term must be in
 NEIGHBOURS = 25
 BLOCK = 64  # examples of a block
+FIRST = 8  # blocks scored before the others are ruled out
 
 
 def terms(text: str) -> list[str]:
@@ -55,11 +56,12 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    blocks: list[np.ndarray] = field(default_factory=list)  # per term: blocks with a posting
-    tops: list[np.ndarray] = field(default_factory=list)  # per term: largest weight in each of them
-    edges: list[np.ndarray] = field(default_factory=list)  # per term: where each block's postings start
-    posts: list[np.ndarray] = field(default_factory=list)  # per term: examples
-    weights: list[np.ndarray] = field(default_factory=list)
+    entries: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where each term's entries start
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of an entry: the block
+    tops: np.ndarray = field(default_factory=lambda: np.zeros(0))  # and the largest weight in it
+    edges: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # and where its postings start
+    posts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # examples, by term and number
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     empty: float = 0.0  # share of toxic among examples without a dimension
     base: float = 0.0  # share of toxic among the others
     curve: tuple[float, ...] = (0.0, 1.0, 0.0)
@@ -73,48 +75,53 @@ class Index:
         return at, weights / size, size
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray, float]]) -> None:
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.idf]
-        for example, (at, weights, _) in enumerate(vectors):
-            for i, weight in zip(at.tolist(), weights.tolist(), strict=True):
-                lists[i].append((example, weight))
-        for entries in lists:
-            posts = np.array([example for example, _ in entries], np.int64)
-            weights = np.array([weight for _, weight in entries])
-            blocks, first = np.unique(posts // BLOCK, return_index=True)
-            self.blocks.append(blocks)
-            self.tops.append(np.maximum.reduceat(weights, first) if len(first) else weights)
-            self.edges.append(np.append(first, len(posts)))
-            self.posts.append(posts)
-            self.weights.append(weights)
+        size = np.array([len(at) for at, *_ in vectors], np.int64)
+        term = np.concatenate([at for at, *_ in vectors]) if vectors else np.zeros(0, np.int64)
+        weights = np.concatenate([own for _, own, _ in vectors]) if vectors else np.zeros(0)
+        example = np.repeat(np.arange(len(vectors)), size)
+        order = np.lexsort((example, term))
+        term, self.posts, self.weights = term[order], example[order], weights[order]
+        block = self.posts // BLOCK
+        fresh = np.ones(len(term), bool)
+        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(fresh)
+        self.blocks, self.edges = block[first], np.append(first, len(term))
+        self.tops = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(term[first], np.arange(len(self.idf) + 1))
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with a common term, best first."""
-        bounds = np.zeros(-(-len(self.ids) // BLOCK))
-        for i, weight in zip(at, weights, strict=True):
-            bounds[self.blocks[i]] += weight * self.tops[i]
-        order = np.argsort(-bounds, kind="stable")
-        found, close, step, done = np.zeros(0, np.int64), np.zeros(0), 1, 0
-        while done < len(order) and bounds[order[done]] > 0:
-            if len(close) == k and bounds[order[done]] < close[-1] - 1e-12:
-                break
-            now = np.sort(order[done : done + step])
-            scores = np.zeros(len(now) * BLOCK)
-            for i, weight in zip(at, weights, strict=True):
-                own = np.searchsorted(self.blocks[i], now)
-                own[own == len(self.blocks[i])] = 0
-                hits = np.flatnonzero(self.blocks[i][own] == now) if len(self.blocks[i]) else []
-                for hit in hits:
-                    part = slice(self.edges[i][own[hit]], self.edges[i][own[hit] + 1])
-                    scores[self.posts[i][part] - now[hit] * BLOCK + hit * BLOCK] += weight * self.weights[i][part]
+        """Examples and cosines of the k nearest with a common term, best first.
+
+        The blocks of the highest bounds are scored first. Their k-th cosine is
+        what the bound of any other block must reach for it to be scored too.
+        """
+        found, close = np.zeros(0, np.int64), np.zeros(0)
+        fan = self.entries[at + 1] - self.entries[at]
+        entry = np.repeat(self.entries[at], fan) + spans(fan)
+        if not len(entry):
+            return found, close
+        weight, block = np.repeat(weights, fan), self.blocks[entry]
+        bounds = np.bincount(block, weight * self.tops[entry])
+        high = min(len(bounds), FIRST)
+        order = np.argpartition(-bounds, high - 1)
+        first = np.zeros(len(bounds), bool)
+        first[order[:high]] = True
+        left = ~first
+        for chosen in (first, left):
+            own = chosen[block]
+            at_, width = self.edges[entry[own]], self.edges[entry[own] + 1] - self.edges[entry[own]]
+            post = np.repeat(at_, width) + spans(width)
+            scores = np.bincount(self.posts[post], np.repeat(weight[own], width) * self.weights[post])
             there = np.flatnonzero(scores > 0)
-            examples = now[there // BLOCK] * BLOCK + there % BLOCK
-            own = examples != without
-            found = np.concatenate([found, examples[own]])
-            close = np.concatenate([close, np.round(scores[there[own]], 12)])
+            there = there[there != without]
+            found = np.concatenate([found, there])
+            close = np.concatenate([close, np.round(scores[there], 12)])
             best = np.lexsort((self.ids[found], -close))[:k]
             found, close = found[best], close[best]
-            done += step
-            step = min(2 * step, 64)
+            # The bound may come out a hair below an equal score.
+            left &= bounds > (close[-1] - 1e-9 if len(close) == k else 0)
+            if not left.any():
+                break
         return found, close
 
     def vote(self, found: np.ndarray, close: np.ndarray) -> float:
@@ -125,6 +132,11 @@ class Index:
         return 1 / (1 + exp(-max(-30.0, min(30.0, a + b * logit(raw) + c * log(size)))))
 
 
+def spans(widths: np.ndarray) -> np.ndarray:
+    """0..width-1 for every width, in one array."""
+    return np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
+
+
 def logit(p: float) -> float:
     p = min(max(p, 1e-4), 1 - 1e-4)
     return log(p / (1 - p))
