@@ -41,8 +41,8 @@ from . import common, shingles
 LENGTH = 200
 GRAM = 50  # bytes of an anchor
 SPAN = LENGTH - GRAM + 1  # places an anchor can have in a window
-BITS = 21
-SEGMENT = 1 << BITS  # bytes worked on at once
+SEGMENT = 1 << 19  # bytes worked on at once, a power of two
+ROWS = 500  # texts unpacked at once
 BLOCK = 16  # starts that are compared together
 RUN = 1024  # different contexts of an anchor that meet in a task
 
@@ -115,6 +115,14 @@ def anchored(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, last, place, grams[place].view(np.int64), context.view(np.int64)
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Small slices of batches with their texts as bytes, to hold few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield part, part.column("text").cast(pa.binary()).to_pylist()
+
+
 def segments(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Numbers of texts, where in them their parts start, and the parts, one segment in all at most.
 
@@ -145,9 +153,9 @@ def anchors(documents: DataFrame) -> DataFrame:
     """One row per anchor; shape packs the number of further windows and the anchor's offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in unpacked(batches):
             ids, keys = batch.column("id"), batch.column("key")
-            for numbers, origins, own in segments([text.encode() for text in batch.column("text").to_pylist()]):
+            for numbers, origins, own in segments(texts):
                 ends = np.cumsum([len(text) for text in own])
                 first, last, place, gram, context = anchored(np.frombuffer(b"".join(own), np.uint8), ends)
                 text = np.searchsorted(ends, first, side="right")
@@ -173,8 +181,8 @@ def repeated(documents: DataFrame) -> DataFrame:
     """Hashes of the anchors that occur twice at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, own in segments([text.encode() for text in batch.column("text").to_pylist()]):
+        for _, texts in unpacked(batches):
+            for _, _, own in segments(texts):
                 ends = np.cumsum([len(text) for text in own])
                 gram = anchored(np.frombuffer(b"".join(own), np.uint8), ends)[3]
                 gram, n = np.unique(gram, return_counts=True)
@@ -191,8 +199,8 @@ def packed(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            made = [press.compress(text.encode()) for text in batch.column("text").to_pylist()]
+        for batch, texts in unpacked(batches):
+            made = [press.compress(text) for text in texts]
             columns = [batch.column("id"), batch.column("key"), pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "key", "packed"])
 
@@ -203,7 +211,7 @@ CUT = "gram long, context long, shape int, n long, body binary"
 
 
 def contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of contexts, each from the one document named for it."""
+    """The bytes of contexts, each from the one document named for it; from every copy of a repeated row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -229,7 +237,7 @@ def contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     place = F.struct("first", "gram", "context", "shape", "n")
     places = wanted.groupBy("id", "key").agg(F.collect_list(place).alias("places"))
-    joined = packed(documents).dropDuplicates(["id", "key"]).alias("d").join(
+    joined = packed(documents).alias("d").join(
         places.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.key") == F.col("p.key"))
     )
     return joined.select("packed", "places").mapInArrow(run, CUT)
@@ -394,7 +402,7 @@ def meet(cut: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
-            own = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
+            own = distinct(pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch]))
             gram = own.column("gram").to_numpy()
             change = np.flatnonzero(gram[1:] != gram[:-1])
             full = int(change[-1]) + 1 if len(change) else 0
@@ -403,6 +411,13 @@ def meet(cut: DataFrame) -> DataFrame:
         if kept is not None:
             yield from parts(kept)
 
+    def distinct(own: pa.Table) -> pa.Table:
+        """Without rows that repeat the one before."""
+        keys = [own.column(name).to_numpy() for name in ("gram", "context", "shape")]
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = np.any([key[1:] != key[:-1] for key in keys], axis=0)
+        return own if fresh.all() else own.filter(pa.array(fresh))
+
     def parts(own: pa.Table) -> Iterator[pa.RecordBatch]:
         gram = own.column("gram").to_numpy()
         edges = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]]) if len(gram) else [0]
@@ -420,7 +435,7 @@ def meet(cut: DataFrame) -> DataFrame:
         columns += [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["gram", "context", "shape", "low", "high"]).filter(hit)
 
-    dealt = cut.repartition("gram").sortWithinPartitions("gram")
+    dealt = cut.repartition("gram").sortWithinPartitions("gram", "context", "shape")
     return dealt.mapInArrow(run, FOUND)
 
 
@@ -475,7 +490,7 @@ def spans(documents: DataFrame) -> DataFrame:
     found = copied.union(meet(contexts(documents, wanted.filter(F.col("kinds") <= RUN))))
     crowded = wanted.filter(F.col("kinds") > RUN)
     if not several.filter(F.col("kinds") > RUN).isEmpty():
-        found = found.union(count(contexts(documents, crowded)))
+        found = found.union(count(contexts(documents, crowded).dropDuplicates(["gram", "context", "shape"])))
     found = common.stage(found, "suffix-found")
     hit = placed.join(found, ["gram", "context", "shape"])
     span = F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + LENGTH).alias("stop"))
