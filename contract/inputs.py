@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from deskloom import fixed
 from deskloom.functions import text as t
 from deskloom.sources import corpus, tickets as src
 
@@ -75,6 +76,73 @@ TOOLS = [
 ]
 
 
+# Letters and digits, and their full-width forms.
+NARROW = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in NARROW)
+
+# (issue, its text, its last user message)
+ODD_ISSUES = [
+    ("[]", "", ""),
+    ("", "", ""),
+    (" not json ", "not json", "not json"),
+    ('{"role":"user","content":"x"}', '{"role":"user","content":"x"}', '{"role":"user","content":"x"}'),
+    ('"text"', '"text"', '"text"'),
+    ('[1,"x",null,{"content":5}]', "[USER]: 5", "5"),
+    ('[{"role":"user","content":null},{"role":null,"content":"z"}]', "[USER]: z", "z"),
+    ('[{"role":"user","content":"  "}]', "", ""),
+    ('[{"role":"agent","content":"only"}]', "[AGENT]: only", "[AGENT]: only"),
+    ('[{"content":"no role"}]', "[USER]: no role", "no role"),
+    ('[{"role":"user","content":"cut off"}', '[{"role":"user","content":"cut off"}', '[{"role":"user","content":"cut off"}'),
+]
+
+PERSONAL = {
+    "credit_card": "card 4111 1111 1111 1111 ok",
+    "ssn": "number 123-45-6789",
+    "email": "write to jo.d+x@mail.example.org",
+    "phone_us": "call 415-555-2671",
+    "phone_in": "call +91 98765 43210",
+    "aadhaar": "id 2345 6789 0123",
+    "pan": "pan ABCDE1234F",
+    "passport": "passport AB1234567",
+    "ip_address": "host 192.168.1.254",
+    "date_of_birth": "DOB: 1/2/1990",
+}
+
+
+def example(pattern: str) -> str:
+    """The plainest text that a pattern matches: first choices, least repeats."""
+    from re import _parser as parser
+
+    def text(parts) -> str:
+        out = ""
+        for kind, value in parts:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += chr(value)
+            elif kind == "BRANCH":
+                out += text(value[1][0])
+            elif kind == "SUBPATTERN":
+                out += text(value[-1])
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += text(value[2]) * value[0]
+            elif kind == "IN":
+                first, what = value[0]
+                first = str(first)
+                out += chr(what) if first == "LITERAL" else chr(what[0]) if first == "RANGE" else category(str(what))
+            elif kind == "ANY":
+                out += "x"
+        return out
+
+    def category(name: str) -> str:
+        return "w" if "NOT" in name else " " if "SPACE" in name else "7" if "DIGIT" in name else "w"
+
+    return text(parser.parse(pattern))
+
+
+EXAMPLES = [f"say {example(pattern)} so" for _, _, pattern, _ in fixed.INJECTION_RULES] + list(PERSONAL.values())
+EXPECTED = [reason for _, reason, _, _ in fixed.INJECTION_RULES] + list(PERSONAL)
+
+
 def pick(values, n: Column) -> Column:
     """The value at place n modulo the length of the list."""
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(n, F.lit(len(values))).cast("int"))
@@ -115,10 +183,8 @@ def tickets(spark: SparkSession, sf: str) -> DataFrame:
 
 def _made(spark: SparkSession, sf: str, values) -> DataFrame:
     """One generated model output per ticket; None leaves the ticket out."""
-    ids = turns(spark, sf).select(
-        "conv_id", F.floor(F.col("turn") / src.TURNS_PER_TICKET).cast("bigint").alias("part")
-    ).distinct()
-    rows = ids.select(F.concat_ws(":", "conv_id", "part").alias("ticket_id"), pick(values, F.col("conv_id")).alias("raw_json"))
+    ids = turns(spark, sf).select("conv_id").distinct()
+    rows = ids.select(F.col("conv_id").cast("string").alias("ticket_id"), pick(values, F.col("conv_id")).alias("raw_json"))
     return rows.where("raw_json is not null")
 
 
@@ -136,6 +202,10 @@ def injection_scores(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("ticket_id", parts[0].alias("label"), parts[1].cast("double").alias("score"))
 
 
+# Parameters whose description lists their values.
+DESCRIBED = {"method": "Way to verify: 'email', 'app', 'call'", "action": "What to change: 'up', 'down'"}
+
+
 def tool_entries() -> list[dict]:
     return [
         {
@@ -143,7 +213,7 @@ def tool_entries() -> list[dict]:
             "description": f"does {name}",
             "parameters": {
                 "type": "object",
-                "properties": {p: {"type": kind, "description": p} for p, kind in properties.items()},
+                "properties": {p: {"type": kind, "description": DESCRIBED.get(p, p)} for p, kind in properties.items()},
                 "required": required,
             },
         }
@@ -167,17 +237,28 @@ def queries(spark: SparkSession, sf: str, with_domain: bool = True) -> DataFrame
     )
 
 
+def hashed(weights: DataFrame, *key: str) -> DataFrame:
+    """Vectors of 64 places from weights (*key, term, weight): each term adds to
+    the place its md5 names."""
+    place = (F.conv(F.substring(F.md5(F.encode("term", "UTF-8")), 1, 4), 16, 10).cast("int") % 64).alias("place")
+    summed = weights.groupBy(*key, place).agg(F.sum("weight").alias("weight"))
+    cells = summed.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("cells"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.coalesce(F.try_element_at("cells", p), F.lit(0.0)))
+    return cells.select(*key, value.alias("embedding"))
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vector n is given to document n: an invented pairing."""
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vector n is given to query n too."""
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    """Query n has the sum of vectors n and n + 1: no document's own vector."""
+    one = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    two = one.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    added = F.zip_with("embedding", "next", lambda a, b: a + b)
+    return one.join(two, "vec_id").select(F.col("vec_id").alias("query_id"), added.alias("embedding"))
 
 
 def ticket_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(
-        F.concat_ws(":", "vec_id", F.lit("0")).alias("query_id"), "embedding"
-    )
+    return query_vectors(spark, sf).withColumn("query_id", F.col("query_id").cast("string"))

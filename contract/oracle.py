@@ -96,24 +96,25 @@ DOCS = f"""docs AS (
 SCANNED = f"""{DOCS}, plain AS (SELECT *, {normalise('content')} AS norm FROM docs),
 scanned AS (SELECT *, {pii_list('norm')} AS types FROM plain)"""
 
-PART = i.src.TURNS_PER_TICKET
-
 ROLLED = f"""lines AS (
-  SELECT conv_id, turn // {PART} AS part, turn, upper(coalesce(role, 'user')) AS role, {strip("coalesce(text, '')")} AS content
+  SELECT conv_id, turn, upper(coalesce(role, 'user')) AS role, {strip("coalesce(text, '')")} AS content
   FROM conversations),
 rolled AS (
-  SELECT conv_id, part, count(*) AS n_turns,
+  SELECT conv_id, count(*) AS n_turns,
          string_agg('[' || role || ']: ' || content, chr(10) ORDER BY turn) AS conversation_text,
          coalesce(arg_max(content, turn) FILTER (WHERE role = 'USER'),
                   string_agg('[' || role || ']: ' || content, chr(10) ORDER BY turn)) AS last_user_message
-  FROM lines WHERE content != '' GROUP BY conv_id, part)"""
+  FROM lines WHERE content != '' GROUP BY conv_id)"""
 
-TICKETS = f"""{ROLLED}, tickets AS (
-  SELECT conv_id || ':' || part AS ticket_id, conv_id, conversation_text, last_user_message,
+TICKETS = f"""{ROLLED}, issues AS (
+  SELECT conv_id, to_json(list(struct_pack(role := role, content := text) ORDER BY turn))::VARCHAR AS issue
+  FROM conversations GROUP BY conv_id),
+tickets AS (
+  SELECT conv_id::VARCHAR AS ticket_id, conv_id, issue, conversation_text, last_user_message,
          {pick([f for f, _ in i.SUBJECTS], 'conv_id')} AS family,
          {strip(pick([s for _, s in i.SUBJECTS], 'conv_id'))} AS subject,
          {strip(pick(i.COMPANY_FIELD, 'conv_id'))} AS company
-  FROM rolled)"""
+  FROM rolled JOIN issues USING (conv_id))"""
 
 ASKED = f"""{TICKETS}, asked AS (
   SELECT *, {squeeze(f"substr({strip('''subject || ' ' || last_user_message''')}, 1, {fixed.QUERY_CHARS})")} AS query,
@@ -227,6 +228,19 @@ def respond() -> str:
       WHEN contains({said}, 'fraud') OR contains({said}, 'identity') THEN {q(fixed.RESPONSE_FRAUD)}
       WHEN contains({said}, 'legal') THEN {q(fixed.RESPONSE_LEGAL)} ELSE {q(fixed.RESPONSE_DEFAULT)} END"""
     tools = listed([name for name, *_ in i.TOOLS])
+    known = {name for name, *_ in i.TOOLS}
+
+    def kept(raw):
+        """The calls of known tools as JSON text with sorted keys; the other cases have none."""
+        try:
+            calls = json.loads(raw)["actions_taken"]
+        except (TypeError, ValueError, KeyError):
+            return "[]"
+        calls = calls if isinstance(calls, list) else []
+        calls = [c for c in calls if isinstance(c, dict) and (c.get("action") or c.get("name")) in known]
+        return json.dumps(calls, separators=(",", ":"), sort_keys=True)
+
+    actions = pick([kept(raw) for raw in i.RESPONSES], "conv_id")
     text = strip("coalesce(a->>'$.response', '')")
     why = strip("coalesce(a->>'$.justification', '')")
     score = "coalesce(TRY_CAST(a->>'$.confidence_score' AS DOUBLE), 0.5)"
@@ -256,6 +270,7 @@ responded AS (
     CASE WHEN (up AND is_injection) OR a IS NULL THEN '' ELSE coalesce(array_to_string(
       list_transform(list_filter(list_transform(used, lambda v: {whole('v')}), lambda p: p BETWEEN 1 AND len(hit_paths)),
                      lambda p: replace(hit_paths[p], chr(92), '/')), '|'), '') END AS source_documents,
+    CASE WHEN (up AND is_injection) OR a IS NULL THEN '[]' ELSE {actions} END AS actions_taken,
     CASE WHEN (up AND is_injection) OR a IS NULL THEN '' ELSE coalesce(array_to_string(
       list_filter(list_transform(list_filter(calls, lambda c: json_type(c) = 'OBJECT'),
         lambda c: coalesce(nullif(c->>'$.action', ''), c->>'$.name', '')), lambda n: list_contains({tools}, n)), ','), '') END AS action_names
@@ -340,6 +355,9 @@ semantic AS (
   FROM nearest WHERE {fits})"""
 
 
+SUMS = """SELECT a.vec_id, list_transform(range(1, len(a.embedding) + 1), lambda n: a.embedding[n] + b.embedding[n]) AS embedding
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+
 DOC_UNITS = """doc_units AS (SELECT vec_id AS doc_id, embedding, domain FROM embeddings JOIN docs ON doc_id = vec_id)"""
 
 
@@ -356,7 +374,7 @@ def fused(n: int) -> str:
 
 
 HYBRID = f"""{LEXICON}, {item_queries()}, {lexical_top(24)},
-query_units AS (SELECT query_id, domain_filter, embedding FROM queries JOIN embeddings ON vec_id = query_id WHERE query != ''),
+query_units AS (SELECT query_id, domain_filter, embedding FROM queries JOIN ({SUMS}) ON vec_id = query_id WHERE query != ''),
 {DOC_UNITS}, {dense_top(24)}, {fused(fixed.FILE_CANDIDATES)}"""
 
 FUSED_COLUMNS = f"""query_id, doc_id, fused_rank, coalesce(semantic_rank, 0) AS semantic_rank, coalesce(lexical_rank, 0) AS lexical_rank, round(semantic_score, 6) AS semantic_score,
@@ -412,6 +430,8 @@ snippets AS (
   WHERE place <= {fixed.TOP_CHUNKS} GROUP BY ALL)"""
 
 
+CHUNK_HITS = "hits AS (SELECT doc_id % 40 AS query_id, doc_id FROM docs WHERE doc_id % 40 IN (SELECT query_id FROM queries))"
+
 LONG_HITS = f"""long_hits AS (SELECT query_id, doc_id FROM hits JOIN docs USING (doc_id) WHERE length(content) > {fixed.SMALL_DOC_CHARS}),
 long_docs AS (SELECT doc_id, content FROM docs WHERE doc_id IN (SELECT doc_id FROM long_hits))"""
 
@@ -506,22 +526,36 @@ def sql() -> dict[str, str]:
       SELECT vec_id, unnest(embedding::DOUBLE[]) AS value, unnest(range(1, len(embedding) + 1)) AS place,
              sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS length FROM embeddings)"""
 
-    def dense(domain: str, prefilter: bool) -> str:
-        return f"""WITH query_units AS (SELECT item_id AS query_id, {domain} AS domain_filter, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
+    def dense(domain: str, prefilter: bool, where: str = "") -> str:
+        return f"""WITH query_units AS (SELECT item_id AS query_id, {domain} AS domain_filter, embedding FROM benchmark JOIN ({SUMS}) ON vec_id = item_id {where}),
           doc_units AS (SELECT vec_id AS doc_id, label::VARCHAR AS domain, embedding FROM embeddings), {dense_top(24, prefilter)}
           SELECT query_id, doc_id, round(score, 6) AS score, rank FROM semantic"""
 
     out["dense_topk"] = dense("NULL::VARCHAR", False)
     out["dense_topk_domain"] = dense("(item_id % 10)::VARCHAR", False)
     out["dense_topk_prefilter"] = dense("(item_id % 10)::VARCHAR", True)
+    out["dense_topk_short"] = dense("NULL::VARCHAR", False, "WHERE item_id % 7 != 0")
+    out["documents_without_vector"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"
     out["rrf_fusion"] = f"WITH {HYBRID} SELECT {FUSED_COLUMNS} FROM fused"
     out["chunk_documents"] = f'WITH RECURSIVE {DOCS}, {chunks("docs")} SELECT doc_id, chunk_no::BIGINT AS chunk_no, start::BIGINT AS start, "end"::BIGINT AS "end", chunk FROM chunks'
     out["hybrid_topk"] = f"""WITH RECURSIVE {HYBRID}, hits AS (SELECT * FROM fused WHERE fused_rank <= {fixed.TOP_K}), {SNIPPED}
       SELECT {FUSED_COLUMNS}, doc_path, snippet, snippet = content AS is_full_file FROM snipped"""
     out["chunk_topk"] = f"""WITH RECURSIVE {LEXICON}, {item_queries()},
       {counted('query_terms', 'queries', 'query_id', 'query')}, {weighted('query_weights', 'query_terms', 'query_id')},
-      hits AS (SELECT query_id, query_id AS doc_id FROM queries), hit_docs AS (SELECT doc_id, content FROM docs JOIN hits USING (doc_id)),
-      {chunks('hit_docs')}, {snippets('hits')} SELECT query_id, chunk_numbers, snippet FROM snippets"""
+      {CHUNK_HITS}, {chunks('docs')}, {snippets('hits')} SELECT query_id, doc_id, chunk_numbers, snippet FROM snippets"""
+    place = "('0x' || substr(md5(term), 1, 4))::INT % 64"
+    out["chunk_topk_dense"] = f"""WITH RECURSIVE {LEXICON}, {item_queries()},
+      {counted('query_terms', 'queries', 'query_id', 'query')}, {weighted('query_weights', 'query_terms', 'query_id')},
+      {CHUNK_HITS}, {chunks('docs')}, {counted('chunk_terms', 'chunks', 'doc_id, chunk_no', 'chunk')},
+      {weighted('chunk_weights', 'chunk_terms', 'doc_id, chunk_no')},
+      a AS (SELECT query_id, {place} AS p, sum(weight) AS w FROM query_weights GROUP BY ALL),
+      b AS (SELECT doc_id, chunk_no, {place} AS p, sum(weight) AS w FROM chunk_weights GROUP BY ALL),
+      near AS (SELECT h.query_id, h.doc_id, b.chunk_no, round(sum(coalesce(a.w, 0) * b.w), 9) AS similarity
+               FROM hits h JOIN b ON b.doc_id = h.doc_id LEFT JOIN a ON a.query_id = h.query_id AND a.p = b.p
+               WHERE h.query_id IN (SELECT query_id FROM a) GROUP BY ALL)
+      SELECT query_id, doc_id, chunk_no::BIGINT AS chunk_no, round(similarity, 6) AS similarity, place FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY similarity DESC, chunk_no) AS place FROM near)
+      WHERE place <= {fixed.TOP_CHUNKS}"""
     out["classify_clamp"] = f"WITH {CLASSIFIED} SELECT ticket_id, language, true_company, product_area, request_type, risk_level, reasoning FROM classified"
     out["route_decision"] = f"WITH {CANNED_HITS}, {route('hitting')} SELECT ticket_id, status, array_to_string(reasons, '|') AS reasons FROM routed"
     out["response_clamp"] = f"""WITH {CANNED_HITS}, {route('hitting')}, {respond()}
@@ -534,11 +568,11 @@ def sql() -> dict[str, str]:
       FROM classified c LEFT JOIN (SELECT query_id, list(doc_path ORDER BY fused_rank) AS paths FROM hits JOIN docs USING (doc_id) GROUP BY query_id)
         ON query_id = ticket_id)"""
     out["triage"] = f"""WITH {DOCS}, {CLASSIFIED}, {ticket_hits},
-      query_units AS (SELECT query_id, domain_filter, embedding FROM queries JOIN embeddings ON vec_id || ':0' = query_id WHERE query != ''),
+      query_units AS (SELECT query_id, domain_filter, embedding FROM queries JOIN ({SUMS}) ON vec_id::VARCHAR = query_id WHERE query != ''),
       {DOC_UNITS}, {dense_top(24)}, {fused(fixed.FILE_CANDIDATES)},
       hits AS (SELECT * FROM fused WHERE fused_rank <= {fixed.TOP_K}), {hitting}, {route('hitting')}, {respond()}
-      SELECT ticket_id, subject, company, response, product_area, status, request_type,
-             reasoning || ' | Route: ' || array_to_string(reasons, '; ') || ' | ' || answer_why AS justification,
+      SELECT ticket_id, issue, actions_taken, subject, company, response, product_area, status, request_type,
+             reasoning || {q(fixed.ROUTE_PREFIX)} || array_to_string(reasons, '; ') || ' | ' || answer_why AS justification,
              round(confidence_score, 4) AS confidence_score, source_documents, risk_level,
              CASE WHEN pii_detected THEN 'true' ELSE 'false' END AS pii_detected, language FROM responded"""
 
@@ -588,9 +622,41 @@ def sql() -> dict[str, str]:
     out["tool_conformance"] = conformance()
     out["recency_rank"] = recency()
     out["misfiled_docs"] = misfiled()
+    out["source_disagreement"] = disagreement()
+    planted = f"(content || chr(10) || {pick(i.EXAMPLES, 'doc_id')})"
+    out["planted_rules"] = f"""WITH {DOCS}, plain AS (SELECT doc_id, {normalise(planted)} AS norm FROM docs)
+      SELECT doc_id, array_to_string({rule_list('norm', 1)}, '|') AS injection_reasons, array_to_string({pii_list('norm')}, '|') AS pii_types FROM plain"""
+    # Every planted text must be found, so nothing is matched here. The Russian rule cannot match.
+    out["planted_tally"] = f"""SELECT expected, count(*) FILTER (expected != 'RU-injection') AS passed,
+        count(*) FILTER (expected = 'RU-injection') AS failed
+      FROM (SELECT {pick(i.EXPECTED, 'doc_id')} AS expected FROM documents) GROUP BY expected"""
+    out["normalise_compatible"] = f"SELECT conv_id, turn, {normalise('text')} AS normalised FROM conversations"
+    out["odd_conversations"] = f"""SELECT doc_id, {pick([x for _, x, _ in i.ODD_ISSUES], 'doc_id')} AS conversation_text,
+      {pick([x for *_, x in i.ODD_ISSUES], 'doc_id')} AS last_user_message FROM documents"""
+    gap = "(conv_id % 3 = 0 OR conv_id % 5 = 0)"
+    safe = {
+        "response": fixed.RESPONSE_ERROR, "product_area": "unknown", "status": "escalated", "request_type": "product_issue",
+        "justification": fixed.JUSTIFICATION_ERROR, "source_documents": "", "risk_level": "high", "pii_detected": "false",
+        "language": "en", "actions_taken": "[]",
+    }
+    made = {"justification": f"reasoning || {q(fixed.ROUTE_PREFIX)} || array_to_string(reasons, '; ') || ' | ' || answer_why",
+            "pii_detected": "CASE WHEN pii_detected THEN 'true' ELSE 'false' END"}
+    cells = ", ".join(f"CASE WHEN {gap} THEN {q(text)} ELSE {made.get(name, name)} END AS {name}" for name, text in safe.items())
+    out["triage_failures"] = f"""WITH {CANNED_HITS}, {route('hitting')}, {respond()}
+      SELECT ticket_id, issue, subject, company, {cells},
+        CASE WHEN {gap} THEN {fixed.CONFIDENCE_FALLBACK} ELSE round(confidence_score, 4) END::DOUBLE AS confidence_score FROM responded"""
+    out["ticket_files"] = f"""WITH {TICKETS} SELECT row_number() OVER (ORDER BY conv_id % 5 != 0, conv_id) AS place, issue,
+      coalesce({pick([x for _, x in i.SUBJECTS], 'conv_id')}, '') AS subject,
+      CASE WHEN {pick(i.COMPANY_FIELD, 'conv_id')} = 'None' THEN '' ELSE {pick(i.COMPANY_FIELD, 'conv_id')} END AS company FROM tickets"""
+    rest = ", ".join(f"{q(c + ' ' + chr(34) + 'x' + chr(34) + ', ')} || doc_id AS {c}" for c in fixed.OUTPUT_COLUMNS[1:])
+    out["output_files"] = f"WITH {DOCS} SELECT row_number() OVER (ORDER BY doc_id) AS place, substr(content, 1, 400) AS issue, {rest} FROM docs"
+    out["corpus_files"] = f"""SELECT 'domain=' || lang AS domain, 'topic=' || source AS topic, 'page=' || doc_id AS subtopic,
+      sha256({strip('text')}) AS content_hash FROM documents WHERE {strip('text')} != ''"""
+    out["tool_files"] = """SELECT unnest(['name', 'action', 'keyed']) AS shape, n_name AS name, 'of ' || n_name AS description FROM nation"""
+    out["manifest_files"] = out["manifest_delta"]
     language = f"""WITH {DOCS}, found AS (SELECT doc_id, domain, regexp_extract_all(lower(content), '{LETTERS}') AS w FROM docs),
       hits AS ({" UNION ALL ".join(f"SELECT doc_id, domain, {q(name)} AS language, len(list_filter(w, lambda x: x IN {words_in(profile)})) AS n FROM found" for name, profile in sorted(fixed.LANGUAGE_WORDS.items()))}),
-      best AS (SELECT doc_id, domain, language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, language) AS place FROM hits) WHERE place = 1)"""
+      best AS (SELECT doc_id, domain, CASE WHEN n > 0 THEN language END AS language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, language) AS place FROM hits) WHERE place = 1)"""
     out["language_id"] = f"{language} SELECT doc_id, domain, language FROM best"
     out["language_accuracy"] = f"{language} SELECT language AS guess, domain AS truth, count(*) AS n FROM best GROUP BY ALL"
     return out
@@ -607,14 +673,14 @@ def response_prompts(short: str, safe: str) -> str:
         q(catalogue[: fixed.TOOLS_CHARS]),
     ]
     prompt = " || ".join(f"{q(text)} || {value}" for text, value in zip(RESPONSE_PROMPT.split("%s"), values))
-    one = f"""'[' || fused_rank || '] PATH: ' || doc_path || chr(10) || '    DOMAIN: ' || domain || ' / ' || topic || ' / ' || subtopic
-      || chr(10) || '    CONTENT:' || chr(10) || substr(snippet, 1, {fixed.SNIPPET_CHARS})"""
+    one = f"""'<document number=' || fused_rank || ' file=' || doc_path || ' about=' || domain || ' > ' || topic || ' > ' || subtopic
+      || '>' || chr(10) || substr(snippet, 1, {fixed.SNIPPET_CHARS}) || chr(10) || '</document>'"""
     return f"""WITH RECURSIVE {DOCS}, {CLASSIFIED}, {LEXICON.replace(DOCS + ', ', '')}, {TICKET_QUERIES}, {lexical_top(24)},
       semantic AS (SELECT query_id, doc_id, score, rank FROM lexical WHERE false), {fused(fixed.FILE_CANDIDATES)},
       hits AS (SELECT * FROM fused WHERE fused_rank <= {fixed.TOP_K}), {SNIPPED},
       hitting AS (
         SELECT c.*, corpus IS NOT NULL AS has_docs, corpus
-        FROM classified c LEFT JOIN (SELECT query_id, string_agg({one}, chr(10) || chr(10) ORDER BY fused_rank) AS corpus FROM snipped GROUP BY query_id)
+        FROM classified c LEFT JOIN (SELECT query_id, string_agg({one}, chr(10) ORDER BY fused_rank) AS corpus FROM snipped GROUP BY query_id)
           ON query_id = ticket_id), {route('hitting')}
       SELECT ticket_id, {prompt} AS prompt FROM routed WHERE NOT (status = 'escalated' AND is_injection)"""
 
@@ -622,11 +688,13 @@ def response_prompts(short: str, safe: str) -> str:
 def conformance() -> str:
     spec = ", ".join(
         f"({q(name)}, {listed(sorted(properties))}, {listed(sorted(required))}, "
-        f"{listed([p for p, kind in properties.items() if kind == 'number'])})"
+        f"{listed([p for p, kind in properties.items() if kind == 'number'])}, "
+        f"{listed([p for p in properties if p in i.DESCRIBED])})"
         for name, properties, required in i.TOOLS
     )
-    return f"""WITH tools(name, props, required, numbers) AS (VALUES {spec}),
-      rows AS (SELECT DISTINCT conv_id || ':' || (turn // {PART}) AS ticket_id, {pick(i.RESPONSES, 'conv_id')} AS r FROM conversations),
+    allowed = " ".join(f"WHEN {q(p)} THEN {listed(text.split(chr(39))[1::2])}" for p, text in i.DESCRIBED.items())
+    return f"""WITH tools(name, props, required, numbers, choices) AS (VALUES {spec}),
+      rows AS (SELECT DISTINCT conv_id::VARCHAR AS ticket_id, {pick(i.RESPONSES, 'conv_id')} AS r FROM conversations),
       calls AS (SELECT ticket_id, json_extract(r::JSON, '$.actions_taken[*]') AS calls FROM rows
                 WHERE r IS NOT NULL AND json_valid(r) AND json_type(TRY_CAST(r AS JSON), '$.actions_taken') = 'ARRAY'),
       named AS (SELECT *, list_transform(calls, lambda c: coalesce(nullif(c->>'$.action', ''), c->>'$.name')) AS names FROM calls),
@@ -638,6 +706,8 @@ def conformance() -> str:
         coalesce(array_to_string(list_sort(list_filter(keys, lambda p: CASE
             WHEN list_contains(t.numbers, p) THEN json_type(c, '$.parameters.' || p) NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE')
             WHEN list_contains(t.props, p) THEN json_type(c, '$.parameters.' || p) != 'VARCHAR' ELSE false END)), '|'), '') AS wrong_type,
+        coalesce(array_to_string(list_sort(list_filter(keys, lambda p: list_contains(t.choices, p) AND NOT list_contains(
+            CASE p {allowed} END, coalesce(json_extract_string(c, '$.parameters.' || p), '')))), '|'), '') AS wrong_value,
         coalesce(action IN {words_in(fixed.DESTRUCTIVE_TOOLS)}, false)
           AND NOT coalesce(list_contains(names[1:position], {q(fixed.VERIFY_TOOL)}), false) AS unverified
       FROM given LEFT JOIN tools t ON t.name = action"""
@@ -646,18 +716,28 @@ def conformance() -> str:
 def recency() -> str:
     return f"""WITH {LEXICON}, {item_queries()}, {lexical_top(24, True)},
       dated AS (SELECT *, ([TIMESTAMP '2026-03-16 20:39:36', NULL, TIMESTAMP '2026-02-19 15:31:00', TIMESTAMP '2017-07-18 16:48:39.721'])[doc_id % 4 + 1] AS d FROM lexical)
-      SELECT query_id, doc_id, d::VARCHAR AS doc_date, row_number() OVER (PARTITION BY query_id ORDER BY d DESC NULLS LAST, rank) AS preferred_rank FROM dated"""
+      SELECT query_id, doc_id, d::VARCHAR AS doc_date, doc_id % 3 + 1 AS depth,
+        row_number() OVER (PARTITION BY query_id ORDER BY d DESC NULLS LAST, doc_id % 3 DESC, rank) AS preferred_rank FROM dated"""
+
+
+def disagreement() -> str:
+    return f"""WITH {LEXICON}, {item_queries(False)}, {lexical_top(24, True)},
+      dated AS (SELECT query_id, domain, topic, ([NULL, DATE '2026-03-16', DATE '2026-02-19', DATE '2017-07-18'])[doc_id % 4 + 1] AS d
+                FROM lexical JOIN docs USING (doc_id)),
+      spans AS (SELECT query_id, domain, topic, count(*) AS n, max(d) - min(d) > 365 AS far FROM dated GROUP BY ALL),
+      found AS (SELECT query_id, sum(n)::BIGINT AS sources, coalesce(bool_or(far), false) AS stale, count(DISTINCT domain) > 1 AS mixed FROM spans GROUP BY query_id)
+      SELECT *, stale OR mixed AS low_confidence FROM found"""
 
 
 def misfiled() -> str:
     return f"""WITH {DOCS}, tokens AS (SELECT doc_id, domain, unnest({words('content')}) AS word FROM docs),
-      counts AS (SELECT doc_id, domain, word, count(*) AS tf FROM tokens GROUP BY ALL),
-      top AS (SELECT word, sum(tf) AS total FROM counts GROUP BY word ORDER BY total DESC, word LIMIT {fixed.VOCABULARY}),
-      model AS (SELECT word, domain AS candidate, sum(tf) AS n FROM counts JOIN top USING (word) GROUP BY ALL),
-      totals AS (SELECT candidate, sum(n) AS total FROM model GROUP BY candidate),
-      gains AS (SELECT doc_id, candidate, sum(tf * ln(n + 1)) AS gain FROM counts JOIN model USING (word) GROUP BY ALL),
-      lengths AS (SELECT doc_id, domain, sum(tf) AS length FROM counts JOIN top USING (word) GROUP BY ALL),
-      scored AS (SELECT doc_id, domain, candidate, round(gain - length * ln(total + (SELECT count(*) FROM top)), 6) AS score
-                 FROM gains JOIN totals USING (candidate) JOIN lengths USING (doc_id))
-      SELECT doc_id, domain, candidate AS best_domain, domain != candidate AS misfiled FROM (
-        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, candidate DESC) AS place FROM scored) WHERE place = 1"""
+      counts AS (SELECT doc_id, word, count(*) AS tf FROM tokens GROUP BY ALL),
+      model AS (SELECT word, domain AS candidate, count(*) AS n FROM tokens GROUP BY ALL),
+      sizes AS (SELECT candidate, sum(n) + (SELECT count(DISTINCT word) FROM tokens) AS size FROM model GROUP BY candidate),
+      scored AS (SELECT doc_id, s.candidate, round(sum(tf * ln(coalesce(n, 0) + 1)) - sum(tf) * ln(size), 6) AS score
+                 FROM counts CROSS JOIN sizes s LEFT JOIN model m ON m.word = counts.word AND m.candidate = s.candidate
+                 GROUP BY doc_id, s.candidate, size),
+      best AS (SELECT doc_id, candidate FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, candidate) AS place FROM scored) WHERE place = 1)
+      SELECT doc_id, domain, candidate AS best_domain, coalesce(domain != candidate, false) AS misfiled
+      FROM docs LEFT JOIN best USING (doc_id)"""

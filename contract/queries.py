@@ -1,10 +1,11 @@
 """The registered queries: thin wiring of the package to the driver's tables."""
 
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from contract import inputs as i
+from deskloom import fixed
 from deskloom.functions import safety as s, text as t
 from deskloom.operators import (
     chunking,
@@ -18,8 +19,8 @@ from deskloom.operators import (
     validation,
 )
 from deskloom.plans import index as ix, retrieval, triage as tr
-from deskloom.session import shared_folder, spread, stage
-from deskloom.sources import corpus
+from deskloom.session import new_folder, spread, stage
+from deskloom.sources import corpus, tickets as files
 
 QUERIES = {}
 
@@ -43,15 +44,18 @@ def joined(column: str):
 # --- safety on documents ------------------------------------------------------
 
 
+def personal_data(spark, sf):
+    return safety.personal_data(safety.normalised(spread(i.documents(spark, sf), "doc_id"), "content"))
+
+
 @query
 def pii_types(spark: SparkSession, sf: str) -> DataFrame:
-    found = safety.scan(spread(i.documents(spark, sf), "doc_id"), "content")
-    return found.select("doc_id", "pii_detected", joined("pii_types"))
+    return personal_data(spark, sf).select("doc_id", "pii_detected", joined("pii_types"))
 
 
 @query
 def pii_type_counts(spark, sf):
-    found = safety.scan(spread(i.documents(spark, sf), "doc_id"), "content")
+    found = personal_data(spark, sf)
     return found.select(F.explode("pii_types").alias("pii_type")).groupBy("pii_type").agg(F.count("*").alias("n"))
 
 
@@ -72,7 +76,7 @@ def redact_strict(spark, sf):
 
 @query
 def conversation_rollup(spark, sf):
-    return conversations.roll_up(i.turns(spark, sf), i.src.TURNS_PER_TICKET)
+    return conversations.roll_up(i.turns(spark, sf))
 
 
 @query
@@ -128,10 +132,39 @@ def rule_tally(spark, sf):
 
 @query
 def document_injections(spark, sf):
-    found = safety.scan(spread(i.documents(spark, sf), "doc_id"), "content")
+    found = safety.injections(safety.normalised(spread(i.documents(spark, sf), "doc_id"), "content"))
     return found.select("doc_id", "regex_injection", joined("injection_reasons"))
 
 
+@query
+def planted_rules(spark, sf):
+    """Every document with a text of one injection rule or personal-data type
+    behind it, so that each of them fires."""
+    docs = spread(i.documents(spark, sf), "doc_id")
+    planted = docs.withColumn("planted", F.concat("content", F.lit("\n"), i.pick(i.EXAMPLES, F.col("doc_id"))))
+    found = safety.scan(planted, "planted")
+    return found.select("doc_id", joined("injection_reasons"), joined("pii_types"))
+
+
+@query
+def planted_tally(spark, sf):
+    """How many of the planted texts of each rule and type were found."""
+    docs = spread(i.documents(spark, sf), "doc_id").select(
+        i.pick(i.EXAMPLES, F.col("doc_id")).alias("planted"), i.pick(i.EXPECTED, F.col("doc_id")).alias("expected")
+    )
+    found = safety.scan(docs, "planted")
+    hit = F.array_contains(F.concat("injection_reasons", "pii_types"), F.col("expected"))
+    return metrics.tally(found.withColumn("ok", hit), group="expected")
+
+
+@query
+def normalise_compatible(spark, sf):
+    """Letters and digits in their full-width form come back as they were."""
+    rows = spread(i.turns(spark, sf), "conv_id", "turn")
+    wide = F.translate("text", i.NARROW, i.WIDE)
+    return rows.select("conv_id", "turn", t.normalise(wide).alias("normalised"))
+
+
 @query
 def second_opinion(spark, sf):
     found = tr.screen(i.tickets(spark, sf), i.COMPANIES, i.injection_scores(spark, sf))
@@ -191,14 +224,13 @@ def incremental_refresh(spark, sf):
 
 @query
 def term_df(spark, sf):
-    docs = i.documents(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    return lexical.term_statistics(lexical.term_counts(docs, "doc_id"))
+    return lexical.term_statistics(lexical.term_counts(spread(i.documents(spark, sf), "doc_id"), "doc_id"))
 
 
 @query
 def tfidf_weights(spark, sf):
-    weights = lexical.build_index(i.documents(spark, sf)).weights
-    return weights.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+    index = lexical.build_index(spread(i.documents(spark, sf), "doc_id"))
+    return lexical.term_weights(index.weights, index.vocab, "doc_id").select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 def ranked(df):
@@ -220,7 +252,7 @@ def tfidf_topk_nonzero(spark, sf):
 @query
 def index_roundtrip(spark, sf):
     """The search over an index that was written to the shared folder and loaded."""
-    folder = f"{shared_folder(spark)}/deskloom-index-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "index")
     ix.save(ix.build(i.documents(spark, sf)), folder)
     index = ix.load(spark, folder, with_vectors=False)
     return ranked(lexical.top_documents(i.queries(spark, sf), index.lexical, 24))
@@ -242,6 +274,15 @@ def dense_queries(spark, sf, domain=None):
 
 
 
+@query
+def dense_topk_short(spark, sf):
+    """The first query and every seventh have a vector that is too short: they
+    find nothing, and the others what they find without them."""
+    asked = dense_queries(spark, sf)
+    cut = F.when(F.col("query_id") % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    return ranked(dense.top_documents(asked.withColumn("embedding", cut), labelled(spark, sf), 24))
+
+
 @query
 def unit_vectors(spark, sf):
     units = dense.normalise_vectors(labelled(spark, sf))
@@ -305,18 +346,39 @@ def hybrid_topk(spark, sf):
     return fused_columns(hits, "doc_path", "snippet", "is_full_file")
 
 
+def chunk_hits(spark, sf):
+    """Every document is a hit of the query whose number is its own modulo 40."""
+    ids = i.documents(spark, sf).select("doc_id")
+    return ids.select(F.pmod("doc_id", F.lit(40)).alias("query_id"), "doc_id")
+
+
 @query
 def chunk_topk(spark, sf):
-    """The chosen chunks of every document for the query of the same number."""
+    """The chosen chunks of every document for one query."""
     docs = i.documents(spark, sf)
     index = lexical.build_index(docs)
     asked = i.queries(spark, sf)
-    hits = asked.select("query_id", F.col("query_id").alias("doc_id"))
-    asked_for = docs.join(hits.select("doc_id"), "doc_id", "left_semi").select("doc_id", "content")
-    chunks = stage(chunking.chunk(asked_for), "chunks")
+    hits = chunk_hits(spark, sf)
+    chunks = stage(chunking.chunk(spread(docs, "doc_id").select("doc_id", "content")), "chunks")
     rank = chunking.rank_chunks_lexical(hits, chunks, asked, index.vocab)
     best = chunking.join_chunks(chunking.best_chunks(rank), chunks)
-    return best.select("query_id", F.array_join("chunk_numbers", ",").alias("chunk_numbers"), "snippet")
+    return best.select("query_id", "doc_id", F.array_join("chunk_numbers", ",").alias("chunk_numbers"), "snippet")
+
+
+@query
+def chunk_topk_dense(spark, sf):
+    """The same by vectors of chunks and queries: tf-idf weights hashed to 64 places."""
+    docs = i.documents(spark, sf)
+    index = lexical.build_index(docs)
+    chunks = stage(chunking.chunk(spread(docs, "doc_id").select("doc_id", "content")), "chunks")
+    counted = lexical.terms(chunks, "doc_id", "chunk_no", text="chunk")
+    weights = lexical.weigh(counted, index.vocab, "doc_id", "chunk_no")
+    chunk_vectors = i.hashed(lexical.term_weights(weights, index.vocab, "doc_id", "chunk_no"), "doc_id", "chunk_no")
+    asked = lexical.query_weights(i.queries(spark, sf), index.vocab)
+    query_vectors = i.hashed(lexical.term_weights(asked, index.vocab, "query_id"), "query_id")
+    rank = chunking.rank_chunks_dense(chunk_hits(spark, sf), chunk_vectors, query_vectors)
+    best = chunking.best_chunks(rank)
+    return best.select("query_id", "doc_id", "chunk_no", F.round("similarity", 6).alias("similarity"), "place")
 
 
 # --- model outputs, routing, output -------------------------------------------------
@@ -372,8 +434,16 @@ def triage(spark, sf):
     models = tr.Models(
         i.classifications(spark, sf), i.responses(spark, sf), i.injection_scores(spark, sf), i.ticket_vectors(spark, sf)
     )
-    rows = tr.triage(i.tickets(spark, sf), hybrid_index(spark, sf), i.tools(spark), i.COMPANIES, models)
-    return rows.drop("actions_taken", "issue")
+    return tr.triage(i.tickets(spark, sf), hybrid_index(spark, sf), i.tools(spark), i.COMPANIES, models)
+
+
+@query
+def triage_failures(spark, sf):
+    """Rows with a gap, every third by a missing area and every fifth by a
+    missing answer, take the safe default as a whole."""
+    rows = tr.respond(decided(spark, sf), i.responses(spark, sf), i.tools(spark))
+    gap = lambda n, name: F.when(F.col("conv_id") % n != 0, F.col(name))
+    return tr.output_row(rows.withColumns({"product_area": gap(3, "product_area"), "answer": gap(5, "answer")}))
 
 
 @query
@@ -386,7 +456,7 @@ def response_prompts(spark, sf):
     """One prompt per ticket with its numbered documents (lexical retrieval)."""
     index = ix.build(i.documents(spark, sf))
     tickets = screened(spark, sf)
-    hits = retrieval.hybrid_topk(tr.ticket_queries(tickets), index)
+    hits = retrieval.hybrid_topk(tr.ticket_queries(tr.ask(i.tickets(spark, sf), i.COMPANIES)), index)
     routed = tr.decide(tr.classify(tr.attach_hits(tickets, hits), i.classifications(spark, sf), i.COMPANIES))
     return tr.response_prompts(routed, i.tools(spark))
 
@@ -435,8 +505,7 @@ def output_report(spark, sf):
 def judged(spark, sf):
     """Labels as truth: a document of good quality should be replied to; a
     document with personal data counts as escalated."""
-    found = safety.scan(spread(i.documents(spark, sf), "doc_id"), "content")
-    rows = found.join(i.table(spark, sf, "labels"), "doc_id")
+    rows = personal_data(spark, sf).join(i.table(spark, sf, "labels"), "doc_id")
     return rows.select(
         "doc_id",
         "pii_detected",
@@ -523,7 +592,8 @@ def tool_conformance(spark, sf):
     )
     checked = metrics.tool_conformance(rows, i.tools(spark))
     return checked.select(
-        "ticket_id", "position", "action", "known", joined("missing"), joined("unknown"), joined("wrong_type"), "unverified"
+        "ticket_id", "position", "action", "known", joined("missing"), joined("unknown"), joined("wrong_type"),
+        joined("wrong_value"), "unverified"
     )
 
 
@@ -540,9 +610,107 @@ def recency_rank(spark, sf):
     key = i.pick(["last_updated_iso", "title", "last_updated_exact", "last_modified"], F.col("doc_id"))
     head = F.concat(F.lit('---\n'), key, F.lit(': "'), F.coalesce(i.pick(DATES, F.col("doc_id")), F.lit("none")), F.lit('"\n---\n'))
     front = corpus.front_matter(head)["front"]
-    dated = hits.withColumn("doc_date", corpus.front_date(front)).withColumn("depth", F.lit(3))
+    path = F.concat(F.lit("data/"), F.repeat(F.lit("sub/"), F.pmod("doc_id", F.lit(3)).cast("int")), F.lit("a.md"))
+    dated = hits.withColumn("doc_date", corpus.front_date(front)).withColumn("depth", quality.path_depth(path))
     best = quality.prefer_recent(dated.withColumnRenamed("rank", "fused_rank"))
-    return best.select("query_id", "doc_id", F.col("doc_date").cast("string").alias("doc_date"), "preferred_rank")
+    return best.select("query_id", "doc_id", F.col("doc_date").cast("string").alias("doc_date"), "depth", "preferred_rank")
+
+
+@query
+def source_disagreement(spark, sf):
+    """Queries whose sources are of several domains or of dates far apart."""
+    docs = i.documents(spark, sf)
+    hits = lexical.top_documents(i.queries(spark, sf, False), lexical.build_index(docs), 24, drop_zero=True)
+    dates = [None, "2026-03-16 20:39:36", "2026-02-19 15:31:00", "2017-07-18 16:48:39"]
+    dated = hits.join(docs.select("doc_id", "domain", "topic"), "doc_id").withColumn(
+        "doc_date", i.pick(dates, F.col("doc_id")).cast("timestamp")
+    )
+    return quality.disagreement(dated)
+
+
+@query
+def documents_without_vector(spark, sf):
+    return ix.without_vectors(hybrid_index(spark, sf))
+
+
+# --- files ----------------------------------------------------------------------------
+
+
+def placed(df, *columns):
+    """Rows with their place in the order of ticket_id, numbered per block of ids."""
+    return df.select(F.row_number().over(Window.orderBy("ticket_id")).alias("place"), *columns)
+
+
+@query
+def ticket_files(spark, sf):
+    """Tickets written as two CSV files, the second much larger, and read back
+    in file order."""
+    folder = new_folder(spark, "tickets")
+    rows = i.tickets(spark, sf).select("conv_id", F.col("issue").alias("Issue"), F.col("subject").alias("Subject"), F.col("company").alias("Company"))
+    for name, part in (("a", "conv_id % 5 = 0"), ("b", "conv_id % 5 != 0")):
+        one = rows.where(part).coalesce(1).sortWithinPartitions("conv_id").drop("conv_id")
+        one.write.options(**files.WRITTEN).csv(f"{folder}/{name}")
+    back = files.read_tickets(spark, f"{folder}/*")
+    return placed(back, "issue", "subject", "company")
+
+
+@query
+def output_files(spark, sf):
+    """An output table written as CSV in input order and read back."""
+    folder = new_folder(spark, "output")
+    docs = i.documents(spark, sf)
+    rest = [F.concat(F.lit(f"{c} \"x\", "), F.col("doc_id").cast("string")).alias(c) for c in fixed.OUTPUT_COLUMNS[1:]]
+    rows = docs.select(F.col("doc_id").alias("ticket_id"), F.substring("content", 1, 400).alias("issue"), *rest)
+    files.write_output(rows.repartition(5), folder)
+    return placed(files.numbered(files.read_table(spark, folder, "_file")), *fixed.OUTPUT_COLUMNS)
+
+
+@query
+def corpus_files(spark, sf):
+    """Documents written as one file each and read back as a corpus. One folder
+    below the root has the root's own name."""
+    root = f"{new_folder(spark, 'corpus')}/topic=src0"
+    docs = i.table(spark, sf, "documents").withColumnsRenamed({"lang": "domain", "source": "topic"})
+    rows = docs.select("domain", "topic", F.col("doc_id").alias("page"), "text")
+    rows.write.partitionBy("domain", "topic", "page").text(root)
+    back = corpus.read_corpus(spark, root, pattern="*.txt")
+    return back.select("domain", "topic", "subtopic", "content_hash")
+
+
+@query
+def tool_files(spark, sf):
+    """Catalogues of every shape, made of the nations, written as JSON and read back."""
+    tool = F.struct(F.concat(F.lit("of "), "n_name").alias("description"))
+    rows = i.table(spark, sf, "nation")
+    named = {c: F.to_json(F.collect_list(F.struct(F.col("n_name").alias(c), tool["description"].alias("description")))) for c in ("name", "action")}
+    shapes = {
+        **named,
+        "keyed": F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", tool)))),
+        "broken": F.concat(F.lit("["), F.max("n_name")),
+    }
+    found = []
+    for shape, text in shapes.items():
+        folder = new_folder(spark, f"tools-{shape}")
+        rows.agg(text.alias("value")).write.text(folder)
+        found.append(corpus.read_tools(spark, f"{folder}-none", folder).select(F.lit(shape).alias("shape"), "name", "description"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def manifest_files(spark, sf):
+    """The manifest on disk against a newer corpus."""
+    old, new = versions(spark, sf)
+    folder = new_folder(spark, "manifest")
+    manifest.write(old, folder)
+    return manifest.delta(manifest.read(spark, folder), new)
+
+
+@query
+def odd_conversations(spark, sf):
+    """Issues that are no well-formed list of messages."""
+    docs = i.documents(spark, sf)
+    odd = docs.select("doc_id", i.pick([issue for issue, *_ in i.ODD_ISSUES], F.col("doc_id")).alias("issue"))
+    return conversations.parse_conversations(odd).select("doc_id", "conversation_text", "last_user_message")
 
 
 @query

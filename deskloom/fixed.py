@@ -40,6 +40,8 @@ CYRILLIC = (
 )
 CYRILLIC_AS_LATIN = "aeorcxiesyBCEHKMOPTXA"
 WORD = r"[\p{L}\p{N}_]{2,}"
+# Marks a chunk may end behind, by rank.
+CHUNK_MARKS = ["\n\n", ". ", "? ", "! ", "\n"]
 
 # --- prompt-injection rules ---------------------------------------------------
 # (family, reason, pattern, gate). The gate is our own addition: groups of
@@ -209,11 +211,18 @@ RESPONSE_ERROR = (
 REASONING_INJECTION = "Prompt injection detected by safety layer — classified directly"
 REASONING_FALLBACK = "Classification failed — safe defaults applied"
 JUSTIFICATION_EMPTY = "See response above"
+JUSTIFICATION_INJECTION = "Prompt injection detected; immediate escalation. Reasons: "
+JUSTIFICATION_ERROR = "Processing error: incomplete row"
+ROUTE_PREFIX = " | Route: "
 JUSTIFICATION_FALLBACK = "Responder API failure — fallback response issued"
 CONFIDENCE_INJECTION = 0.99
 CONFIDENCE_FALLBACK = 0.1
 CONFIDENCE_MISSING = 0.5
 
+REASON_PATTERNS = "patterns: "
+REASON_RISK = "risk_level="
+REASON_LOW_RISK = "; no corpus docs but low risk"
+REASON_NONE = "no reason recorded"
 REASON_INJECTION = "prompt injection detected"
 REASON_CRITICAL = "risk_level=critical"
 REASON_LEGAL = "legal threat: "

@@ -4,16 +4,22 @@ Each one is a small block function: Spark partitions the rows, the helper works
 on one batch (or one run of batches) and keeps bounded state.
 """
 
+import re
 import unicodedata
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from deskloom import fixed
+
 # Largest score matrix (queries x documents) held at once: 4M doubles = 32 MB.
 TILE_CELLS = 4_000_000
 # Largest number of posting products expanded at once.
 TILE_PRODUCTS = 4_000_000
+# Rows that wait before they are ranked with the rows held.
+WAITING_ROWS = 500_000
 
 
 def nfkc(text):
@@ -28,35 +34,45 @@ def matches(text, pattern):
     return pc.match_substring_regex(plain, pattern)
 
 
-def chunk_offsets(text, size, overlap):
-    """Start and end of every chunk of one text, cut at sentence ends."""
-    if len(text) <= size:
-        return [(0, len(text))]
-    spans = []
-    start, total = 0, len(text)
-    while start < total:
-        end = min(start + size, total)
-        if end < total:
-            low = max(start + 1, end - size // 5)
-            cut = -1
-            for mark in ("\n\n", ". ", "? ", "! ", "\n"):
-                at = text.rfind(mark, low, end)
-                # A mark counts when it starts beyond the cut found so far.
-                if at >= 0 and at - low > cut:
-                    cut = at - low + len(mark)
-            if cut >= 0:
-                end = low + cut
-        end = max(end, start + 1)
-        spans.append((start, end))
-        start = end - overlap if end - overlap > start else end
-    return spans
+def sentence_ends(text):
+    """Where each of the marks that may end a chunk stands, per mark in rising order."""
+    return [[found.start() for found in re.finditer(f"(?={re.escape(mark)})", text)] for mark in fixed.CHUNK_MARKS]
+
+
+def cut_before(ends, low, high):
+    """The place to cut between low and high: behind a mark that fits in, high if none does.
+
+    Marks come by rank. A later one counts only if it starts behind the cut.
+    """
+    cut = None
+    for mark, places in zip(fixed.CHUNK_MARKS, ends, strict=True):
+        last = bisect_right(places, high - len(mark)) - 1
+        if last >= 0 and places[last] >= (low if cut is None else cut + 1):
+            cut = places[last] + len(mark)
+    return high if cut is None else cut
+
+
+def chunk_spans(text, size, overlap):
+    """Start and end of every chunk of one text, cut behind sentences where it can be.
+
+    A cut is looked for in the last fifth of a chunk. Chunks overlap, unless that
+    would not get on.
+    """
+    whole = len(text)
+    ends = sentence_ends(text) if whole > size else ()
+    start = 0
+    while start < whole:
+        high = start + size
+        end = whole if high >= whole else max(start + 1, cut_before(ends, max(start + 1, high - size // 5), high))
+        yield start, end
+        start = max(end - overlap, start) if end - overlap > start else end
 
 
 def chunks(texts, size, overlap, drop_tail):
-    """Chunks of every text with their places, blank ones left out."""
+    """Chunks of every text with their places, blank ones left out; none of null."""
     offsets, starts, ends, parts = [0], [], [], []
     for text in texts.to_pylist():
-        spans = chunk_offsets(text, size, overlap)
+        spans = list(chunk_spans(text, size, overlap)) if text else []
         if drop_tail and len(spans) > 1 and spans[-2][1] == len(text):
             spans.pop()
         for a, b in spans:
@@ -73,6 +89,63 @@ def chunks(texts, size, overlap, drop_tail):
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
+def flat_lists(lists):
+    """All values of a list column, the row of each, and the number of rows; null counts as empty."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    width = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.repeat(np.arange(len(width)), width), len(width)
+
+
+def list_array(row, n, **columns):
+    """A list column of structs from flat columns sorted by row."""
+    offsets = np.searchsorted(row, np.arange(n + 1))
+    values = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def tally(lists):
+    """Distinct terms of every list with how often they occur, by first letter order of the batch."""
+    terms, row, n = flat_lists(lists)
+    coded = terms.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    wide = max(1, len(coded.dictionary))
+    pairs, count = np.unique(row * wide + codes, return_counts=True)
+    found = coded.dictionary.take(pa.array(pairs % wide)).cast(pa.string())
+    return list_array(pairs // wide, n, term=found, tf=pa.array(count.astype(np.int32)))
+
+
+def weigh(lists, vocabulary):
+    """Unit tf-idf vectors from lists of (term, tf): (slot, tf, weight) by slot.
+
+    vocabulary: the known terms, their slots and their inverse document frequencies.
+    """
+    known, slots, idf = vocabulary
+    counted, row, n = flat_lists(lists)
+    at = pc.index_in(counted.field("term"), value_set=known)
+    inside = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    place = at.drop_null().to_numpy(zero_copy_only=False)
+    row, tf = row[inside], counted.field("tf").to_numpy(zero_copy_only=False)[inside]
+    slot = slots[place]
+    order = np.lexsort((slot, row))
+    row, tf, slot, raw = row[order], tf[order], slot[order], (tf * idf[place])[order]
+    length = np.sqrt(np.bincount(row, raw * raw, n))
+    weight = raw / length[row] if len(row) else raw
+    return list_array(row, n, slot=pa.array(slot, pa.int64()), tf=pa.array(tf, pa.int32()), weight=pa.array(weight))
+
+
+def sparse_dot(first, second):
+    """Dot product of two list columns of (slot, weight), row by row."""
+    sides = []
+    for lists in (first, second):
+        values, row, n = flat_lists(lists)
+        sides.append((row, values.field("slot").to_numpy(zero_copy_only=False), values.field("weight").to_numpy(zero_copy_only=False)))
+    slots, code = np.unique(np.concatenate([slot for _, slot, _ in sides]), return_inverse=True)
+    split = len(sides[0][0])
+    keys = [row * max(1, len(slots)) + own for (row, *_), own in zip(sides, (code[:split], code[split:]), strict=True)]
+    _, i, j = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+    return pa.array(np.bincount(sides[0][0][i], sides[0][2][i] * sides[1][2][j], n))
+
+
 def best_rows(query, doc, score, n):
     """Indices of the n best rows of every query: score down, document up."""
     order = np.lexsort((doc, -score, query))
@@ -84,24 +157,41 @@ def best_rows(query, doc, score, n):
 
 
 class Best:
-    """Running n best (query, document, score, fits) rows of one task."""
+    """Running n best (query, document, score, fits) rows of one task.
 
-    def __init__(self, n):
+    Rows are gathered and ranked in bulk. From then on a query's n-th score is
+    the least that a row needs, so most rows never get in.
+    """
+
+    def __init__(self, n, queries):
         self.n = n
-        self.rows = None
+        self.least = np.full(queries, -np.inf)
+        self.parts = []
+        self.waiting = 0
+        self.held = 0
 
     def add(self, *rows):
-        if len(rows[0]) == 0:
-            return
-        if self.rows is not None:
-            rows = [np.concatenate(pair) for pair in zip(self.rows, rows)]
+        if len(rows[0]):
+            self.parts.append(rows)
+            self.waiting += len(rows[0])
+        if self.waiting > max(WAITING_ROWS, self.held):
+            self.rank()
+
+    def rank(self):
+        rows = [np.concatenate(columns) for columns in zip(*self.parts, strict=True)]
         keep = best_rows(*rows[:3], self.n)
-        self.rows = [column[keep] for column in rows]
+        rows = [column[keep] for column in rows]
+        query, score = rows[0], rows[2]
+        count = np.bincount(query, minlength=len(self.least))
+        full = np.flatnonzero(count >= self.n)
+        self.least[full] = score[np.cumsum(count)[full] - 1]
+        self.parts, self.waiting, self.held = [rows], 0, len(query)
 
     def batches(self, query_ids, doc_type, rows=50_000):
-        if self.rows is None:
+        if not self.parts:
             return
-        query, doc, score, fits = self.rows
+        self.rank()
+        query, doc, score, fits = self.parts[0]
         for at in range(0, len(query), rows):
             part = slice(at, at + rows)
             yield pa.RecordBatch.from_arrays(
@@ -145,18 +235,17 @@ def allowed(query_code, doc_code):
     return (query_code[:, None] < 0) | (query_code[:, None] == doc_code[None, :])
 
 
-def top_of_tile(scores, fits, candidates, docs, n, first_query):
-    """The n best candidate cells of every row of one score tile."""
-    scores = np.where(candidates, scores, -np.inf)
-    if scores.shape[1] > n:
-        edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-        rows, cols = np.nonzero((scores >= edge) & candidates)
-    else:
-        rows, cols = np.nonzero(candidates)
-    found = scores[rows, cols]
-    keep = best_rows(rows, docs[cols], found, n)
-    rows, cols = rows[keep], cols[keep]
-    return rows + first_query, docs[cols], found[keep], fits[rows, cols]
+def top_of_tile(scores, fits, candidates, docs, best, first_query):
+    """The candidate cells of a score tile that may be among the best of their query."""
+    least = best.least[first_query : first_query + len(scores)]
+    good = candidates & (scores >= least[:, None])
+    crowded = np.flatnonzero(good.sum(axis=1) > best.n)
+    if len(crowded):
+        own = np.where(good[crowded], scores[crowded], -np.inf)
+        edge = -np.partition(-own, best.n - 1, axis=1)[:, best.n - 1 : best.n]
+        good[crowded] &= own >= edge
+    rows, cols = np.nonzero(good)
+    return rows + first_query, docs[cols], scores[rows, cols], fits[rows, cols]
 
 
 def dense_top(batches, block, n, prefilter):
@@ -166,20 +255,20 @@ def dense_top(batches, block, n, prefilter):
     code of every query.
     """
     query_ids, vectors, names, domains = block
-    best, doc_type = Best(n), None
+    best, doc_type = Best(n, len(vectors)), None
     for batch in batches:
         doc_type = batch.column("doc_id").type
         docs = as_numpy(batch.column("doc_id"))
         doc_domain = domain_codes(names, as_numpy(batch.column("domain").fill_null("")))
         unit = matrix(batch.column("embedding"), vectors.shape[1])
-        step_q = min(len(vectors), 4096)
-        step_d = max(1, TILE_CELLS // max(1, step_q))
+        step_q = max(1, min(len(vectors), 4096))
+        step_d = max(1, TILE_CELLS // step_q)
         for d in range(0, len(docs), step_d):
             for q in range(0, len(vectors), step_q):
                 scores = np.round(vectors[q : q + step_q] @ unit[d : d + step_d].T, 9)
                 fits = allowed(domains[q : q + step_q], doc_domain[d : d + step_d])
                 candidates = fits if prefilter else np.ones_like(fits)
-                best.add(*top_of_tile(scores, fits, candidates, docs[d : d + step_d], n, q))
+                best.add(*top_of_tile(scores, fits, candidates, docs[d : d + step_d], best, q))
     if doc_type is not None:
         yield from best.batches(query_ids, doc_type)
 
@@ -187,61 +276,73 @@ def dense_top(batches, block, n, prefilter):
 def sparse_top(batches, block, n):
     """n best documents per query by sparse dot product, scores above zero only.
 
-    Input rows are postings (doc_id, domain, slot, weight), all rows of one
-    document next to each other. block: query ids, sorted domain names, domain
-    code of every query, and the query postings sorted by slot (slot starts,
-    query numbers, weights).
+    Input rows are documents (doc_id, domain, postings) with postings (slot,
+    weight) by slot. block: query ids, sorted domain names, domain code of every
+    query, and the query postings by slot (known slots, their starts, query
+    numbers, weights).
     """
-    query_ids, names, domains, starts, post_query, post_weight = block
-    best, doc_type, held = Best(n), None, None
-
-    def score(docs, doc_domain, slots, weights):
-        change = np.r_[0, np.flatnonzero(docs[1:] != docs[:-1]) + 1]
-        ids, id_domain = docs[change], domain_codes(names, doc_domain[change])
-        number = np.repeat(np.arange(len(change)), np.diff(np.r_[change, len(docs)]))
-        # Fixed order within a document, so equal documents get equal sums.
-        order = np.lexsort((slots, number))
-        slots, weights = slots[order], weights[order]
-        step = max(1, TILE_CELLS // len(domains))
-        for d in range(0, len(ids), step):
+    query_ids, names, domains, known, starts, post_query, post_weight = block
+    best, doc_type = Best(n, len(domains)), None
+    step = max(1, TILE_CELLS // max(1, len(domains)))
+    for batch in batches:
+        doc_type = batch.column("doc_id").type
+        docs = as_numpy(batch.column("doc_id"))
+        doc_domain = domain_codes(names, as_numpy(batch.column("domain").fill_null("")))
+        values, number, _ = flat_lists(batch.column("postings"))
+        slots = values.field("slot").to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, slots), max(0, len(known) - 1))
+        wanted = np.flatnonzero(known[at] == slots) if len(known) else np.zeros(0, int)
+        slots, number = at[wanted], number[wanted]
+        weights = values.field("weight").to_numpy(zero_copy_only=False)[wanted]
+        for d in range(0, len(docs), step):
             low, high = np.searchsorted(number, [d, d + step])
-            width = min(step, len(ids) - d)
+            if low == high:
+                continue
+            width = min(step, len(docs) - d)
             total = np.zeros(len(domains) * width)
             fan = starts[slots[low:high] + 1] - starts[slots[low:high]]
             edges = np.r_[0, np.cumsum(fan)]
-            at = 0
-            while at < high - low:
-                upto = max(at + 1, np.searchsorted(edges, edges[at] + TILE_PRODUCTS, "right") - 1)
-                count = fan[at:upto]
-                source = np.repeat(np.arange(low + at, low + upto), count)
-                within = np.arange(count.sum()) - np.repeat(edges[at:upto] - edges[at], count)
+            i = 0
+            while i < high - low:
+                upto = max(i + 1, np.searchsorted(edges, edges[i] + TILE_PRODUCTS, "right") - 1)
+                count = fan[i:upto]
+                source = np.repeat(np.arange(low + i, low + upto), count)
+                within = np.arange(count.sum()) - np.repeat(edges[i:upto] - edges[i], count)
                 posting = starts[slots[source]] + within
                 cell = post_query[posting] * width + (number[source] - d)
                 total += np.bincount(cell, weights[source] * post_weight[posting], len(total))
-                at = upto
+                i = upto
             scores = np.round(total.reshape(len(domains), width), 9)
-            fits = allowed(domains, id_domain[d : d + width])
-            best.add(*top_of_tile(scores, fits, fits & (scores > 0), ids[d : d + width], n, 0))
-
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        doc_type = batch.column("doc_id").type
-        columns = [
-            as_numpy(batch.column("doc_id")),
-            as_numpy(batch.column("domain").fill_null("")),
-            as_numpy(batch.column("slot")),
-            as_numpy(batch.column("weight")),
-        ]
-        if held is not None:
-            columns = [np.concatenate(pair) for pair in zip(held, columns)]
-        # The last document may go on in the next batch.
-        docs = columns[0]
-        cut = len(docs) - int((docs[::-1] != docs[-1]).argmax() or len(docs))
-        held = [c[cut:] for c in columns]
-        if cut:
-            score(*[c[:cut] for c in columns])
-    if held is not None:
-        score(*held)
+            fits = allowed(domains, doc_domain[d : d + width])
+            best.add(*top_of_tile(scores, fits, fits & (scores > 0), docs[d : d + width], best, 0))
     if doc_type is not None:
         yield from best.batches(query_ids, doc_type)
+
+
+def best_domain(batches, names, base, head):
+    """The domain of the highest score for every document, the first of equals.
+
+    Input rows are documents (doc_id, domain, words, tail): words are (term, tf),
+    tail the summed gains per domain number of words that are not in the head.
+    head: its terms and their gains per domain; base: per domain, the log of its
+    smoothed size. Score: gains minus words times base.
+    """
+    known, gains = head
+    for batch in batches:
+        values, row, n = flat_lists(batch.column("words"))
+        tf = values.field("tf").to_numpy(zero_copy_only=False).astype(float)
+        at = pc.index_in(values.field("term"), value_set=known)
+        inside = at.is_valid().to_numpy(zero_copy_only=False)
+        place = at.drop_null().to_numpy(zero_copy_only=False)
+        length = np.bincount(row, tf, n)
+        more, owner, _ = flat_lists(batch.column("tail"))
+        score = -length[:, None] * base[None, :]
+        if len(more):
+            np.add.at(score, (owner, more.field("place").to_numpy(zero_copy_only=False)), more.field("gain").to_numpy(zero_copy_only=False))
+        for d in range(len(names)):
+            score[:, d] += np.bincount(row[inside], tf[inside] * gains[place, d], n)
+        found = np.round(score, 6).argmax(axis=1) if len(names) else np.zeros(n, int)
+        best = pa.array([names[d] if length[i] else None for i, d in enumerate(found)], pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("domain"), best], ["doc_id", "domain", "best_domain"]
+        )

@@ -1,55 +1,76 @@
 """Query blocks: how a batch of queries reaches the tasks that hold documents.
 
-Queries are shipped in blocks of a checked size. Documents are never shuffled
-or broadcast; a query set beyond one block takes one more scan per block.
+Queries are a written table, cut into blocks of a bounded size. One block at a
+time is sent to the tasks, its result is written, and what was sent is released:
+the driver holds one block, however many there are, and no plan grows with them.
+Documents are never shuffled or broadcast. Every set of queries goes this way.
 """
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from deskloom.session import stage
+from deskloom.session import new_folder, stage
 
 # Queries of one block. A query has at most 512 characters of text, and vectors
 # are cut by values besides, so a block stays under about 64 MB.
 BLOCK_QUERIES = 32_768
 BLOCK_VALUES = 8_000_000
 
-
-def query_blocks(queries: DataFrame, key: str, rows: int = BLOCK_QUERIES) -> Iterator[tuple[pa.Table, bool]]:
-    """Arrow tables that together hold every query, of at most about rows rows,
-    each with whether it is one of many."""
-    # One row beyond the bound tells whether the set fits; it is then used whole.
-    head = queries.limit(rows + 1).toArrow()
-    if head.num_rows <= rows:
-        if head.num_rows:
-            yield head, False
-        return
-    kept = stage(queries, "queries")
-    parts = 2 * -(-kept.count() // rows)
-    for part in range(parts):
-        block = kept.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).toArrow()
-        if block.num_rows:
-            yield block, True
+# Groups that the rows of one query are ranked in first.
+GROUPS = 64
 
 
 def domain_filters(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The domain names the queries ask for, and the place of each query's own
     among them (-1 for none)."""
-    wanted = np.array(block.column("domain_filter").to_pylist())
+    wanted = np.array(block.column("domain_filter").to_pylist(), dtype=str)
     names = np.unique(wanted[wanted != ""])
     return names, np.where(wanted == "", -1, np.searchsorted(names, wanted))
 
 
-def over_blocks(
+def search(
     queries: DataFrame,
-    key: str,
-    search: Callable[[pa.Table, bool], DataFrame],
+    documents: DataFrame,
+    pack: Callable[[pa.Table], tuple],
+    score: Callable,
+    schema: str,
     rows: int = BLOCK_QUERIES,
-) -> DataFrame | None:
-    """Union of the results of all blocks; null for no queries."""
-    found = [search(block, many) for block, many in query_blocks(queries, key, rows)]
-    return reduce(DataFrame.unionByName, found) if found else None
+) -> DataFrame:
+    """Rows of schema that the tasks return for all blocks, with the group of
+    the task that returned them.
+
+    pack makes what a task needs from a block of queries, score(batches, packed)
+    runs in the task.
+    """
+    spark = documents.sparkSession
+    asked = stage(queries, "queries")
+    parts = max(1, -(-asked.count() // rows))
+    folder = new_folder(spark, "found")
+    for part in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+        sent = spark.sparkContext.broadcast(pack(block))
+
+        def task(batches, sent=sent):
+            return score(batches, sent.value)
+
+        found = documents.mapInArrow(task, schema)
+        found = found.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+        found.write.parquet(f"{folder}/block={part}")
+        sent.destroy()
+    return spark.read.schema(f"{schema}, _group int").parquet(folder).drop("block")
+
+
+def best(found: DataFrame, n: int) -> DataFrame:
+    """The n best rows of every query, ranked: score down, document up.
+
+    Ranked within the groups first, so that what meets for one query does not
+    grow with the number of tasks.
+    """
+    order = [F.desc("score"), F.asc("doc_id")]
+    first = F.row_number().over(Window.partitionBy("query_id", "_group").orderBy(*order))
+    few = found.withColumn("rank", first).where(F.col("rank") <= n).drop("_group")
+    last = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return few.withColumn("rank", last).where(F.col("rank") <= n)

@@ -36,23 +36,21 @@ def parse_conversations(tickets: DataFrame) -> DataFrame:
     )
 
 
-def roll_up(turns: DataFrame, turns_per_part: int) -> DataFrame:
-    """Conversation text and last user message straight from one row per turn.
+def roll_up(turns: DataFrame) -> DataFrame:
+    """Text and last user message of every whole conversation, from one row per turn.
 
-    Grouped by conversation and block of turns, which bounds each group. The
-    last message is an aggregate that combines on the map side.
+    The last message is an aggregate that combines on the map side.
     """
     content = t.null_safe(F.col("text"))
     role = F.upper(F.coalesce("role", F.lit("user")))
     rows = turns.select(
         "conv_id",
-        F.floor(F.col("turn") / turns_per_part).cast("bigint").alias("part"),
         "turn",
         F.concat(F.lit("["), role, F.lit("]: "), content).alias("line"),
         F.when(role == "USER", content).alias("user_text"),
         content.alias("content"),
     ).where("content != ''")
-    grouped = rows.groupBy("conv_id", "part").agg(
+    grouped = rows.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"),
         F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"),
         F.max(F.when(F.col("user_text").isNotNull(), F.struct("turn", "user_text"))).alias("last"),
@@ -60,7 +58,6 @@ def roll_up(turns: DataFrame, turns_per_part: int) -> DataFrame:
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     return grouped.select(
         "conv_id",
-        "part",
         "n_turns",
         text.alias("conversation_text"),
         F.coalesce(F.col("last.user_text"), text).alias("last_user_message"),

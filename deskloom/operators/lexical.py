@@ -2,19 +2,41 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from deskloom import fixed, kernels
 from deskloom.functions import text as t
 from deskloom.operators import blocks
 from deskloom.session import stage
 
+# Terms of a vocabulary that may be sent to every task; about 40 bytes each.
+SENT_TERMS = 1_000_000
+
+TALLY = T.ArrayType(T.StructType().add("term", T.StringType()).add("tf", T.IntegerType()))
+POSTINGS = T.ArrayType(
+    T.StructType().add("slot", T.LongType()).add("tf", T.IntegerType()).add("weight", T.DoubleType())
+)
+
+
+@F.arrow_udf(TALLY)
+def _tally(terms: pa.Array) -> pa.Array:
+    return kernels.tally(terms)
+
+
+def terms(texts: DataFrame, *keep: str, text: str = "content", stop_words=fixed.STOP_WORDS) -> DataFrame:
+    """Texts with their distinct terms and counts, an array per row.
+
+    A text is one row already, so its terms are counted inside the row and
+    nothing is shuffled.
+    """
+    tokens = texts.select(*keep, t.words(F.col(text), stop_words).alias("_words"))
+    return tokens.select(*keep, _tally(t.words_and_pairs(F.col("_words"))).alias("terms"))
+
 
 def term_counts(texts: DataFrame, key: str, *carry: str, text: str = "content", stop_words=fixed.STOP_WORDS) -> DataFrame:
-    """(key, term, tf): how often each term occurs in each text."""
-    tokens = texts.select(key, *carry, t.words(F.col(text), stop_words).alias("_words"))
-    terms = tokens.select(key, *carry, F.explode(t.words_and_pairs(F.col("_words"))).alias("term"))
-    return terms.groupBy(key, *carry, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf): how often each term occurs in each text, one text per row."""
+    counted = terms(texts, key, *carry, text=text, stop_words=stop_words)
+    return counted.select(key, *carry, F.inline("terms"))
 
 
 def term_statistics(counts: DataFrame) -> DataFrame:
@@ -39,70 +61,85 @@ def most_frequent(stats: DataFrame, size: int) -> DataFrame:
     return stats.where(step >= cut).orderBy(F.desc("total"), "term").limit(size)
 
 
-def vocabulary(counts: DataFrame, documents: DataFrame, size: int = fixed.VOCABULARY) -> DataFrame:
+def vocabulary(counts: DataFrame, n_docs: Column, size: int | None = fixed.VOCABULARY) -> DataFrame:
     """The most frequent terms with their smoothed inverse document frequency.
 
-    (term, slot, total, df, idf); bounded by size, so it may be broadcast. The
-    slot number comes from a window over these bounded rows only.
+    (term, slot, total, df, idf), written. Slots are numbers in no order that
+    means anything. Without a size all terms are kept.
     """
-    n_docs = documents.agg(F.count("*").alias("n")).scalar()
-    top = most_frequent(stage(term_statistics(counts), "terms"), size)
-    idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
-    return (
-        top.withColumn("n_docs", n_docs)
-        .withColumn("idf", idf)
-        .withColumn("slot", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-        .select("term", "slot", "total", "df", "idf")
+    stats = stage(term_statistics(counts), "terms")
+    top = stats if size is None else most_frequent(stats, size)
+    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
+    # Written before anything reads the numbers.
+    return stage(
+        top.select("term", F.monotonically_increasing_id().alias("slot"), "total", "df", idf.alias("idf")), "vocabulary"
     )
 
 
-def term_weights(counts: DataFrame, vocab: DataFrame, key: str, *carry: str) -> DataFrame:
-    """(key, term, slot, tf, weight): tf-idf with unit length per text.
+def weigh(counted: DataFrame, vocab: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, postings): unit tf-idf vectors of rows with terms, by slot.
 
-    Terms outside the vocabulary are left out.
+    A vocabulary of up to SENT_TERMS terms is sent to the tasks and nothing is
+    shuffled; a larger one is joined, and vectors are put together by the first
+    of the kept columns.
     """
-    raw = counts.join(F.broadcast(vocab), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.withColumn("weight", F.col("raw") / length).select(key, *carry, "term", "slot", "tf", "weight")
+    spark = counted.sparkSession
+    known = vocab.select("term", "slot", "idf").limit(SENT_TERMS + 1).toArrow()
+    if known.num_rows <= SENT_TERMS:
+        sent = spark.sparkContext.broadcast(
+            (
+                known.column("term").combine_chunks(),
+                known.column("slot").to_numpy().astype(np.int64),
+                known.column("idf").to_numpy().astype(float),
+            )
+        )
 
+        @F.arrow_udf(POSTINGS)
+        def weighed(terms: pa.Array) -> pa.Array:
+            return kernels.weigh(terms, sent.value)
+
+        return counted.select(*keep, weighed("terms").alias("postings"))
+    each = counted.select(*keep, F.inline("terms")).join(vocab.select("term", "slot", "idf"), "term")
+    raw = F.struct("slot", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    found = each.groupBy(*keep).agg(F.array_sort(F.collect_list(raw)).alias("raw"))
+    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, p: total + p["weight"] * p["weight"]))
+    found = found.withColumn("_length", length)
+    unit = F.transform(
+        "raw", lambda p: F.struct(p["slot"].alias("slot"), p["tf"].alias("tf"), (p["weight"] / F.col("_length")).alias("weight"))
+    )
+    return found.select(*keep, unit.alias("postings"))
 
-class Index:
-    """The lexical index as tables: documents, vocabulary and term weights."""
 
-    def __init__(self, documents: DataFrame, vocab: DataFrame, weights: DataFrame, clustered: bool):
-        self.documents = documents
-        self.vocab = vocab
-        self.weights = weights
-        # Whether all weights of one document are in one part already.
-        self.clustered = clustered
+def term_weights(weights: DataFrame, vocab: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, term, slot, tf, weight): vectors as one row per term."""
+    return weights.select(*keep, F.inline("postings")).join(vocab.select("term", "slot"), "slot")
 
 
-def by_document(documents: DataFrame) -> DataFrame:
-    """Texts moved once, to one part per document.
+class Index:
+    """The lexical index as tables: documents, vocabulary, and one vector per document."""
 
-    The number of parts is explicit, as counting makes many rows of few bytes
-    and parts merged by their bytes would be too few.
-    """
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return documents.select("doc_id", "domain", "content").repartition(parts, "doc_id")
+    def __init__(self, documents: DataFrame, vocab: DataFrame, weights: DataFrame):
+        self.documents = documents
+        self.vocab = vocab
+        self.weights = weights  # doc_id, domain, postings
 
 
-def build_index(documents: DataFrame, size: int = fixed.VOCABULARY, stop_words=fixed.STOP_WORDS) -> Index:
+def build_index(documents: DataFrame, size: int | None = fixed.VOCABULARY, stop_words=fixed.STOP_WORDS) -> Index:
     """Index of documents (doc_id, domain, content).
 
-    The texts are moved once, by document; counting, weighting and scoring all
-    reuse that partitioning, so the much larger set of terms is not shuffled.
+    Terms are counted once, inside each row, and written. Frequencies and
+    weights are made from that table; no text is shuffled.
     """
-    counts = term_counts(by_document(documents), "doc_id", "domain", stop_words=stop_words)
-    # Small, costly and read by several jobs: written once.
-    vocab = stage(vocabulary(counts, documents, size), "vocabulary")
-    return Index(documents, vocab, term_weights(counts, vocab, "doc_id", "domain"), clustered=True)
+    counted = stage(terms(documents, "doc_id", "domain", stop_words=stop_words), "counts")
+    n_docs = counted.agg(F.count("*")).scalar()
+    vocab = vocabulary(counted.select(F.inline("terms")), n_docs, size)
+    return Index(documents, vocab, weigh(counted, vocab, "doc_id", "domain"))
 
 
-def query_weights(queries: DataFrame, vocab: DataFrame, stop_words=fixed.STOP_WORDS) -> DataFrame:
-    """Unit tf-idf vectors of queries (query_id, query) as (query_id, slot, weight)."""
-    counts = term_counts(queries, "query_id", text="query", stop_words=stop_words)
-    return term_weights(counts, vocab, "query_id").select("query_id", "term", "slot", "weight")
+def query_weights(queries: DataFrame, vocab: DataFrame, *keep: str, stop_words=fixed.STOP_WORDS) -> DataFrame:
+    """Unit tf-idf vectors of queries (query_id, query) as (query_id, postings)."""
+    counted = terms(queries, "query_id", *keep, text="query", stop_words=stop_words)
+    return weigh(counted, vocab, "query_id", *keep)
 
 
 def first_documents(documents: DataFrame, n: int) -> DataFrame:
@@ -133,67 +170,41 @@ def top_documents(
     cut. Documents that share no term score zero and still fill the list up to
     n, first documents first, unless drop_zero is set.
 
-    Only postings of terms that some query holds reach the scoring step (an
-    equi-join on the term), and a task passes on n rows per query.
+    A search is a scan: every task scores its own documents and passes on n rows
+    per query.
 
     Returns query_id, doc_id, score, rank.
     """
     queries = queries.where("query != ''").select(
         "query_id", "query", F.coalesce("domain_filter", F.lit("")).alias("domain_filter")
     )
-    spark = queries.sparkSession
-    weights = query_weights(queries, index.vocab, stop_words)
-    vectors = weights.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("postings")
-    )
-    packed = queries.select("query_id", "domain_filter").join(vectors, "query_id")
+    packed = query_weights(queries, index.vocab, "domain_filter", stop_words=stop_words).where(F.size("postings") > 0)
     out = ", ".join(
         f"{a} {df.schema[a].dataType.simpleString()}" for a, df in (("query_id", queries), ("doc_id", index.documents))
     ) + ", score double, fits boolean"
 
-    def search(block: pa.Table, many: bool) -> DataFrame:
-        nonlocal index
-        if many and index.clustered:
-            # More than one scan: count once, then read the written weights.
-            index = Index(index.documents, index.vocab, stage(index.weights, "weights"), clustered=False)
-        postings = block.column("postings").combine_chunks()
-        fan = np.diff(postings.offsets.to_numpy())
-        flat = postings.flatten()
-        slot = flat.field("slot").to_numpy()
-        weight = flat.field("weight").to_numpy()
-        owner = np.repeat(np.arange(len(postings)), fan)
-        # Query terms get their own small numbers; documents join on these.
+    def pack(block: pa.Table) -> tuple:
+        values, owner, _ = kernels.flat_lists(block.column("postings"))
+        slot = values.field("slot").to_numpy(zero_copy_only=False)
+        weight = values.field("weight").to_numpy(zero_copy_only=False)
+        # Query terms get their own small numbers.
         known, number = np.unique(slot, return_inverse=True)
         order = np.lexsort((owner, number))
         starts = np.r_[0, np.cumsum(np.bincount(number, minlength=len(known)))]
-        shipped = spark.sparkContext.broadcast(
-            (
-                block.column("query_id").combine_chunks(),
-                *blocks.domain_filters(block),
-                starts,
-                owner[order],
-                weight[order],
-            )
-        )
-        terms = spark.createDataFrame(
-            pa.table({"term_slot": pa.array(known, pa.int32()), "slot": pa.array(np.arange(len(known)), pa.int32())})
+        return (
+            block.column("query_id").combine_chunks(),
+            *blocks.domain_filters(block),
+            known,
+            starts,
+            owner[order],
+            weight[order],
         )
-        used = index.weights.select("doc_id", "domain", F.col("slot").alias("term_slot"), "weight")
-        used = used.join(F.broadcast(terms), "term_slot").select("doc_id", "domain", "slot", "weight")
-        if not index.clustered:
-            used = used.repartition("doc_id")
 
-        def task(batches):
-            return kernels.sparse_top(batches, shipped.value, n)
+    def score(batches, sent):
+        return kernels.sparse_top(batches, sent, n)
 
-        return used.sortWithinPartitions("doc_id").mapInArrow(task, out)
-
-    found = blocks.over_blocks(packed, "query_id", search, block_rows)
-    if found is None:
-        found = spark.createDataFrame([], out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    found = found.select("query_id", "doc_id", "score", "rank")
+    found = blocks.search(packed, index.weights.select("doc_id", "domain", "postings"), pack, score, out, block_rows)
+    found = blocks.best(found, n).select("query_id", "doc_id", "score", "rank")
     if drop_zero:
         return found
     fill = queries.select("query_id", "domain_filter").join(
@@ -202,5 +213,6 @@ def top_documents(
     fill = fill.select("query_id", "doc_id", F.lit(0.0).alias("score"))
     # A document may be both a hit and a filler: the hit counts. At most 2n
     # rows per query are left at this point.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     both = found.drop("rank").unionByName(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

@@ -104,8 +104,9 @@ def tool_conformance(rows: DataFrame, tools: DataFrame, key: str = "ticket_id")
     """Strict check of every action against the catalogue.
 
     One row per action: whether the tool is known, which required parameters
-    are missing, which parameters are unknown or of a wrong type, and whether a
-    destructive action comes without an identity check before it.
+    are missing, which parameters are unknown, of a wrong type or none of the
+    values their description lists, and whether a destructive action comes
+    without an identity check before it.
     """
     # The catalogue is one small file: it becomes a single array value.
     catalogue = tools.agg(F.collect_list(F.struct("name", "parameters")).alias("tools")).scalar()
@@ -139,10 +140,19 @@ def tool_conformance(rows: DataFrame, tools: DataFrame, key: str = "ticket_id")
         number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
         return F.when(wanted == "string", kind == "STRING").when(wanted == "number", number).otherwise(True)
 
+    def listed_value(name: Column) -> Column:
+        # "Kind of plan: 'free', 'pro'" allows two values; one example in brackets is no list.
+        said = F.try_element_at(F.col("spec.properties"), name)["description"]
+        tail = F.regexp_extract(F.coalesce(said, F.lit("")), r":\s*('[^']*'(?:\s*,\s*'[^']*')+)", 1)
+        values = F.regexp_extract_all(tail, F.lit("'([^']*)'"), F.lit(1))
+        given = F.try_variant_get(F.try_element_at(F.col("given"), name), "$", "string")
+        return (tail == "") | F.array_contains(values, F.coalesce(given, F.lit("")))
+
     known = F.col("spec").isNotNull()
     missing = F.array_sort(F.array_except(F.coalesce(F.col("spec.required"), none), given))
     unknown = F.when(known, F.array_sort(F.array_except(given, F.coalesce(F.map_keys("spec.properties"), none)))).otherwise(none)
     wrong = F.array_sort(F.filter(given, lambda n: ~F.coalesce(right_type(n), F.lit(True))))
+    odd = F.array_sort(F.filter(given, lambda n: ~F.coalesce(listed_value(n), F.lit(True))))
     checked_before = F.array_contains(F.slice("names", F.lit(1), F.col("position")), fixed.VERIFY_TOOL)
     unverified = F.col("action").isin(fixed.DESTRUCTIVE_TOOLS) & ~F.coalesce(checked_before, F.lit(False))
     return flat.select(
@@ -153,5 +163,6 @@ def tool_conformance(rows: DataFrame, tools: DataFrame, key: str = "ticket_id")
         missing.alias("missing"),
         unknown.alias("unknown"),
         wrong.alias("wrong_type"),
+        odd.alias("wrong_value"),
         F.coalesce(unverified, F.lit(False)).alias("unverified"),
     )

@@ -1,12 +1,17 @@
-"""Corpus quality: recency, misfiled documents, language."""
+"""Corpus quality: recency, conflicting sources, misfiled documents, language."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from deskloom import fixed
+from deskloom import fixed, kernels
 from deskloom.functions import text as t
 from deskloom.operators import lexical
 from deskloom.session import stage
 
+# Gains per word and domain that are sent to every task: 64 MB.
+SENT_GAINS = 8_000_000
+# Domains a corpus may have.
+DOMAINS = 100_000
+
 
 def prefer_recent(hits: DataFrame) -> DataFrame:
     """Re-rank hits (query_id, fused_rank, doc_date, depth): newer first, then
@@ -15,44 +20,95 @@ def prefer_recent(hits: DataFrame) -> DataFrame:
     return hits.withColumn("preferred_rank", F.row_number().over(order))
 
 
-def misfiled(documents: DataFrame, vocab_size: int = fixed.VOCABULARY) -> DataFrame:
-    """(doc_id, domain, best_domain, misfiled): the domain whose wording fits
-    each document best, by add-one smoothed word frequencies.
+def path_depth(path: Column) -> Column:
+    """How specific a document is: the number of folders it lies in."""
+    return F.size(F.split(path, "/")) - 1
+
+
+def disagreement(hits: DataFrame, days: int = 365) -> DataFrame:
+    """Per query, whether its sources may contradict each other.
 
-    The model is at most one row per vocabulary word and domain; counting it
-    combines on the map side. A frequent word is a hot join key on the document
-    side only, which adaptive execution broadcasts around or splits.
+    From hits (query_id, domain, topic, doc_date): dates of one topic that lie
+    more than some days apart, or sources of several domains. Returns query_id,
+    sources, stale (the first), mixed (the second) and low_confidence (either).
+    A query has few hits, and groups combine on the map side.
     """
-    texts = lexical.by_document(documents)
-    words = texts.select("doc_id", "domain", F.explode(t.words(F.col("content"))).alias("word"))
-    # Read four times below: written once.
-    counts = stage(words.groupBy("doc_id", "domain", "word").agg(F.count("*").alias("tf")), "counts")
-    per_domain = counts.groupBy("word", "domain").agg(F.sum("tf").alias("n"))
-    per_word = stage(per_domain.groupBy(F.col("word").alias("term")).agg(F.sum("n").alias("total")), "words")
-    top = stage(lexical.most_frequent(per_word, vocab_size).withColumnRenamed("term", "word"), "vocabulary")
-    model = per_domain.join(F.broadcast(top.select("word")), "word", "left_semi")
-    totals = model.groupBy("domain").agg(F.sum("n").alias("domain_total"))
-    size = top.agg(F.count("*").alias("v")).scalar()
-    # score(doc, domain) = sum of tf * log(n + 1) - (words of doc) * log(total + v)
-    shared = counts.select("doc_id", "word", "tf").join(
-        model.select("word", F.col("domain").alias("candidate"), "n"), "word"
+    topics = hits.groupBy("query_id", "domain", "topic").agg(
+        F.count("*").alias("n"), F.min("doc_date").alias("first"), F.max("doc_date").alias("last")
     )
-    gained = shared.groupBy("doc_id", "candidate").agg(F.sum(F.col("tf") * F.log(F.col("n") + 1)).alias("gain"))
-    known = counts.join(F.broadcast(top.select("word")), "word", "left_semi")
-    lengths = known.groupBy("doc_id", F.col("domain").alias("filed")).agg(F.sum("tf").alias("length"))
-    scored = gained.join(F.broadcast(totals.withColumnRenamed("domain", "candidate")), "candidate").join(lengths, "doc_id")
-    score = F.round(F.col("gain") - F.col("length") * F.log(F.col("domain_total") + size), 6)
-    best = scored.groupBy("doc_id", "filed").agg(F.max(F.struct(score.alias("score"), "candidate")).alias("best"))
-    return best.select(
-        "doc_id",
-        F.col("filed").alias("domain"),
-        F.col("best.candidate").alias("best_domain"),
-        (F.col("filed") != F.col("best.candidate")).alias("misfiled"),
+    found = topics.groupBy("query_id").agg(
+        F.sum("n").alias("sources"),
+        F.max(F.coalesce(F.datediff("last", "first") > days, F.lit(False))).alias("stale"),
+        (F.min("domain") != F.max("domain")).alias("mixed"),
     )
+    return found.withColumn("low_confidence", F.col("stale") | F.col("mixed"))
+
+
+def misfiled(documents: DataFrame) -> DataFrame:
+    """(doc_id, domain, best_domain, misfiled): the domain whose wording fits
+    each document best, by add-one smoothed word frequencies.
+
+    score(document, domain) is the sum over the document's words of
+    log((n + 1) / (words of the domain + distinct words)), n being how often the
+    domain has the word. Every domain is scored for every document, over all
+    words, and the best is found inside the task. Without words there is no best
+    domain.
+
+    A word that no document of a domain has adds nothing, so only gains log(n +
+    1) travel. Those of the most frequent words are sent to the tasks, as many
+    as SENT_GAINS allows: any of the others is in a small share of the rows, so
+    the join on them has no hot key.
+    """
+    texts = documents.select("doc_id", "domain", t.words(F.col("content")).alias("_words"))
+    counted = stage(texts.select("doc_id", "domain", lexical._tally("_words").alias("words")), "words")
+    each = counted.select("domain", F.inline("words"))
+    model = stage(each.groupBy("term", "domain").agg(F.sum("tf").alias("n")), "model")
+    sizes = model.groupBy("domain").agg(F.sum("n").alias("size")).orderBy("domain").limit(DOMAINS + 1).collect()
+    if len(sizes) > DOMAINS:
+        raise ValueError(f"more than {DOMAINS} domains")
+    names = [row["domain"] for row in sizes]
+    stats = stage(model.groupBy("term").agg(F.sum("n").alias("total")), "totals")
+    distinct = stats.count()
+    place = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("domain")) - 1 if names else F.lit(0)
+    gain = F.struct(place.cast("int").alias("place"), F.log(F.col("n") + 1).alias("gain"))
+    gains = model.groupBy("term").agg(F.collect_list(gain).alias("gains"))
+    top = stage(lexical.most_frequent(stats, max(1, SENT_GAINS // max(1, len(names)))).select("term"), "head")
+    base = [row["size"] + distinct for row in sizes]
+
+    tail = gains.join(top, "term", "left_anti")
+    # Few documents share a word of the tail, and all gains of a document fit in its row.
+    rare = counted.select("doc_id", F.inline("words")).join(top, "term", "left_anti").join(tail, "term")
+    per_place = rare.select("doc_id", "tf", F.inline("gains")).groupBy("doc_id", "place")
+    summed = per_place.agg(F.sum(F.col("tf") * F.col("gain")).alias("gain"))
+    packed = summed.groupBy("doc_id").agg(F.collect_list(F.struct("place", "gain")).alias("tail"))
+    return _judge(counted, packed, gains.join(top, "term", "left_semi"), names, base)
+
+
+def _judge(counted: DataFrame, tail: DataFrame, head: DataFrame, names: list[str], base: list[int]) -> DataFrame:
+    import numpy as np
+
+    spark = counted.sparkSession
+    sent = head.toArrow()  # SENT_GAINS values at most
+    values, row, n = kernels.flat_lists(sent.column("gains"))
+    table = np.zeros((n, len(names)))
+    if n:
+        table[row, values.field("place").to_numpy(zero_copy_only=False)] = values.field("gain").to_numpy(zero_copy_only=False)
+    shipped = spark.sparkContext.broadcast((sent.column("term").combine_chunks(), table))
+    logs = np.log(np.array(base, float))
+
+    def judge(batches):
+        return kernels.best_domain(batches, names, logs, shipped.value)
+
+    rows = counted.join(tail, "doc_id", "left").select("doc_id", "domain", "words", "tail")
+    kinds = counted.select("doc_id", "domain").schema
+    out = f"doc_id {kinds['doc_id'].dataType.simpleString()}, domain string, best_domain string"
+    found = rows.mapInArrow(judge, out)
+    return found.withColumn("misfiled", F.coalesce(F.col("domain") != F.col("best_domain"), F.lit(False)))
 
 
 def language(text: Column, profiles=fixed.LANGUAGE_WORDS) -> Column:
-    """The language whose function words a text uses most; ties by name."""
+    """The language whose function words a text uses most; ties by name, null
+    if it uses none."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))
 
     def score(words: Column, place: int, name: str) -> Column:
@@ -60,7 +116,8 @@ def language(text: Column, profiles=fixed.LANGUAGE_WORDS) -> Column:
         return F.struct(hits.alias("hits"), F.lit(-place).alias("order"), F.lit(name).alias("language"))
 
     def best(words: Column) -> Column:
-        return F.array_max(F.array(*[score(words, place, name) for place, name in enumerate(sorted(profiles))]))
+        top = F.array_max(F.array(*[score(words, place, name) for place, name in enumerate(sorted(profiles))]))
+        return F.struct(F.when(top["hits"] > 0, top["language"]).alias("language"))
 
     # The words are bound to one variable, so they are extracted once.
     return F.transform(F.array(found), best)[0]["language"]

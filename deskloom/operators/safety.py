@@ -6,34 +6,39 @@ from deskloom import fixed
 from deskloom.functions import safety as s, text as t
 
 
-def scan(df: DataFrame, text: str, normalise: bool = True) -> DataFrame:
-    """Add injection_reasons, pii_types and the two flags for a text column.
+def normalised(df: DataFrame, text: str) -> DataFrame:
+    """Add _text, the normalised text, computed once per row."""
+    return t.once(df, {"_text": t.normalise(F.col(text))})
+
+
+def injections(df: DataFrame, text: str = "_text") -> DataFrame:
+    """Add injection_reasons and regex_injection for a column of normalised text."""
+    out = df.withColumn("_suspect", s.suspect(F.col(text)))
+    out = out.withColumn("_low", F.when(F.col("_suspect"), s.gate_text(F.col(text))))
+    none = F.array().cast("array<string>")
+    found = F.when(F.col("_suspect"), s.injection_reasons(text, "_low")).otherwise(none)
+    out = t.once(out, {"injection_reasons": found})
+    return out.withColumn("regex_injection", F.size("injection_reasons") > 0).drop("_suspect", "_low")
+
+
+def personal_data(df: DataFrame, text: str = "_text") -> DataFrame:
+    """Add pii_types and pii_detected for a column of normalised text.
+
+    Apart from the injection rules, which a job that needs only this doesn't run.
+    """
+    out = df.withColumn("_gates", s.pii_gates(F.col(text)))
+    out = out.withColumn("_masked", s.mask_cards(F.col(text), F.col("_gates")))
+    out = t.once(out, {"pii_types": s.pii_types(F.col(text), F.col("_masked"), F.col("_gates"))})
+    return out.withColumn("pii_detected", F.size("pii_types") > 0).drop("_gates", "_masked")
 
-    Without normalise the text must be normalised already.
+
+def scan(df: DataFrame, text: str) -> DataFrame:
+    """Add injection_reasons, pii_types and the two flags for a text column.
 
     Each stage is its own projection, so the normalised text, its lower-case
     form and the card-masked copy are computed once per row.
     """
-    out = t.once(df, {"_text": t.normalise(F.col(text)) if normalise else F.col(text)})
-    out = out.withColumns({"_suspect": s.suspect(F.col("_text")), "_gates": s.pii_gates(F.col("_text"))})
-    out = out.withColumns(
-        {
-            "_low": F.when(F.col("_suspect"), s.gate_text(F.col("_text"))),
-            "_masked": s.mask_cards(F.col("_text"), F.col("_gates")),
-        }
-    )
-    none = F.array().cast("array<string>")
-    found = {
-        "injection_reasons": F.when(F.col("_suspect"), s.injection_reasons("_text", "_low")).otherwise(none),
-        "pii_types": s.pii_types(F.col("_text"), F.col("_masked"), F.col("_gates")),
-    }
-    out = t.once(out, found)
-    return out.withColumns(
-        {
-            "regex_injection": F.size("injection_reasons") > 0,
-            "pii_detected": F.size("pii_types") > 0,
-        }
-    ).drop("_text", "_suspect", "_gates", "_low", "_masked")
+    return personal_data(injections(normalised(df, text))).drop("_text")
 
 
 def wants_second_opinion(company: Column, force: bool = False) -> Column:

@@ -1,6 +1,6 @@
 """Checks of the output table."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deskloom import fixed
 from deskloom.functions import json as j, text as t
@@ -15,9 +15,9 @@ def header_findings(df: DataFrame) -> DataFrame:
     extra = sorted(set(df.columns) - set(fixed.OUTPUT_COLUMNS))
     rows = []
     if missing:
-        rows.append((None, "error", "headers", "Missing columns: " + ", ".join(missing)))
+        rows.append((None, "error", "headers", "the table lacks " + ", ".join(missing)))
     if extra:
-        rows.append((None, "warning", "headers", f"Extra columns (will be ignored): {', '.join(extra)}"))
+        rows.append((None, "warning", "headers", "no one reads " + ", ".join(extra)))
     return spark.createDataFrame(rows, FINDING)
 
 
@@ -28,7 +28,7 @@ def count_findings(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("row_no"),
         F.lit("error").alias("severity"),
         F.lit("row_count").alias("check"),
-        F.format_string("Row count mismatch: expected %d, got %d", "n_in", "n_out").alias("message"),
+        F.format_string("%d rows for %d tickets", "n_out", "n_in").alias("message"),
     )
 
 
@@ -63,21 +63,21 @@ def row_findings(df: DataFrame, row_no: str) -> DataFrame:
     ).withColumns({"score": F.col("confidence").try_cast("double"), "parsed": j.parse(F.col("actions"))})
     c = F.col
     checks = [
-        _finding("error", "status", ~c("status").isin(fixed.STATUSES), message("invalid status '%s'", c("status"))),
-        _finding("error", "request_type", ~c("request_type").isin(fixed.REQUEST_TYPES), message("invalid request_type '%s'", c("request_type"))),
-        _finding("warning", "response", c("no_response"), message("empty response")),
-        _finding("warning", "confidence_score", c("confidence") == "", message("empty confidence_score")),
-        _finding("error", "confidence_score", (c("confidence") != "") & c("score").isNull(), message("confidence_score '%s' is not a valid float", c("confidence"))),
-        _finding("error", "confidence_score", ~c("score").between(0.0, 1.0), message("confidence_score %s out of range [0.0, 1.0]", c("confidence"))),
-        _finding("warning", "risk_level", c("risk") == "", message("empty risk_level")),
-        _finding("error", "risk_level", (c("risk") != "") & ~c("risk").isin(fixed.RISK_LEVELS), message("invalid risk_level '%s'", c("risk"))),
-        _finding("warning", "pii_detected", c("pii") == "", message("empty pii_detected")),
-        _finding("error", "pii_detected", (c("pii") != "") & ~c("pii").isin(fixed.PII_FLAGS), message("invalid pii_detected '%s'", c("pii"))),
-        _finding("warning", "language", c("language") == "", message("empty language")),
-        _finding("warning", "language", F.char_length("language") > 5, message("language '%s' seems too long for ISO 639-1", c("language"))),
-        _finding("warning", "actions_taken", c("actions") == "", message("actions_taken is empty (expected '[]' if no actions)")),
-        _finding("error", "actions_taken", (c("actions") != "") & c("parsed").isNull(), message("actions_taken is not valid JSON")),
-        _finding("error", "actions_taken", c("parsed").isNotNull() & ~j.is_array(c("parsed")), message("actions_taken must be a JSON array")),
+        _finding("error", "status", ~c("status").isin(fixed.STATUSES), message("status is %s, not one of " + "/".join(fixed.STATUSES), c("status"))),
+        _finding("error", "request_type", ~c("request_type").isin(fixed.REQUEST_TYPES), message("request_type is %s, not one of " + "/".join(fixed.REQUEST_TYPES), c("request_type"))),
+        _finding("warning", "response", c("no_response"), message("nothing is answered")),
+        _finding("warning", "confidence_score", c("confidence") == "", message("no confidence is given")),
+        _finding("error", "confidence_score", (c("confidence") != "") & c("score").isNull(), message("confidence %s is no number", c("confidence"))),
+        _finding("error", "confidence_score", ~c("score").between(0.0, 1.0), message("confidence %s lies outside 0 to 1", c("confidence"))),
+        _finding("warning", "risk_level", c("risk") == "", message("no risk is given")),
+        _finding("error", "risk_level", (c("risk") != "") & ~c("risk").isin(fixed.RISK_LEVELS), message("risk is %s, not one of " + "/".join(fixed.RISK_LEVELS), c("risk"))),
+        _finding("warning", "pii_detected", c("pii") == "", message("personal data: neither yes nor no")),
+        _finding("error", "pii_detected", (c("pii") != "") & ~c("pii").isin(fixed.PII_FLAGS), message("personal data is %s, not true or false", c("pii"))),
+        _finding("warning", "language", c("language") == "", message("no language is given")),
+        _finding("warning", "language", F.char_length("language") > 5, message("%s is too long for a language code", c("language"))),
+        _finding("warning", "actions_taken", c("actions") == "", message("no list of actions, not even an empty one")),
+        _finding("error", "actions_taken", (c("actions") != "") & c("parsed").isNull(), message("the actions cannot be parsed")),
+        _finding("error", "actions_taken", c("parsed").isNotNull() & ~j.is_array(c("parsed")), message("the actions are no list")),
     ]
     broken = clean.select("row_no", F.explode(F.array_compact(F.array(*checks))).alias("f"))
     return broken.select("row_no", "f.severity", "f.check", "f.message")
@@ -102,8 +102,10 @@ def passes(findings: DataFrame) -> bool:
 
 
 def report(findings: DataFrame) -> DataFrame:
-    """The first findings of each severity, as many as a report shows."""
-    order = [F.asc_nulls_first("row_no"), F.asc("check")]
-    errors = findings.where("severity = 'error'").orderBy(*order).limit(fixed.REPORT_ERRORS)
-    warnings = findings.where("severity = 'warning'").orderBy(*order).limit(fixed.REPORT_WARNINGS)
-    return errors.unionByName(warnings)
+    """The first findings of each severity, as many as a report shows: one pass,
+    cut on the map side."""
+    order = Window.partitionBy("severity").orderBy(F.asc_nulls_first("row_no"), "check")
+    most = max(fixed.REPORT_ERRORS, fixed.REPORT_WARNINGS)
+    placed = findings.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most)
+    shown = F.when(F.col("severity") == "error", fixed.REPORT_ERRORS).otherwise(fixed.REPORT_WARNINGS)
+    return placed.where(F.col("_place") <= shown).drop("_place")

@@ -39,24 +39,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application in the shared folder, for intermediate tables."""
+    return f"{shared_folder(spark)}/deskloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a re-run.
+    Cuts the lineage: a lost executor costs a re-read, not a re-run. The table
+    stays until discard, as results may still be read from it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/deskloom-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Remove all tables this application has staged. Results that are not
+    written yet cannot be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_folder(spark)}/deskloom-{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition rows by key when the input has fewer parts than cores.
+    """Hash-partition rows by key into as many parts as a shuffle makes.
 
-    A few small files otherwise keep all work in a few tasks. Large inputs
-    come in enough parts and are left alone.
+    For a caller who knows that the input is a few files that would otherwise
+    keep all work in a few tasks; a large input needs no such shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df.repartition(*keys)

@@ -1,8 +1,9 @@
 """Corpus files and the tool catalogue."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from deskloom.functions import text as t
+from deskloom.functions import json as j, text as t
 
 TOOLS = (
     "name string, description string, parameters struct<type: string, "
@@ -50,20 +51,23 @@ def corpus_records(files: DataFrame, root_name: str) -> DataFrame:
     )
 
 
-def read_corpus(spark: SparkSession, root: str, root_name: str = "data") -> DataFrame:
-    """One record per markdown file at any depth below the root."""
-    root = root.rstrip("/")
+def read_corpus(spark: SparkSession, root: str, root_name: str = "data", pattern: str = "*.md") -> DataFrame:
+    """One record per file of the pattern, markdown by default, at any depth below the root."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    resolved = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toUri().getPath().rstrip("/")
     files = (
         spark.read.format("text")
         .option("wholetext", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
+        .option("pathGlobFilter", pattern)
         .load(root)
     )
-    marker = root.rsplit("/", 1)[-1] + "/"
     full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    # Below the root as the file system resolved it, whatever folders further down are called.
+    below = F.regexp_replace(full, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
     files = files.select(
-        F.substring_index(full, "/" + marker, -1).alias("rel_path"),
+        F.substring(below, len(resolved) + 2, 1 << 30).alias("rel_path"),
         F.make_valid_utf8("value").alias("content"),
         F.col("_metadata.file_modification_time").alias("mtime"),
     )
@@ -104,16 +108,44 @@ def front_date(front: Column) -> Column:
     )
 
 
+def tool_rows(text: DataFrame) -> DataFrame:
+    """Tools of catalogues given as JSON text (one column): a list of objects
+    that have a name, or else an action, or an object keyed by tool. What is no
+    tool is left out, and a catalogue that is no JSON has none.
+    """
+    parsed = text.select(F.try_parse_json(F.col(text.columns[0])).alias("v"))
+    listed = F.filter(j.elements(F.col("v")), j.is_object)
+    keyed = F.when(j.is_object(F.col("v")), F.try_variant_get("v", "$", "map<string,variant>"))
+    entries = F.transform(
+        F.map_entries(keyed), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("tool"))
+    )
+    named = F.transform(
+        listed,
+        lambda v: F.struct(F.coalesce(j.text_field(v, "name"), j.text_field(v, "action")).alias("name"), v.alias("tool")),
+    )
+    tools = parsed.select(F.inline(F.coalesce(named, entries)))
+    kind = T.StructType.fromDDL(TOOLS)["parameters"].dataType
+    return tools.where("name is not null").select(
+        "name",
+        j.text_field(F.col("tool"), "description").alias("description"),
+        F.from_json(F.to_json(F.try_variant_get("tool", "$.parameters", "variant")), kind).alias("parameters"),
+    )
+
+
 def read_tools(spark: SparkSession, *paths: str) -> DataFrame:
-    """The tool catalogue from the first path that can be read, else empty.
+    """The tool catalogue from the first path that exists and is JSON, else empty.
 
-    The catalogue is one small configuration file.
+    The catalogue is one small configuration file. A path that cannot be reached
+    is an error, not an empty catalogue.
     """
     for path in paths:
         try:
-            tools = spark.read.schema(TOOLS).option("multiLine", True).json(path)
-            tools.limit(1).count()
-            return tools.where(F.col("name").isNotNull())
-        except Exception:  # unreadable: try the next place
+            text = spark.read.text(path, wholetext=True)
+            if text.where(F.try_parse_json("value").isNotNull()).isEmpty():
+                continue
+        except AnalysisException as failure:
+            if failure.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
+        return tool_rows(text)
     return spark.createDataFrame([], TOOLS)

@@ -1,36 +1,53 @@
 """Ticket files: CSV in, CSV out, and tickets from a table of turns."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from deskloom import fixed
 from deskloom.functions import text as t
 
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
-# A ticket holds at most this many turns; longer conversations become several
-# tickets, so that no row or group grows without bound.
-TURNS_PER_TICKET = 1024
+
+# Blanks around a value are part of it.
+WRITTEN = {
+    "header": True, "quote": '"', "escape": '"', "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def snake(name: str) -> str:
     return name.strip().lower().replace(" ", "_")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Any ticket CSV as text columns with snake-case names, nulls as ""."""
+def read_table(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    """Any ticket CSV as text columns with snake-case names, nulls as ""; if
+    wanted, with the path of the file each row is from."""
     df = spark.read.options(**CSV).csv(path)
-    return df.select([F.coalesce(df[f"`{c}`"], F.lit("")).alias(snake(c)) for c in df.columns])
+    columns = [F.coalesce(df[f"`{c}`"], F.lit("")).alias(snake(c)) for c in df.columns]
+    return df.select(*columns, *([F.col("_metadata.file_path").alias(file)] if file else []))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of CSV files with a ticket_id that follows file names and lines.
+
+    A file is read by one task from top to bottom, so a running number gives the
+    order in it. The number of a file's first row is one row per file.
+    """
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    firsts = rows.groupBy("_file").agg(F.min("_at").alias("_first"))
+    firsts = firsts.withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
+    place = F.shiftleft(F.col("_rank").cast("bigint"), 33) + F.col("_at") - F.col("_first")
+    return rows.join(firsts, "_file").withColumn("ticket_id", place).drop("_file", "_at", "_first", "_rank")
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
-    """ticket_id, issue, subject, company in file order.
+    """ticket_id, issue, subject, company; ids follow the names of the files and
+    the order in each. "None" reads as no company.
 
-    The id is built from the part and the position in it, so it follows file
-    order without pulling all rows into one task. "None" reads as no company.
     """
-    df = read_table(spark, path)
+    df = numbered(read_table(spark, path, "_file"))
     return df.select(
-        F.monotonically_increasing_id().alias("ticket_id"),
+        "ticket_id",
         "issue",
         "subject",
         F.when(F.col("company") == "None", "").otherwise(F.col("company")).alias("company"),
@@ -43,28 +60,25 @@ def write_output(output: DataFrame, path: str, order_by: str = "ticket_id") -> N
     The sort is a range sort, so the parts follow each other in order.
     """
     typed = output.orderBy(order_by).select([F.col(c).cast("string") for c in fixed.OUTPUT_COLUMNS])
-    typed.write.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    typed.write.options(**WRITTEN).csv(path)
 
 
 def tickets_from_turns(turns: DataFrame, ids=("conv_id", "turn", "role", "text")) -> DataFrame:
-    """Tickets (ticket_id, conv_id, part, issue) from one row per turn.
+    """Tickets (ticket_id, conv_id, issue) from one row per turn.
 
-    Groups are keyed by conversation and block of turns: the block bounds what
-    one task collects, however long a conversation is.
+    One conversation is one ticket and one row, whole, however long it is: rules
+    and prompts look at all of it.
     """
     conv, turn, role, text = (F.col(c) for c in ids)
-    part = F.floor(turn / TURNS_PER_TICKET).cast("bigint")
     rows = turns.select(
         conv.alias("conv_id"),
-        part.alias("part"),
         F.struct(turn.alias("turn"), role.alias("role"), text.alias("content")).alias("entry"),
     )
-    grouped = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     messages = F.transform("entries", lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")))
     return grouped.select(
-        F.concat_ws(":", "conv_id", "part").alias("ticket_id"),
+        F.col("conv_id").cast("string").alias("ticket_id"),
         "conv_id",
-        "part",
         F.to_json(messages).alias("issue"),
     )
 

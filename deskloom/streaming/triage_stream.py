@@ -1,6 +1,6 @@
 """Triage of ticket files as they arrive: a stateless stream joined to static tables."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from deskloom.plans import triage
 
@@ -26,6 +26,6 @@ def start_triage(tickets: DataFrame, out: str, checkpoint: str, index, tools, co
     """
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         rows = triage.triage(batch, index, tools, companies, models)
-        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return tickets.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)

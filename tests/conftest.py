@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from deskloom.session import local_session  # noqa: E402
+from deskloom.session import discard, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +13,8 @@ def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("checkpoints")
     session = local_session("4", spark__checkpoint__dir=str(folder), spark__driver__memory="4g")
     yield session
+    discard(session)
+    assert not list(folder.glob("deskloom-*")), "staged tables were left behind"
     session.stop()
 
 

@@ -50,9 +50,9 @@ def test_clean_table_passes(spark):
 def test_headers_and_counts(spark):
     df = table(spark, [{}] * 3).drop("status").withColumn("more", F.lit(1))
     found = {(f.severity, f.check): f.message for f in validation.validate(table(spark, [{}] * 4), df).collect()}
-    assert found["error", "headers"] == "Missing columns: status"
-    assert found["warning", "headers"] == "Extra columns (will be ignored): more"
-    assert found["error", "row_count"] == "Row count mismatch: expected 4, got 3"
+    assert found["error", "headers"] == "the table lacks status"
+    assert found["warning", "headers"] == "no one reads more"
+    assert found["error", "row_count"] == "3 rows for 4 tickets"
     assert ("error", "status") in found
 
 
@@ -108,7 +108,7 @@ def test_tally(spark):
 
 TOOLS = [
     ("issue_refund", "d", ("object", {"transaction_id": ("string", ""), "amount": ("number", "")}, ["transaction_id", "amount"])),
-    ("verify_identity", "d", ("object", {"target": ("string", "")}, ["target"])),
+    ("verify_identity", "d", ("object", {"target": ("string", "Who: 'owner', 'agent'")}, ["target"])),
 ]
 
 
@@ -125,4 +125,5 @@ def test_tool_conformance(spark):
     assert [(r.ticket_id, r.action, r.known, r.unverified) for r in got] == [
         (0, "issue_refund", True, True), (1, "verify_identity", True, False), (1, "issue_refund", True, False), (2, "fly", False, False),
     ]
+    assert [r.wrong_value for r in got] == [[], ["target"], [], []]
     assert got[2].wrong_type == ["amount", "transaction_id"] and got[2].unknown == ["x"] and got[0].wrong_type == []

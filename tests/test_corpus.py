@@ -2,6 +2,7 @@ import hashlib
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from deskloom.operators import manifest, quality
@@ -76,6 +77,32 @@ def test_front_dates(spark):
     assert got == ["2026-03-16 20:39:36", "2017-07-18 16:48:39.721", "2026-02-19 15:31:00", None]
 
 
+def test_folders_named_like_the_root(spark, tmp_path):
+    root = tmp_path / "data" / "x" / "data"
+    for path in ("zeta/data/b.md", "zeta/x/data/y/c.md", "data/d.md"):
+        write(root, path, path)
+    rows = corpus.read_corpus(spark, str(root) + "/").orderBy("doc_id").collect()
+    assert [(r.doc_path, r.domain, r.topic) for r in rows] == [
+        ("data/data/d.md", "data", "data"), ("data/zeta/data/b.md", "zeta", "data"), ("data/zeta/x/data/y/c.md", "zeta", "x"),
+    ]
+
+
+def test_catalogue_shapes(spark, tmp_path):
+    tool = {"description": "d", "parameters": {"type": "object", "properties": {}, "required": ["a"]}}
+    shapes = {
+        "named": [{"name": "t", **tool}, {"no": "tool"}, 5],
+        "action": [{"action": "t", **tool}],
+        "keyed": {"t": tool},
+    }
+    for name, shape in shapes.items():
+        (tmp_path / name).write_text(json.dumps(shape, indent=1))
+        found = corpus.read_tools(spark, str(tmp_path / name)).collect()
+        assert [(r.name, r.description, r.parameters.required) for r in found] == [("t", "d", ["a"])], name
+    (tmp_path / "broken").write_text("[{")
+    assert corpus.read_tools(spark, str(tmp_path / "broken")).count() == 0
+    assert [r.name for r in corpus.read_tools(spark, str(tmp_path / "broken"), str(tmp_path / "keyed")).collect()] == ["t"]
+
+
 def test_read_tools_falls_back(spark, tmp_path):
     tool = {"name": "t", "description": "d", "parameters": {"type": "object", "properties": {"a": {"type": "string", "description": "x"}}, "required": ["a"]}}
     (tmp_path / "tools.json").write_text(json.dumps([tool]))
@@ -119,8 +146,26 @@ def test_misfiled(spark):
     assert [r.doc_id for r in quality.misfiled(df).where("misfiled").collect()] == [10]
 
 
+@pytest.mark.parametrize("sent", [quality.SENT_GAINS, 2])
+def test_misfiled_scores_every_domain(spark, monkeypatch, sent):
+    """A document that shares no word with a small domain may still fit it best."""
+    monkeypatch.setattr(quality, "SENT_GAINS", sent)
+    rows = [(1, "big", "kiwi"), (2, "big", "word " * 40_000), (3, "small", "plum"), (4, "small", ""), (5, "big", "the")]
+    df = spark.createDataFrame(rows, "doc_id int, domain string, content string")
+    got = {r.doc_id: (r.best_domain, r.misfiled) for r in quality.misfiled(df).collect()}
+    assert got == {1: ("small", True), 2: ("big", False), 3: ("small", False), 4: (None, False), 5: (None, False)}
+
+
+def test_disagreement(spark):
+    old, new = datetime(2020, 1, 1), datetime(2024, 1, 1)
+    rows = [(1, "a", "t", old), (1, "a", "t", new), (2, "a", "t", old), (2, "a", "u", new), (3, "a", "t", None), (3, "b", "t", old)]
+    df = spark.createDataFrame(rows, "query_id int, domain string, topic string, doc_date timestamp")
+    got = {r.query_id: (r.sources, r.stale, r.mixed, r.low_confidence) for r in quality.disagreement(df).collect()}
+    assert got == {1: (2, True, False, True), 2: (2, False, False, False), 3: (2, False, True, True)}
+
+
 def test_language(spark):
-    texts = ["The cat is in the house with you", "Der Hund und die Katze ist nicht da", "Le chat est dans la maison pour une nuit", "El gato no se fue por las casas", ""]
+    texts = ["The cat is in the house with you", "Der Hund und die Katze ist nicht da", "Le chat est dans la maison pour une nuit", "El gato no se fue por las casas", "", "日本語", "xyzzy"]
     df = spark.createDataFrame(list(enumerate(texts)), "n int, x string")
     got = [r.l for r in df.select("n", quality.language(F.col("x")).alias("l")).orderBy("n").collect()]
-    assert got[:4] == ["en", "de", "fr", "es"] and got[4] == "de"
+    assert got[:4] == ["en", "de", "fr", "es"] and got[4:] == [None] * 3

@@ -3,12 +3,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from deskloom import fixed, kernels
-from deskloom.operators import blocks, chunking, dense, fusion, lexical
+from deskloom.operators import chunking, dense, fusion, lexical
 from deskloom.plans import index as ix, retrieval
 
 WORDS = "card login refund test page score limit plan error code team email invite export".split()
@@ -107,11 +109,53 @@ def test_saved_index_gives_the_same(spark, docs, queries, tmp_path):
     assert as_dict(lexical.top_documents(queries, index.lexical, 7)) == brute(corpus(), 7)
 
 
-def test_query_blocks_hold_every_query_once(spark):
-    df = spark.range(1000).withColumnRenamed("id", "query_id")
-    ids = [i for b, many in blocks.query_blocks(df, "query_id", 100) for i in b.column("query_id").to_pylist() if many]
-    assert sorted(ids) == list(range(1000))
-    assert list(blocks.query_blocks(df.where("false"), "query_id", 100)) == []
+def test_a_vocabulary_too_large_to_send_is_joined(docs, queries, monkeypatch):
+    monkeypatch.setattr(lexical, "SENT_TERMS", 3)
+    index = lexical.build_index(docs, None)
+    assert as_dict(lexical.top_documents(queries, index, 7)) == brute(corpus(), 7)
+
+
+def test_an_index_is_complete_or_none(spark, docs, tmp_path):
+    folder = str(tmp_path / "index")
+    index = ix.build(docs)
+    index.documents.write.parquet(f"{folder}/documents")  # as a save that broke off leaves it
+    with pytest.raises(AnalysisException):
+        ix.load(spark, folder)
+    with pytest.raises(AnalysisException):
+        ix.save(index, folder)
+    ix.save(index, f"{folder}-2")
+    assert ix.load(spark, f"{folder}-2").vectors is None
+    with pytest.raises(AnalysisException):
+        ix.save(ix.load(spark, f"{folder}-2"), f"{folder}-2")
+
+
+def test_no_text_is_shuffled_for_an_index(docs, queries):
+    index = lexical.build_index(docs)
+    plan = index.weights._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_best_keeps_only_rows_that_count(monkeypatch):
+    monkeypatch.setattr(kernels, "WAITING_ROWS", 10)
+    rng = np.random.default_rng(3)
+    best, rows = kernels.Best(4, 5), []
+    for _ in range(60):
+        query, doc, score = rng.integers(0, 5, 7), rng.integers(0, 10**6, 7), rng.integers(0, 20, 7) / 10
+        rows += list(zip(query, -score, doc))
+        keep = score >= best.least[query]
+        best.add(query[keep], doc[keep], score[keep], np.ones(keep.sum(), bool))
+    best.rank()
+    got = list(zip(best.parts[0][0], -best.parts[0][2], best.parts[0][1]))
+    assert got == [row for q in range(5) for row in sorted(r for r in rows if r[0] == q)[:4]]
+
+
+def test_sparse_kernels():
+    terms = pa.array([["b", "a", "b"], [], None, ["c"]])
+    counted = kernels.tally(terms)
+    assert [sorted((x["term"], x["tf"]) for x in row) for row in counted.to_pylist()] == [[("a", 1), ("b", 2)], [], [], [("c", 1)]]
+    found = kernels.weigh(counted, (pa.array(["b", "a"]), np.array([7, 9]), np.array([2.0, 3.0])))
+    assert [[(x["slot"], x["tf"], round(x["weight"], 6)) for x in row] for row in found.to_pylist()] == [[(7, 2, 0.8), (9, 1, 0.6)], [], [], []]
+    assert kernels.sparse_dot(found, found).to_pylist() == pytest.approx([1, 0, 0, 0])
 
 
 def vectors(n, dim, seed):
@@ -157,6 +201,13 @@ def test_bad_vectors_score_zero(spark):
     assert got == {(1, 1): (1, 1.0), (1, 2): (2, 0.0), (1, 3): (3, 0.0)}
 
 
+def test_a_short_query_vector_does_not_matter(spark):
+    dd = spark.createDataFrame([(n, "a", [float(n), 1.0, 2.0]) for n in range(9)], "doc_id int, domain string, embedding array<float>")
+    qq = spark.createDataFrame([(0, None, [1.0]), (1, None, [3.0, 1.0, 2.0])], "query_id int, domain_filter string, embedding array<float>")
+    got = as_dict(dense.top_documents(qq, dd, 2))
+    assert got[1, 1] == (3, 1.0) and {q for q, _ in got} == {1}
+
+
 def ranked_list(spark, rows):
     return spark.createDataFrame(rows, "query_id int, doc_id string, score double, rank int")
 
@@ -219,7 +270,7 @@ def test_blank_chunks_are_dropped(spark):
 @given(st.text(alphabet="ab .?!\n", min_size=1, max_size=300), st.integers(5, 60))
 def test_chunks_cover_the_text_and_move_on(text, size):
     overlap = size // 6
-    spans = kernels.chunk_offsets(text, size, overlap)
+    spans = list(kernels.chunk_spans(text, size, overlap))
     assert spans[0][0] == 0 and max(e for _, e in spans) == len(text)
     for (s1, e1), (s2, e2) in zip(spans, spans[1:]):
         assert s2 > s1 and s2 <= e1
