@@ -16,8 +16,9 @@ blocks equal in all their bytes are repeated, blocks not even equal in the bytes
 that all their windows share aren't, and only the rest is sorted start by start.
 
 An anchor with very many different contexts, such as a line of a third of all
-documents, isn't gathered: its windows are counted by two hashes, 128 bits in
-all, in an aggregation that combines before it shuffles.
+documents, isn't gathered: its blocks, and where these don't decide it its
+windows, are counted by two hashes, 128 bits in all, in an aggregation that
+combines before it shuffles.
 
 Cases: null and empty texts and texts shorter than a passage keep everything.
 Overlapping occurrences in one document count. Repeated rows are copies of each
@@ -347,20 +348,26 @@ def classes(order: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.bincount(number, minlength=1)[out] if len(out) else out
 
 
+def blocked(shape: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks of neighbouring windows: context, number, and least and largest distance from the anchor."""
+    width, offset = (shape >> 8).astype(np.int64), (shape & 255).astype(np.int64)
+    first, last = (offset - width) // BLOCK, offset // BLOCK
+    count = last - first + 1
+    owner = np.repeat(np.arange(len(shape)), count)
+    block = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[owner]
+    near = np.maximum(block * BLOCK, (offset - width)[owner])
+    far = np.minimum(block * BLOCK + BLOCK - 1, offset[owner])
+    return owner, block, near, far
+
+
 def resolve(gram: np.ndarray, shape: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """First and last window of each context that another context of its anchor has; -1 if none."""
     m = len(bodies)
     sizes = np.array([len(body) for body in bodies], np.int64)
     base = np.cumsum(sizes) - sizes
     sorter = Sorter(b"".join(bodies))
-    width, offset = (shape >> 8).astype(np.int64), (shape & 255).astype(np.int64)
-    low_l, high_l = offset - width, offset
-    from_block, to_block = low_l // BLOCK, high_l // BLOCK
-    count = to_block - from_block + 1
-    owner = np.repeat(np.arange(m), count)
-    block = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + from_block[owner]
-    near = np.maximum(block * BLOCK, low_l[owner])
-    far = np.minimum(block * BLOCK + BLOCK - 1, high_l[owner])
+    offset = (shape & 255).astype(np.int64)
+    owner, block, near, far = blocked(shape)
     anchor = base[owner] + offset[owner]
     group = np.unique(gram, return_inverse=True)[1][owner]
 
@@ -439,35 +446,89 @@ def meet(cut: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, FOUND)
 
 
-def count(cut: DataFrame) -> DataFrame:
-    """The same for anchors of very many contexts, by counting all their windows."""
+UNIT = "one long, two long, whole boolean, gram long, context long, shape int, n long, low int, high int"
+
+
+def salted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray) -> list[pa.Array]:
+    """Two independent hashes of each substring and its salt."""
+    both = [Prefixes(data, which).of(starts, ends) for which in (0, 1)]
+    return [pa.array(shingles.mix(one + shingles.mix(salt.astype(np.uint64))).view(np.int64)) for one in both]
+
+
+def units(cut: DataFrame) -> DataFrame:
+    """For every block of a context two rows: by all bytes of its windows, and by those they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                own = batch.slice(at, 2000)
-                shape = own.column("shape").to_numpy()
-                bodies = own.column("body").to_pylist()
-                data = np.frombuffer(b"".join(bodies), np.uint8)
-                sizes = np.array([len(body) for body in bodies])
-                steps = (shape >> 8).astype(np.int64) + 1
-                owner = np.repeat(np.arange(len(bodies)), steps)
-                step = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
-                starts = (np.cumsum(sizes) - sizes)[owner] + step
-                one, two = (shingles.mix(Prefixes(data, i).of(starts, starts + LENGTH)) for i in (0, 1))
-                row = pa.array(owner)
-                columns = [own.column(name).take(row) for name in ("gram", "context", "shape", "n")]
-                hashes = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(
-                    [*hashes, *columns, pa.array(step.astype(np.int32))],
-                    ["one", "two", "gram", "context", "shape", "n", "step"],
-                )
+        for batch, data, base in few(batches):
+            shape = batch.column("shape").to_numpy()
+            owner, block, near, far = blocked(shape)
+            offset = (shape & 255)[owner].astype(np.int64)
+            anchor = base[owner] + offset
+            kept = [batch.column(name).take(pa.array(owner)) for name in ("gram", "context", "shape", "n")]
+            kept += [pa.array((offset - far).astype(np.int32)), pa.array((offset - near).astype(np.int32))]
+            core = anchor - block * BLOCK
+            for whole, starts, ends, salt in (
+                (True, anchor - far, anchor - near + LENGTH, near * 512 + far + (1 << 20)),
+                (False, core, core + LENGTH - BLOCK + 1, block),
+            ):
+                flag = pa.array(np.full(len(owner), whole))
+                yield pa.RecordBatch.from_arrays([*salted(data, starts, ends, salt), flag, *kept], NAMES)
+
+    NAMES = ["one", "two", "whole", "gram", "context", "shape", "n", "low", "high"]
+    return cut.mapInArrow(run, UNIT)
+
+
+def windows(cut: DataFrame) -> DataFrame:
+    """One row per window of the ranges of a context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, base in few(batches):
+            ranges = [[(r["low"], r["high"]) for r in own] for own in batch.column("ranges").to_pylist()]
+            owner = np.repeat(np.arange(len(ranges)), [sum(b - a + 1 for a, b in own) for own in ranges])
+            step = np.concatenate([np.arange(a, b + 1) for own in ranges for a, b in own])
+            starts = base[owner] + step
+            offset = (batch.column("shape").to_numpy() & 255)[owner].astype(np.int64)
+            kept = [batch.column(name).take(pa.array(owner)) for name in ("gram", "context", "shape", "n")]
+            yield pa.RecordBatch.from_arrays(
+                [*salted(data, starts, starts + LENGTH, offset - step), *kept, pa.array(step.astype(np.int32))],
+                ["one", "two", "gram", "context", "shape", "n", "step"],
+            )
+
+    return cut.mapInArrow(run, "one long, two long, gram long, context long, shape int, n long, step int")
+
+
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Small slices of contexts, their bytes in a row, and where each starts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            bodies = part.column("body").to_pylist()
+            sizes = np.array([len(body) for body in bodies], np.int64)
+            yield part, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes) - sizes
 
-    windows = cut.mapInArrow(run, "one long, two long, gram long, context long, shape int, n long, step int")
-    windows = common.stage(windows, "suffix-windows")
-    often = windows.groupBy("one", "two").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
-    hit = windows.filter("n = 1").join(often, ["one", "two"], "left_semi")
-    return hit.groupBy("gram", "context", "shape").agg(F.min("step").alias("low"), F.max("step").alias("high"))
+
+def count(cut: DataFrame) -> DataFrame:
+    """The same for anchors of very many contexts, by counting instead of sorting.
+
+    Blocks repeated in all their bytes are done. Of the others only those whose
+    shared bytes are repeated can have a repeated window. Their windows are
+    counted, together with those of one context for every kind of done block.
+    """
+    key = ["gram", "context", "shape"]
+    cut = common.stage(cut, "suffix-crowded")
+    found = common.stage(units(cut), "suffix-units")
+    often = found.groupBy("one", "two").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    hit = common.stage(found.join(often, ["one", "two"], "left_semi"), "suffix-hits")
+    done = hit.filter("whole")
+    place = F.struct(*key, "low", "high")
+    known = done.groupBy("one", "two").agg(F.min(place).alias("at")).select("at.*")
+    left = hit.filter("not whole").select(*key, "low", "high").join(done.select(*key, "low"), [*key, "low"], "left_anti")
+    ranges = left.union(known).groupBy(*key).agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    single = common.stage(windows(cut.join(ranges, key)), "suffix-windows")
+    twice = single.groupBy("one", "two").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    more = single.join(twice, ["one", "two"], "left_semi").select(*key, "n", F.col("step").alias("low"), F.col("step").alias("high"))
+    every = done.select(*key, "n", "low", "high").union(more).filter("n = 1")
+    return every.groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def spans(documents: DataFrame) -> DataFrame:
