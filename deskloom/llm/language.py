@@ -6,9 +6,11 @@ letter trigrams. Viterbi with a switching penalty then finds the best
 labelling of the words of a document, whose runs are the spans.
 
 Cases: a null or empty text, or one without a letter, has no span and the
-language `und` with score 0. Ties go to the language that sorts first. Repeated
-rows are predicted alike. With no labelled row every text is `und`. Further
-input columns are ignored. Texts of any length are read whole.
+language `und` with score 0. Text in scripts that no learned language is written in gets
+the most frequent language, with its share of the examples as score. Ties go to
+the language that sorts first. Repeated rows are predicted alike. With no
+labelled row every text is `und`. Further input columns are ignored. Texts of
+any length are read whole.
 """
 
 from __future__ import annotations
@@ -76,6 +78,7 @@ class Model:
     grams: dict[str, np.ndarray]
     unseen: np.ndarray
     allowed: dict[str, np.ndarray]
+    prior: np.ndarray  # share of the languages among the words of the examples
 
     def score(self, word: str) -> np.ndarray:
         """Log share of each language for the word; zeros if its script is nobody's."""
@@ -157,25 +160,29 @@ def model(counts: dict[str, dict[str, int]]) -> Model:
         {gram: np.log(n + smooth) - gram_base for gram, n in grams.items()},
         np.log(smooth) - gram_base,
         {name: n >= 0.01 * size for name, n in written.items() if (n >= 0.01 * size).any()},
+        size / max(size.sum(), 1),
     )
 
 
 class Scored(dict):
-    """Number of each word met; scores and letters by number."""
+    """Number of each word met; scores, letters that count, and whether it has any, by number."""
 
     def __init__(self, fitted: Model):
         super().__init__()
         self.fitted = fitted
         self.scores = np.zeros((1024, len(fitted.languages)), np.float32)
         self.letters = np.zeros(1024, np.int64)
+        self.spoken = np.zeros(1024, bool)
 
     def __missing__(self, word: str) -> int:
         n = len(self)
         if n == len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.spoken = np.concatenate([self.spoken, np.zeros_like(self.spoken)])
         self.scores[n] = self.fitted.score(word)
-        self.letters[n] = len(word)
+        self.spoken[n] = any(map(str.isalpha, word))
+        self.letters[n] = len(word) if self.spoken[n] and script(word) in self.fitted.allowed else 0
         self[word] = n
         return n
 
@@ -243,10 +250,11 @@ def predict(documents: DataFrame, fitted: Model, switch: float = SWITCH, spans:
             starts = np.concatenate([[0], np.cumsum(sizes[order])[:-1]]).astype(np.int64) if len(order) else sizes
             words = np.concatenate([found[i] for i in order]) if len(order) else np.zeros(0, np.int32)
             labels = viterbi(words, starts, sizes[order], known.scores, switch)
-            letters = known.letters[words] if len(words) else np.zeros(0, np.int64)
+            letters, spoken = known.letters[words], known.spoken[words]
             out = [None] * len(order)
             for place, i in enumerate(order):
-                out[i] = summary(labels, letters, int(starts[place]), int(sizes[i]), names, spans)
+                own = slice(int(starts[place]), int(starts[place] + sizes[i]))
+                out[i] = summary(labels[own], letters[own], spoken[own], ship.value, spans)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
@@ -264,19 +272,19 @@ def predict(documents: DataFrame, fitted: Model, switch: float = SWITCH, spans:
     )
 
 
-def summary(labels, letters, start: int, size: int, names: list[str], spans: bool) -> tuple:
+def summary(own: np.ndarray, letters: np.ndarray, spoken: np.ndarray, fitted: Model, spans: bool) -> tuple:
     """Language, score, number of spans and spans of one document."""
-    if not size:
+    if not spoken.any():
         return "und", 0.0, 0, []
-    own = labels[start : start + size]
-    total = np.bincount(own, weights=letters[start : start + size], minlength=len(names))
+    names = fitted.languages
+    total = np.bincount(own, weights=letters, minlength=len(names))
+    if not total.any():
+        total = fitted.prior
     top = int(total.argmax())
     edges = np.flatnonzero(np.diff(own)) + 1
     runs = []
     if spans:
         first = np.concatenate([[0], edges])
-        width = np.diff(np.concatenate([first, [size]]))
-        runs = [
-            {"first": int(a), "words": int(b), "lang": names[own[a]]} for a, b in zip(first, width, strict=True)
-        ]
+        width = np.diff(np.concatenate([first, [len(own)]]))
+        runs = [{"first": int(a), "words": int(b), "lang": names[own[a]]} for a, b in zip(first, width, strict=True)]
     return names[top], float(total[top] / total.sum()), len(edges) + 1, runs

@@ -65,6 +65,12 @@ def test_spans_of_mixed_text(spark, fitted, docs):
     assert row["lang_pred"] == "ru" and 0 < row["score"] < 1 and row["n_spans"] == 3
 
 
+def test_texts_without_letters_or_in_other_scripts(spark, fitted, docs):
+    rows = language.predict(common.rows(docs(["² ½ 12 _", "日本語 です", "² the"])), fitted).collect()
+    assert [row["lang_pred"] for row in rows] == ["und", "de", "en"]
+    assert rows[0]["score"] == 0 and rows[1]["score"] == pytest.approx(max(fitted.prior)) and rows[2]["score"] == 1
+
+
 def test_scripts_narrow_candidates(fitted):
     assert fitted.languages == ["de", "en", "ru"]
     assert fitted.score("новое").argmax() == 2 and fitted.score("новое")[0] == language.FLOOR
