@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskloom import fixed
-from deskloom.operators import validation
+from deskloom.operators import safety, validation
 from deskloom.plans import index as ix, triage as tr
 from deskloom.sources import corpus, tickets as src
 from deskloom.streaming import triage_stream
@@ -110,3 +110,19 @@ def test_stream(spark, parts, tmp_path):
     query.trigger(availableNow=True).start().awaitTermination(300)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.ticket_id for r in rows) == list("12345")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_scan_is_planned_once(parts):
+    plan = plan_of(tr.triage(*parts))
+    assert sum("suspect(" in line and "EvalPython" in line for line in plan.splitlines()) == 1
+
+
+def test_personal_data_needs_no_injection_rule(spark):
+    df = spark.createDataFrame([("a@b.co",)], "text string")
+    plan = plan_of(safety.personal_data(safety.normalised(df, "text")))
+    assert "suspect" not in plan and fixed.INJECTION_RULES[0][1] not in plan
+    assert safety.personal_data(safety.normalised(df, "text")).first().pii_types == ["email"]
