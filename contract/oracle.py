@@ -591,6 +591,7 @@ def sql() -> dict[str, str]:
       SELECT severity, "check", count(*) AS n FROM (
         SELECT severity, "check" FROM findings
         UNION ALL SELECT 'error', 'headers'
+        UNION ALL SELECT 'warning', 'headers'
         UNION ALL SELECT 'error', 'row_count' WHERE (SELECT count(*) FROM conversations) != (SELECT count(*) FROM faulty)) GROUP BY ALL"""
     out["output_report"] = f"""WITH {faulty()}, {FINDINGS}
       SELECT row_no, severity, "check" FROM (
@@ -607,7 +608,9 @@ def sql() -> dict[str, str]:
       round(stddev_pop(confidence), 6) AS spread, min(confidence) = max(confidence) AS flat FROM truth"""
     out["calibration_bins"] = f"""WITH {TRUTH} SELECT least(floor(confidence * 10), 9)::BIGINT AS bin, count(*) AS n,
       round(avg(confidence), 6) AS mean_confidence, round(avg(correct::INT), 6) AS share_correct FROM truth GROUP BY bin"""
-    out["pii_confusion"] = f"WITH {TRUTH} SELECT pii_detected AS guess, toxic AS truth, count(*) AS n FROM truth GROUP BY ALL"
+    text = f"CASE WHEN doc_id % 3 = 0 THEN content || chr(10) || {pick(list(i.PERSONAL.values()), 'doc_id')} ELSE content END"
+    out["pii_confusion"] = f"""WITH {DOCS}, plain AS (SELECT doc_id, {normalise(text)} AS norm FROM docs)
+      SELECT len({pii_list('norm')}) > 0 AS guess, doc_id % 3 = 0 AS truth, count(*) AS n FROM plain GROUP BY ALL"""
     out["citation_missing"] = """WITH cited AS (
       SELECT 'doc/' || page_id AS doc_path FROM pages UNION ALL SELECT 'doc/x' || (page_id % 3) FROM pages)
       SELECT doc_path, count(*) AS n_citations FROM cited WHERE doc_path NOT IN (SELECT 'doc/' || doc_id FROM documents) GROUP BY doc_path"""

@@ -489,7 +489,8 @@ def output_findings(spark, sf):
 @query
 def output_check_summary(spark, sf):
     """Row findings, header and count findings of a faulty table against more inputs."""
-    found = validation.validate(i.turns(spark, sf), faulty_output(spark, sf), "doc_id")
+    faulty = faulty_output(spark, sf).withColumn("unasked", F.lit(1))
+    found = validation.validate(i.turns(spark, sf), faulty, "doc_id")
     return validation.summary(found)
 
 
@@ -538,7 +539,12 @@ def calibration_bins(spark, sf):
 
 @query
 def pii_confusion(spark, sf):
-    return metrics.confusion(judged(spark, sf), "pii_detected", "toxic")
+    """Every third document has personal data planted; that is the truth."""
+    docs = spread(i.documents(spark, sf), "doc_id").withColumn("planted", F.col("doc_id") % 3 == 0)
+    more = F.concat("content", F.lit("\n"), i.pick(list(i.PERSONAL.values()), F.col("doc_id")))
+    text = F.when(F.col("planted"), more).otherwise(F.col("content"))
+    found = safety.personal_data(safety.normalised(docs.withColumn("text", text), "text"))
+    return metrics.confusion(found, "pii_detected", "planted")
 
 
 def citing(spark, sf):
