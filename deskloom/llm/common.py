@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskloom.session import stage
 
-__all__ = ["read", "rows", "sampled", "share", "small", "stage"]
+__all__ = ["read", "rows", "sampled", "share", "small", "stage", "unpacked"]
+
+ROWS = 500  # texts unpacked at once
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -26,6 +31,14 @@ def rows(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str) ->
     )
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Small slices of batches with their texts as bytes, so that a task holds few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield part, part.column("text").cast(pa.binary()).to_pylist()
+
+
 def share(df: DataFrame, key: str, bound: int, seed: int = 17) -> Column:
     """Predicate that keeps about `bound` rows, chosen by a hash of the key.
 

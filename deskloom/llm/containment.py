@@ -107,9 +107,8 @@ def search(documents: DataFrame, packed, percent: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*pickle.loads(packed.value))
-        for batch in batches:
+        for batch, texts in common.unpacked(batches):
             ids = batch.column("id")
-            texts = [text.encode() for text in batch.column("text").to_pylist()]
             for part in shingles.chunks([len(text) for text in texts]):
                 hashes, counts = shingles.shingles(texts[part])
                 ends = np.cumsum(counts)

@@ -51,8 +51,7 @@ def signatures(documents: DataFrame) -> DataFrame:
     """(id, n_shingles, set_key, signature) of every row (id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [text.encode() for text in batch.column("text").to_pylist()]
+        for batch, texts in common.unpacked(batches):
             for part in shingles.chunks([len(text) for text in texts]):
                 hashes, counts = shingles.sets(texts[part])
                 values = iter(shingles.least(hashes, counts, KEYS).astype(np.uint16))
@@ -169,17 +168,18 @@ def sweep(window: int, near: int, crowd: int):
     return run
 
 
-def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, packed): the compressed texts of some documents."""
+def texts_of(documents: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """(id, packed): the compressed texts of some documents, one for each id."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            made = [press.compress(text.encode()) for text in batch.column("text").to_pylist()]
+        for batch, texts in common.unpacked(batches):
+            made = [press.compress(text) for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "packed"])
 
     packed = documents.filter("id is not null").select("id", "text").mapInArrow(pack, "id long, packed binary")
-    return packed.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    found = packed.join(ids, "id", "left_semi")
+    return found.dropDuplicates(["id"]) if repeated else found
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -242,7 +242,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     pairs = common.stage(pairs, "forest-pairs")
     crowded = swept.filter("b is null").select(F.col("a").alias("id")).distinct()
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    texts = common.stage(texts_of(documents, ends.union(crowded).distinct()), "forest-texts")
+    repeated = not signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    texts = common.stage(texts_of(documents, ends.union(crowded).distinct(), repeated), "forest-texts")
 
     first = common.stage(best(pairs), "forest-best")
     links = common.stage(confirmed(first, texts), "forest-links")

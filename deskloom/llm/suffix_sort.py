@@ -43,7 +43,6 @@ LENGTH = 200
 GRAM = 50  # bytes of an anchor
 SPAN = LENGTH - GRAM + 1  # places an anchor can have in a window
 SEGMENT = 1 << 19  # bytes worked on at once, a power of two
-ROWS = 500  # texts unpacked at once
 BLOCK = 16  # starts that are compared together
 RUN = 1024  # different contexts of an anchor that meet in a task
 
@@ -116,14 +115,6 @@ def anchored(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, last, place, grams[place].view(np.int64), context.view(np.int64)
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Small slices of batches with their texts as bytes, to hold few texts at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            yield part, part.column("text").cast(pa.binary()).to_pylist()
-
-
 def segments(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Numbers of texts, where in them their parts start, and the parts, one segment in all at most.
 
@@ -154,7 +145,7 @@ def anchors(documents: DataFrame) -> DataFrame:
     """One row per anchor; shape packs the number of further windows and the anchor's offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in unpacked(batches):
+        for batch, texts in common.unpacked(batches):
             ids, keys = batch.column("id"), batch.column("key")
             for numbers, origins, own in segments(texts):
                 ends = np.cumsum([len(text) for text in own])
@@ -182,7 +173,7 @@ def repeated(documents: DataFrame) -> DataFrame:
     """Hashes of the anchors that occur twice at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in unpacked(batches):
+        for _, texts in common.unpacked(batches):
             for _, _, own in segments(texts):
                 ends = np.cumsum([len(text) for text in own])
                 gram = anchored(np.frombuffer(b"".join(own), np.uint8), ends)[3]
@@ -200,7 +191,7 @@ def packed(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch, texts in unpacked(batches):
+        for batch, texts in common.unpacked(batches):
             made = [press.compress(text) for text in texts]
             columns = [batch.column("id"), batch.column("key"), pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "key", "packed"])
