@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def extended(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more links (a, b): only the graph of components is worked on."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        known = nodes.select(F.col("id").alias(end), F.col("component").alias("_known"))
+        ends = ends.join(known, end, "left").withColumn(f"c{end}", F.coalesce("_known", end)).drop("_known")
+    ends = common.stage(ends, "links-ends")
+    above = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    above = common.stage(above.select(F.col("id").alias("component"), F.col("component").alias("top")), "links-above")
+    every = ends.select(F.col("a").alias("id"), F.col("ca").alias("component"))
+    every = every.union(ends.select("b", "cb")).union(nodes.select("id", "component")).distinct()
+    return every.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in the links (a, b).
 

@@ -3,16 +3,19 @@
 Every tree is one sorted order of the signatures: Spark range-partitions and
 sorts all (tree, signature) rows, and a sweep takes as candidates the rows with
 the longest common prefixes, which are the neighbours. The depth adapts to the
-region: where few rows share the first `SHALLOW` values all of them are paired,
-in a crowded region only close neighbours, that is the deepest prefixes, and a
-second sweep then pairs rows of such regions that aren't connected yet, until
-nothing more is linked. Sketches sort out clearly different pairs. A link counts
+region: a row is compared with the `WINDOW` rows after it that share the first
+`SHALLOW` values at least, so in a crowded region only the deepest prefixes
+count. Sketches sort out clearly different pairs.
+
+A first sweep takes the nearest neighbours in some of the trees, which connects
+most of every group with few pairs. The next ones pair all candidates in all
+trees that aren't connected yet, until a sweep links nothing more. A link counts
 only after the full shingle sets have been compared.
 
 A link of similarity 0.75 shares the first three values of a tree with
-probability 0.42, so all 24 trees miss it with 2e-6. In crowded regions a link
-can also be missed if its two documents are never near enough to each other in
-any order and nothing else connects them.
+probability 0.42, so all 24 trees miss it with 2e-6. Where more than `WINDOW`
+rows share those values, a link can also be missed if its two documents are
+never near enough to each other in any order and nothing else connects them.
 
 Cases: a null or empty text, or one of blanks only, has no shingles, links with
 nothing and is kept. Equal sets are linked by a 128-bit hash of the sorted set.
@@ -37,9 +40,8 @@ TREES = 24
 DEPTH = 6  # values of a tree's key
 SHALLOW = 3  # values that candidates share at least
 KEYS = shingles.odd(41, TREES * DEPTH)
-WINDOW = 16  # rows paired with each other in thin regions; ranks from here on count as crowded
-NEAR = 1  # neighbours paired in crowded regions; the second sweep sees to the rest
-WIDE = 64  # neighbours looked at by the second sweep
+WINDOW = 64  # rows that a row is compared with
+FIRST = 6  # trees whose nearest neighbours the first sweep pairs
 SKETCH = 0.55  # estimated similarity below which a pair is no candidate, 4 deviations under 0.75
 PERCENT = 75
 
@@ -107,8 +109,12 @@ def orders(signed: DataFrame, label: str) -> DataFrame:
     return rows.repartitionByRange("tree", "k1", "k2", "id").sortWithinPartitions("tree", "k1", "k2", "id")
 
 
-def sweep(window: int, near: int, crowd: int):
-    """Pairs neighbouring rows of different labels; (id, null) marks a row of a crowded region."""
+def sweep(window: int, first_trees: int = 0):
+    """Pairs of neighbouring rows of different labels.
+
+    For the first sweep only nearest neighbours in the first trees, and every
+    row with a candidate in any tree as (id, null).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -119,7 +125,6 @@ def sweep(window: int, near: int, crowd: int):
             own["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(
                 batch.num_rows, -1
             )
-            own["place"] = np.zeros(batch.num_rows, np.int64)
             old = 0
             if kept is not None:
                 old = len(kept["id"])
@@ -129,13 +134,11 @@ def sweep(window: int, near: int, crowd: int):
             fresh = np.ones(n, bool)
             fresh[1:] = (bucket[1:] != bucket[:-1]) | (own["tree"][1:] != own["tree"][:-1])
             first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-            own["place"] = np.arange(n) - first + np.where(first == 0, own["place"][0] if old else 0, 0)
+            marked = np.zeros(n, bool)
             for step in range(1, min(window, n - 1) + 1):
                 i = np.arange(max(0, old - step), n - step)
                 j = i + step
                 same = (first[i] == first[j]) & (own["label"][i] != own["label"][j])
-                if step > near:
-                    same &= own["place"][j] < 2 * window
                 low, high = np.minimum(own["n"][i], own["n"][j]), np.maximum(own["n"][i], own["n"][j])
                 i = i[same & (100 * low >= PERCENT * high)]
                 if not len(i):
@@ -145,13 +148,14 @@ def sweep(window: int, near: int, crowd: int):
                 apart = np.bitwise_count((differs | differs >> np.uint32(1)) & np.uint32(0x55555555)).sum(1)
                 close = ((1 - apart / (TREES * DEPTH)) - 0.25) / 0.75
                 good = close >= SKETCH
+                marked[i[good]] = marked[j[good]] = True
+                if first_trees:
+                    good &= (step == 1) & (own["tree"][i] < first_trees)
                 if good.any():
                     a, b = own["id"][i[good]], own["id"][j[good]]
                     yield swept(np.minimum(a, b), np.maximum(a, b), close[good])
-            if crowd:
-                many = own["id"][old:][own["place"][old:] >= crowd]
-                if len(many):
-                    yield swept(np.unique(many), None, None)
+            if first_trees and marked.any():
+                yield swept(np.unique(own["id"][marked]), None, None)
             kept = {name: values[max(0, n - window) :] for name, values in own.items()}
 
     def swept(a, b, close) -> pa.RecordBatch:
@@ -208,14 +212,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return full.select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
 
 
-def between(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
-    a = nodes.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    b = nodes.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def best(pairs: DataFrame) -> DataFrame:
     """For every node its most similar partner, as pairs a < b."""
     turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate")
@@ -235,39 +231,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     classes = common.stage(classes, "forest-classes")
     alone = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    swept = common.stage(
-        orders(alone, "id").mapInArrow(sweep(WINDOW, NEAR, WINDOW + 1), SWEPT), "forest-sweep"
-    )
+    swept = common.stage(orders(alone, "id").mapInArrow(sweep(WINDOW, FIRST), SWEPT), "forest-sweep")
     pairs = swept.filter("b is not null").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    pairs = common.stage(pairs, "forest-pairs")
-    crowded = swept.filter("b is null").select(F.col("a").alias("id")).distinct()
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    alike = common.stage(swept.filter("b is null").select(F.col("a").alias("id")).distinct(), "forest-alike")
     repeated = not signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    texts = common.stage(texts_of(documents, ends.union(crowded).distinct(), repeated), "forest-texts")
+    texts = common.stage(texts_of(documents, alike, repeated), "forest-texts")
+    alone = common.stage(alone.join(alike, "id", "left_semi"), "forest-rows")
 
-    first = common.stage(best(pairs), "forest-best")
-    links = common.stage(confirmed(first, texts), "forest-links")
+    tried = common.stage(best(pairs), "forest-best")
+    links = common.stage(confirmed(tried, texts), "forest-links")
     nodes = common.stage(graph.components(links), "forest-nodes")
-    rest = between(pairs.join(first, ["a", "b"], "left_anti"), nodes)
-    tried = first
     while True:
-        rest = common.stage(rest, "forest-rest")
+        known = alone.join(nodes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = orders(known, "component").mapInArrow(sweep(WINDOW), SWEPT).select("a", "b").distinct()
+        rest = common.stage(open_.join(tried, ["a", "b"], "left_anti"), "forest-rest")
         more = common.stage(confirmed(rest, texts), "forest-more")
-        if not more.isEmpty():
-            links = links.union(more)
-            nodes = common.stage(graph.components(links), "forest-nodes")
-        elif tried is not first:
-            break
-        if crowded.isEmpty():
+        if more.isEmpty():
             break
         tried = tried.union(rest)
-        open_ = (
-            alone.join(crowded, "id", "left_semi")
-            .join(nodes, "id", "left")
-            .withColumn("component", F.coalesce("component", "id"))
-        )
-        wider = orders(open_, "component").mapInArrow(sweep(WIDE, WIDE, 0), SWEPT)
-        rest = wider.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        nodes = common.stage(graph.extended(nodes, more), "forest-nodes")
 
     same = classes.filter("rep < last").select("set_key", "rep")
     named = signed.select("id", "n_shingles", "set_key").join(same, "set_key", "left")

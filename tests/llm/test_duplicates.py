@@ -78,6 +78,14 @@ def test_links_of_a_long_chain(spark):
     assert all(found[i] == 0 for i in range(301)) and found[1001] == 1000
 
 
+def test_components_are_extended(spark):
+    schema = "a long, b long"
+    nodes = graph.components(spark.createDataFrame([(1, 2), (3, 4), (5, 6)], schema))
+    more = spark.createDataFrame([(4, 6), (2, 1), (9, 10), (6, 0)], schema)
+    found = graph.extended(nodes, more).collect()
+    assert sorted(found) == [(0, 0), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0), (6, 0), (9, 9), (10, 9)]
+
+
 def test_shingles_are_those_of_the_words():
     texts = [b"A b\x0bC d e F", b"a  B c d e f", b"", b" ", b"one", b"ONE", b"a b c d e a b c d e a", b"w" * 9000, b"w" * 9001]
     hashes, counts = shingles.sets(texts)
