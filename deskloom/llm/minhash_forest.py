@@ -212,14 +212,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return full.select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
 
 
-def best(pairs: DataFrame) -> DataFrame:
-    """For every node its most similar partner, as pairs a < b."""
-    turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate")
-    top = pairs.union(turned).groupBy("a").agg(F.max(F.struct("estimate", (-F.col("b")).alias("b"))).alias("top"))
-    other = -F.col("top.b")
-    return top.select(F.least("a", other).alias("a"), F.greatest("a", other).alias("b")).distinct()
-
-
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(id, n_shingles, component, kept) for every row (id, text)."""
     signed = common.stage(signatures(documents), "forest-signatures")
@@ -232,13 +224,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = common.stage(classes, "forest-classes")
     alone = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     swept = common.stage(orders(alone, "id").mapInArrow(sweep(WINDOW, FIRST), SWEPT), "forest-sweep")
-    pairs = swept.filter("b is not null").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    pairs = swept.filter("b is not null").select("a", "b").distinct()
     alike = common.stage(swept.filter("b is null").select(F.col("a").alias("id")).distinct(), "forest-alike")
     repeated = not signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     texts = common.stage(texts_of(documents, alike, repeated), "forest-texts")
     alone = common.stage(alone.join(alike, "id", "left_semi"), "forest-rows")
 
-    tried = common.stage(best(pairs), "forest-best")
+    tried = common.stage(pairs, "forest-pairs")
     links = common.stage(confirmed(tried, texts), "forest-links")
     nodes = common.stage(graph.components(links), "forest-nodes")
     while True:
