@@ -159,3 +159,29 @@ def test_contained_items(spark, docs):
     for block in (containment.BLOCK, 400):  # one block of items, and several
         found = containment.contained(common.rows(docs(texts)), common.rows(table, "item_id"), block=block).collect()
         assert {tuple(row) for row in found} == want and len(found) == len(want)
+
+
+def test_scattered_and_short_items_are_found(spark, docs):
+    short = [(i, prose(1000 + i, 5 + i % 4)) for i in range(400)]
+    long = [(1000 + i, prose(2000 + i, 60)) for i in range(8)]
+    words = prose(3000, 30_000).split()
+    texts = []
+    for n in range(0, 400, 10):  # short items inside long documents
+        parts = [" ".join([*words[40 * n + 600 * k : 40 * n + 600 * k + 600], text]) for k, (_, text) in enumerate(short[n : n + 10])]
+        texts.append(" ".join(parts))
+    for _, text in long:  # pieces of an item, 2,000 words apart
+        own = text.split()
+        pieces = [" ".join([*own[k : k + 20], *words[100 * k : 100 * k + 2000]]) for k in (0, 20, 40)]
+        texts.append(" ".join(pieces))
+    items = short + long
+    table = spark.createDataFrame(items, "item_id long, text string")
+    sets = [shingle_set(text) for text in texts]
+    want = set()
+    for i, item in items:
+        need = shingle_set(item)
+        for d, own in enumerate(sets):
+            if 100 * len(own & need) >= 75 * len(need):
+                want.add((i, d, len(own & need), len(need)))
+    assert len({i for i, *_ in want}) == len(items)
+    found = containment.contained(common.rows(docs(texts)), common.rows(table, "item_id")).collect()
+    assert {tuple(row) for row in found} == want and len(found) == len(want)
