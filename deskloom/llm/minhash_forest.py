@@ -4,18 +4,21 @@ Every tree is one sorted order of the signatures: Spark range-partitions and
 sorts all (tree, signature) rows, and a sweep takes as candidates the rows with
 the longest common prefixes, which are the neighbours. The depth adapts to the
 region: a row is compared with the `WINDOW` rows after it that share the first
-`SHALLOW` values at least, so in a crowded region only the deepest prefixes
-count. Sketches sort out clearly different pairs.
+`SHALLOW` values at least, so in a crowded region the deepest prefixes come
+first. Sketches sort out clearly different pairs.
 
 A first sweep takes the nearest neighbours in some of the trees, which connects
-most of every group with few pairs. The next ones pair all candidates in all
-trees that aren't connected yet, until a sweep links nothing more. A link counts
-only after the full shingle sets have been compared.
+most of every group with few pairs. The next ones pair, of the rows that aren't
+connected yet, the best in all trees and then all in the window. Where more than
+`WINDOW` rows share the first values (a crowded bucket), the rows outside the
+bucket's largest component are then compared with every row of the bucket, best
+candidates first, until no pair of different components is left untried. A link
+counts only after the full shingle sets have been compared.
 
 A link of similarity 0.75 shares the first three values of a tree with
-probability 0.42, so all 24 trees miss it with 2e-6. Where more than `WINDOW`
-rows share those values, a link can also be missed if its two documents are
-never near enough to each other in any order and nothing else connects them.
+probability 0.42, so all 24 trees miss it with 2e-6, in a crowded bucket too. The
+price is that rows of one bucket that stay apart are compared with one another,
+which grows with the square of their number.
 
 Cases: a null or empty text, or one of blanks only, has no shingles, links with
 nothing and is kept. Equal sets are linked by a 128-bit hash of the sorted set.
@@ -40,7 +43,9 @@ TREES = 24
 DEPTH = 6  # values of a tree's key
 SHALLOW = 3  # values that candidates share at least
 KEYS = shingles.odd(41, TREES * DEPTH)
-WINDOW = 64  # rows that a row is compared with
+WINDOW = 64  # rows that a row is compared with in a sweep
+SLICE = 4096  # rows of a crowded bucket that a task compares with those outside its largest component
+BEST = (4, 64, None)  # candidates of a row that the passes over crowded buckets try; the last tries all
 FIRST = 6  # trees whose nearest neighbours the first sweep pairs
 SKETCH = 0.55  # estimated similarity below which a pair is no candidate, 4 deviations under 0.75
 PERCENT = 75
@@ -75,7 +80,7 @@ def signatures(documents: DataFrame) -> DataFrame:
     return documents.select("id", "text").mapInArrow(sign, SIGNED)
 
 
-def orders(signed: DataFrame, label: str) -> DataFrame:
+def dealt(signed: DataFrame, label: str) -> DataFrame:
     """One row per tree: (tree, k1, k2, id, n, label, sketch); four key values in k1, two in k2."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,17 +108,48 @@ def orders(signed: DataFrame, label: str) -> DataFrame:
                     ["tree", "k1", "k2", "id", "n", "label", "sketch"],
                 )
 
-    rows = signed.select(*dict.fromkeys(["id", "n_shingles", label, "signature"])).mapInArrow(
+    return signed.select(*dict.fromkeys(["id", "n_shingles", label, "signature"])).mapInArrow(
         deal, "tree int, k1 long, k2 long, id long, n long, label long, sketch binary"
     )
-    return rows.repartitionByRange("tree", "k1", "k2", "id").sortWithinPartitions("tree", "k1", "k2", "id")
 
 
-def sweep(window: int, first_trees: int = 0):
-    """Pairs of neighbouring rows of different labels.
+def orders(signed: DataFrame, label: str) -> DataFrame:
+    """The rows of all trees in order; no bucket lies in two partitions."""
+    rows = dealt(signed, label).repartitionByRange("tree", F.shiftright("k1", 16))
+    return rows.sortWithinPartitions("tree", "k1", "k2", "id")
+
+
+def best(rows: np.ndarray, close: np.ndarray, most: int | None) -> np.ndarray:
+    """Places of the `most` closest candidates of every row."""
+    order = np.lexsort((-close, rows))
+    if most is None or not len(order):
+        return order
+    starts = np.flatnonzero(np.diff(rows[order], prepend=rows[order[0]] - 1))
+    return order[np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order))) < most]
+
+
+def closeness(apart: np.ndarray) -> np.ndarray:
+    """Estimated similarity of two rows whose sketches differ in so many values."""
+    return ((1 - apart / (TREES * DEPTH)) - 0.25) / 0.75
+
+
+def swept(a, b, close) -> pa.RecordBatch:
+    n = len(a)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(a, pa.int64()),
+            pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()),
+            pa.nulls(n, pa.float32()) if b is None else pa.array(close.astype(np.float32)),
+        ],
+        ["a", "b", "estimate"],
+    )
+
+
+def sweep(window: int, first_trees: int = 0, most: int | None = None):
+    """Pairs of neighbouring rows of different labels, for each row the `most` closest.
 
     For the first sweep only nearest neighbours in the first trees, and every
-    row with a candidate in any tree as (id, null).
+    row with a candidate in any tree, or in a crowded bucket, as (id, null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +171,14 @@ def sweep(window: int, first_trees: int = 0):
             fresh[1:] = (bucket[1:] != bucket[:-1]) | (own["tree"][1:] != own["tree"][:-1])
             first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
             marked = np.zeros(n, bool)
+            found = []
             for step in range(1, min(window, n - 1) + 1):
                 i = np.arange(max(0, old - step), n - step)
                 j = i + step
-                same = (first[i] == first[j]) & (own["label"][i] != own["label"][j])
+                same = first[i] == first[j]
+                if step == window:
+                    marked[i[same]] = marked[j[same]] = True
+                same &= own["label"][i] != own["label"][j]
                 low, high = np.minimum(own["n"][i], own["n"][j]), np.maximum(own["n"][i], own["n"][j])
                 i = i[same & (100 * low >= PERCENT * high)]
                 if not len(i):
@@ -146,32 +186,90 @@ def sweep(window: int, first_trees: int = 0):
                 j = i + step
                 differs = own["sketch"][i] ^ own["sketch"][j]
                 apart = np.bitwise_count((differs | differs >> np.uint32(1)) & np.uint32(0x55555555)).sum(1)
-                close = ((1 - apart / (TREES * DEPTH)) - 0.25) / 0.75
+                close = closeness(apart)
                 good = close >= SKETCH
                 marked[i[good]] = marked[j[good]] = True
                 if first_trees:
                     good &= (step == 1) & (own["tree"][i] < first_trees)
                 if good.any():
-                    a, b = own["id"][i[good]], own["id"][j[good]]
-                    yield swept(np.minimum(a, b), np.maximum(a, b), close[good])
+                    found.append((i[good], j[good], close[good]))
+            if found:
+                i, j, close = (np.concatenate(part) for part in zip(*found, strict=True))
+                chosen = best(i, close, most)
+                a, b = own["id"][i[chosen]], own["id"][j[chosen]]
+                yield swept(np.minimum(a, b), np.maximum(a, b), close[chosen])
             if first_trees and marked.any():
                 yield swept(np.unique(own["id"][marked]), None, None)
             kept = {name: values[max(0, n - window) :] for name, values in own.items()}
 
-    def swept(a, b, close) -> pa.RecordBatch:
-        n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(a, pa.int64()),
-                pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()),
-                pa.nulls(n, pa.float32()) if b is None else pa.array(close.astype(np.float32)),
-            ],
-            ["a", "b", "estimate"],
-        )
-
     return run
 
 
+def crowded(known: DataFrame, window: int) -> DataFrame:
+    """(tree, bucket, size, main) of the buckets of more than `window` rows and several components; main is the largest."""
+    rows = dealt(known, "component").groupBy("tree", F.shiftright("k1", 16).alias("bucket"), "label").agg(F.count("*").alias("n"))
+    whole = rows.groupBy("tree", "bucket").agg(
+        F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")
+    )
+    return whole.filter((F.col("size") > window) & (F.col("labels") > 1)).drop("labels")
+
+
+def across(known: DataFrame, buckets: DataFrame, most: int | None) -> DataFrame:
+    """Pairs of rows of different components anywhere in the crowded buckets, for each row the `most` closest of a slice.
+
+    The rows outside a bucket's main component go to each of its slices, every row to one.
+    """
+    rows = dealt(known, "component").withColumn("bucket", F.shiftright("k1", 16)).join(buckets, ["tree", "bucket"])
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    own = F.array(F.struct(F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"), F.lit(True).alias("late")))
+    each = F.transform(F.sequence(F.lit(0), slices - 1), lambda s: F.struct(s.alias("slice"), F.lit(False).alias("late")))
+    places = F.when(F.col("label") != F.col("main"), F.concat(each, own)).otherwise(own)
+    rows = rows.select("tree", "bucket", "main", "id", "n", "label", "sketch", F.explode(places).alias("place"))
+    rows = rows.select("tree", "bucket", "place.slice", "place.late", "main", "id", "n", "label", "sketch")
+    group = ["tree", "bucket", "slice"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in (*group, "late", "main", "id", "n", "label")}
+            table["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            fresh = np.any([np.diff(table[name], prepend=table[name][0]) != 0 for name in group], axis=0)
+            bounds = [0, *np.flatnonzero(fresh).tolist(), batch.num_rows]
+            for low, high in zip(bounds, bounds[1:], strict=False):
+                now = tuple(int(table[name][low]) for name in group)
+                if now != key:
+                    key, held = now, None
+                middle = low + int((~table["late"][low:high]).sum())  # the early ones come first
+                if middle > low:
+                    more = {name: table[name][low:middle] for name in ("id", "n", "label", "sketch")}
+                    held = more if held is None else {name: np.concatenate([held[name], more[name]]) for name in more}
+                if held is not None and high > middle:
+                    every = {name: table[name][middle:high] for name in ("id", "n", "label", "sketch", "main")}
+                    for at in range(0, len(held["id"]), 256):
+                        yield from pairs({name: values[at : at + 256, None] for name, values in held.items()}, every)
+
+    def pairs(out: dict, every: dict) -> Iterator[pa.RecordBatch]:
+        once = (every["label"] == every["main"]) | (out["id"] < every["id"])  # two outside the main component meet twice
+        low, high = np.minimum(out["n"], every["n"]), np.maximum(out["n"], every["n"])
+        i, j = np.nonzero((out["label"] != every["label"]) & once & (100 * low >= PERCENT * high))
+        if not len(i):
+            return
+        apart = np.zeros(len(i), np.int64)
+        for word in range(every["sketch"].shape[1]):
+            differs = out["sketch"][:, 0, word][i] ^ every["sketch"][:, word][j]
+            apart += np.bitwise_count((differs | differs >> np.uint32(1)) & np.uint32(0x55555555))
+        close = closeness(apart)
+        good = np.flatnonzero(close >= SKETCH)
+        chosen = good[best(i[good], close[good], most)]
+        if len(chosen):
+            a, b = out["id"][i[chosen], 0], every["id"][j[chosen]]
+            yield swept(np.minimum(a, b), np.maximum(a, b), close[chosen])
+
+    return rows.repartition(*group).sortWithinPartitions(*group, "late").mapInArrow(compare, SWEPT)
+
+
 def texts_of(documents: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
     """(id, packed): the compressed texts of some documents, one for each id."""
 
@@ -233,15 +331,27 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     tried = common.stage(pairs, "forest-pairs")
     links = common.stage(confirmed(tried, texts), "forest-links")
     nodes = common.stage(graph.components(links), "forest-nodes")
-    while True:
-        known = alone.join(nodes, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = orders(known, "component").mapInArrow(sweep(WINDOW), SWEPT).select("a", "b").distinct()
-        rest = common.stage(open_.join(tried, ["a", "b"], "left_anti"), "forest-rest")
+
+    def linked(found: DataFrame) -> None:
+        """Tries the pairs that weren't tried before."""
+        nonlocal tried, nodes
+        rest = common.stage(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "forest-rest")
         more = common.stage(confirmed(rest, texts), "forest-more")
-        if more.isEmpty():
-            break
         tried = tried.union(rest)
-        nodes = common.stage(graph.extended(nodes, more), "forest-nodes")
+        if not more.isEmpty():
+            nodes = common.stage(graph.extended(nodes, more), "forest-nodes")
+
+    def labelled() -> DataFrame:
+        return alone.join(nodes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    for most in (1, None):
+        linked(orders(labelled(), "component").mapInArrow(sweep(WINDOW, most=most), SWEPT))
+    for most in BEST:
+        known = labelled()
+        buckets = common.stage(crowded(known, WINDOW), "forest-crowded")
+        if buckets.isEmpty():
+            break
+        linked(across(known, buckets, most))
 
     same = classes.filter("rep < last").select("set_key", "rep")
     named = signed.select("id", "n_shingles", "set_key").join(same, "set_key", "left")

@@ -65,6 +65,19 @@ def test_forest_against_all_pairs(docs, query):
         assert found[i]["kept"] == (i == component)
 
 
+@pytest.mark.parametrize("slice_", [minhash_forest.SLICE, 50])
+def test_crowded_links_beyond_the_window(slice_, docs, query, monkeypatch):
+    """The first and the last are linked; everywhere in the orders others stand between them."""
+    monkeypatch.setattr(minhash_forest, "WINDOW", 1)
+    monkeypatch.setattr(minhash_forest, "SLICE", slice_)
+    base, n = prose(1, 200), 150
+    texts = [f"{base} {prose(100 + i, 25 if i in (0, n) else 80)}" for i in range(n + 1)]
+    want = components(texts)
+    assert [label for _, label in want] == [*range(n), 0]
+    found = {row["doc_id"]: row for row in query("op5_minhash_forest", documents=docs(texts))}
+    assert [(found[i]["n_shingles"], found[i]["component_id"]) for i in range(n + 1)] == want
+
+
 def test_sketch_estimates_similarity(spark, docs):
     signed = minhash_forest.signatures(common.rows(docs([prose(1, 400), edited(prose(1, 400), 5, 9)]))).collect()
     a, b = (np.frombuffer(row["signature"], np.uint16) for row in signed)
