@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, containment, content_sort, extraction, language, licenses, minhash_forest, packing, secrets, suffix_sort, toxicity
+from . import common, containment, content_sort, extraction, hard_negatives, language, licenses, minhash_forest
+from . import packing, periodic_runs, secrets, suffix_sort, token_counts, toxicity
 
 
 def held_out(key: str, parts: int, rest: int):
@@ -133,6 +136,54 @@ def op10_containment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = common.rows(common.read(spark, folder, "documents"))
+    found = token_counts.counts(documents, public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def repeat_tail(key: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents with the end replaced by repetitions of its beginning."""
+    mixed, n = zlib.crc32(str(key).encode()), len(words)
+    if key is None or mixed % 10 or not n:
+        return words
+    first = mixed // 10 % n
+    period = 1 + (n - first) // (3 + mixed // 10 % 8)
+    return words[:first] + [words[first + i % period] for i in range(n - first)]
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = common.rows(common.read(spark, folder, "documents"))
+    found = periodic_runs.find(documents, prepare=repeat_tail)
+
+    def longer(best, run):
+        # Runs come by start and period, so the first of equal exponents stays.
+        more = best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"])
+        return F.when(more, run).otherwise(best)
+
+    none = F.lit(None).cast(periodic_runs.RUN)
+    lines = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.withColumn("best", F.aggregate("runs", none, longer)).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    table = common.read(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_suffix_sort": op2_suffix_sort,
@@ -144,6 +195,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_containment": op10_containment,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # Distinct five-word shingles, or the whole sequence of a shorter text, of a table (key, text).
@@ -192,4 +246,27 @@ SQL = {
                doc_id = min(doc_id) OVER same AS kept, text_sha256
         FROM shown WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op13_hard_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS vector
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS MATERIALIZED (
+            SELECT a.vec_id AS anchor, r.vec_id AS other, a.label = r.label AS same,
+                   list_dot_product(a.vector, r.vector)::BIGINT AS score
+            FROM usable a JOIN usable r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id
+        ), positives AS (
+            SELECT anchor, other, score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+        )
+        SELECT p.anchor AS anchor_id, p.other AS positive_id,
+               (row_number() OVER best)::INTEGER AS rank, n.other AS negative_id,
+               p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+             AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        WINDOW best AS (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other)
+        QUALIFY row_number() OVER best <= 3
+    """,
 }
