@@ -249,10 +249,10 @@ SQL = {
     "op13_hard_negatives": """
         WITH usable AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                   list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS vector
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
             FROM embeddings
             WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS MATERIALIZED (
             SELECT a.vec_id AS anchor, r.vec_id AS other, a.label = r.label AS same,
                    list_dot_product(a.vector, r.vector)::BIGINT AS score
