@@ -652,9 +652,17 @@ def sql() -> dict[str, str]:
       coalesce({pick([x for _, x in i.SUBJECTS], 'conv_id')}, '') AS subject,
       CASE WHEN {pick(i.COMPANY_FIELD, 'conv_id')} = 'None' THEN '' ELSE {pick(i.COMPANY_FIELD, 'conv_id')} END AS company FROM tickets"""
     rest = ", ".join(f"{q(c + ' ' + chr(34) + 'x' + chr(34) + ', ')} || doc_id AS {c}" for c in fixed.OUTPUT_COLUMNS[1:])
-    out["output_files"] = f"WITH {DOCS} SELECT row_number() OVER (ORDER BY doc_id) AS place, substr(content, 1, 400) AS issue, {rest} FROM docs"
-    out["corpus_files"] = f"""SELECT 'domain=' || lang AS domain, 'topic=' || source AS topic, 'page=' || doc_id AS subtopic,
+    out["output_files"] = f"WITH {DOCS} SELECT row_number() OVER (ORDER BY doc_id) AS place, content AS issue, {rest} FROM docs"
+    path = "'domain=' || lang || chr(1) || 'topic=' || source || chr(1) || 'page=' || doc_id"
+    out["corpus_files"] = f"""SELECT row_number() OVER (ORDER BY {path}) AS place, 'domain=' || lang AS domain,
+      'topic=' || source AS topic, 'page=' || doc_id AS subtopic, {strip("text || chr(10)")} AS content,
       sha256({strip('text')}) AS content_hash FROM documents WHERE {strip('text')} != ''"""
+    halves = "substr(text, 1, length(text) // 2) || ' ' || substr(text, length(text) // 2 + 1)"
+    out["broken_files"] = f"""SELECT 'page=' || doc_id AS subtopic, replace({strip(halves)}, ' ', '_') AS content
+      FROM documents WHERE {strip(halves)} != ''"""
+    out["checked_files"] = f"""WITH {faulty()}, {FINDINGS} SELECT * FROM findings
+      UNION ALL SELECT NULL, 'error', 'headers'
+      UNION ALL SELECT NULL, 'error', 'row_count' WHERE (SELECT count(*) FROM conversations) != (SELECT count(*) FROM faulty)"""
     out["tool_files"] = """SELECT unnest(['name', 'action', 'keyed']) AS shape, n_name AS name, 'of ' || n_name AS description FROM nation"""
     out["manifest_files"] = out["manifest_delta"]
     language = f"""WITH {DOCS}, found AS (SELECT doc_id, domain, regexp_extract_all(lower(content), '{LETTERS}') AS w FROM docs),

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contract import inputs as i
 from deskloom import fixed
@@ -14,6 +14,7 @@ from deskloom.operators import (
     lexical,
     manifest,
     metrics,
+    order,
     quality,
     safety,
     validation,
@@ -642,45 +643,71 @@ def documents_without_vector(spark, sf):
 # --- files ----------------------------------------------------------------------------
 
 
-def placed(df, *columns):
-    """Rows with their place in the order of ticket_id, numbered per block of ids."""
-    return df.select(F.row_number().over(Window.orderBy("ticket_id")).alias("place"), *columns)
-
-
 @query
 def ticket_files(spark, sf):
-    """Tickets written as two CSV files, the second much larger, and read back
-    in file order."""
+    """Tickets written as two folders of several CSV files each, the second much
+    larger, and read back in the order of the files and their lines."""
     folder = new_folder(spark, "tickets")
     rows = i.tickets(spark, sf).select("conv_id", F.col("issue").alias("Issue"), F.col("subject").alias("Subject"), F.col("company").alias("Company"))
     for name, part in (("a", "conv_id % 5 = 0"), ("b", "conv_id % 5 != 0")):
-        one = rows.where(part).coalesce(1).sortWithinPartitions("conv_id").drop("conv_id")
-        one.write.options(**files.WRITTEN).csv(f"{folder}/{name}")
+        sorted_files = rows.where(part).repartitionByRange(4, "conv_id").sortWithinPartitions("conv_id").drop("conv_id")
+        sorted_files.write.options(**files.WRITTEN).csv(f"{folder}/{name}")
     back = files.read_tickets(spark, f"{folder}/*")
-    return placed(back, "issue", "subject", "company")
+    return order.placed(back, "ticket_id").select("place", "issue", "subject", "company")
 
 
 @query
 def output_files(spark, sf):
-    """An output table written as CSV in input order and read back."""
+    """An output table, with whole texts, written as CSV in input order and read back."""
     folder = new_folder(spark, "output")
     docs = i.documents(spark, sf)
     rest = [F.concat(F.lit(f"{c} \"x\", "), F.col("doc_id").cast("string")).alias(c) for c in fixed.OUTPUT_COLUMNS[1:]]
-    rows = docs.select(F.col("doc_id").alias("ticket_id"), F.substring("content", 1, 400).alias("issue"), *rest)
+    rows = docs.select(F.col("doc_id").alias("ticket_id"), F.col("content").alias("issue"), *rest)
     files.write_output(rows.repartition(5), folder)
-    return placed(files.numbered(files.read_table(spark, folder, "_file")), *fixed.OUTPUT_COLUMNS)
+    back = files.numbered(files.read_table(spark, folder, "_file"))
+    return order.placed(back, "ticket_id").select("place", *fixed.OUTPUT_COLUMNS)
 
 
 @query
 def corpus_files(spark, sf):
-    """Documents written as one file each and read back as a corpus. One folder
-    below the root has the root's own name."""
+    """Documents written as one file each and read back as a corpus, numbered in
+    the order of their paths. One folder below the root has the root's own name."""
     root = f"{new_folder(spark, 'corpus')}/topic=src0"
     docs = i.table(spark, sf, "documents").withColumnsRenamed({"lang": "domain", "source": "topic"})
     rows = docs.select("domain", "topic", F.col("doc_id").alias("page"), "text")
     rows.write.partitionBy("domain", "topic", "page").text(root)
     back = corpus.read_corpus(spark, root, pattern="*.txt")
-    return back.select("domain", "topic", "subtopic", "content_hash")
+    # A path ends in the part's name, which only the run knows; a folder holds one file.
+    return order.placed(back, "doc_id").select("place", "domain", "topic", "subtopic", "content", "content_hash")
+
+
+@query
+def broken_files(spark, sf):
+    """Corpus files whose bytes are no valid UTF-8: what cannot be read is left out."""
+    root = new_folder(spark, "broken")
+    docs = i.table(spark, sf, "documents").withColumnsRenamed({"lang": "domain", "source": "topic"})
+    cut = F.shiftright(F.length("text"), 1)
+    # A stray byte, an unfinished sign, half a pair of surrogates.
+    pieces = [F.lit(b"\xff"), F.substring("text", F.lit(1), cut).cast("binary"), F.lit(b"\xe2\x82 \xed\xa0\x80"),
+              F.substring("text", cut + 1, F.length("text")).cast("binary"), F.lit(b"\xc3")]
+    rows = docs.select("domain", "topic", F.col("doc_id").alias("page"), F.concat(*pieces).cast("string").alias("text"))
+    rows.write.partitionBy("domain", "topic", "page").text(root)
+    back = corpus.read_corpus(spark, root, pattern="*.txt")
+    return back.select("subtopic", F.regexp_replace("content", " ", "_").alias("content"))
+
+
+@query
+def checked_files(spark, sf):
+    """Findings of the validator over two written CSV folders: the tickets, and
+    an output table with planted faults."""
+    folder = new_folder(spark, "checked")
+    turns = i.turns(spark, sf)
+    turns.select("conv_id", F.col("text").alias("Issue")).write.options(**files.WRITTEN).csv(f"{folder}/in")
+    faulty = faulty_output(spark, sf).withColumnsRenamed({c: c.replace("_", " ").title() for c in FAULTY})
+    faulty.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.options(**files.WRITTEN).csv(f"{folder}/out")
+    read = files.numbered(files.read_table(spark, f"{folder}/out", "_file"))
+    found = validation.validate(files.read_table(spark, f"{folder}/in"), read.drop("ticket_id"), "doc_id")
+    return found.select("row_no", "severity", "check")
 
 
 @query

@@ -18,6 +18,8 @@ from deskloom import fixed
 TILE_CELLS = 4_000_000
 # Largest number of posting products expanded at once.
 TILE_PRODUCTS = 4_000_000
+# Domains a document is scored against at once.
+DOMAIN_TILE = 512
 # Rows that wait before they are ranked with the rows held.
 WAITING_ROWS = 500_000
 
@@ -319,30 +321,57 @@ def sparse_top(batches, block, n):
         yield from best.batches(query_ids, doc_type)
 
 
-def best_domain(batches, names, base, head):
-    """The domain of the highest score for every document, the first of equals.
+def best_domain(batches, base, head, tile=DOMAIN_TILE):
+    """The number of the domain of the highest score for every document, the first of equals.
 
     Input rows are documents (doc_id, domain, words, tail): words are (term, tf),
     tail the summed gains per domain number of words that are not in the head.
     head: its terms and their gains per domain; base: per domain, the log of its
     smoothed size. Score: gains minus words times base.
+
+    Domains are scored a tile at a time and a document keeps the best so far, so
+    what is held is rows x tile, however many domains there are.
     """
     known, gains = head
+    step = max(1, TILE_PRODUCTS // tile)  # words looked up at once
     for batch in batches:
         values, row, n = flat_lists(batch.column("words"))
         tf = values.field("tf").to_numpy(zero_copy_only=False).astype(float)
         at = pc.index_in(values.field("term"), value_set=known)
-        inside = at.is_valid().to_numpy(zero_copy_only=False)
+        inside = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
         place = at.drop_null().to_numpy(zero_copy_only=False)
         length = np.bincount(row, tf, n)
-        more, owner, _ = flat_lists(batch.column("tail"))
-        score = -length[:, None] * base[None, :]
-        if len(more):
-            np.add.at(score, (owner, more.field("place").to_numpy(zero_copy_only=False)), more.field("gain").to_numpy(zero_copy_only=False))
-        for d in range(len(names)):
-            score[:, d] += np.bincount(row[inside], tf[inside] * gains[place, d], n)
-        found = np.round(score, 6).argmax(axis=1) if len(names) else np.zeros(n, int)
-        best = pa.array([names[d] if length[i] else None for i, d in enumerate(found)], pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("domain"), best], ["doc_id", "domain", "best_domain"]
-        )
+        # Words in the order of the head: sums don't follow the order within a batch.
+        order = np.lexsort((place, row[inside]))
+        place, owner, tf = place[order], row[inside][order], tf[inside][order]
+        more, tailed, _ = flat_lists(batch.column("tail"))
+        domain = more.field("place").to_numpy(zero_copy_only=False).astype(np.int64)
+        gain = more.field("gain").to_numpy(zero_copy_only=False)
+        order = np.argsort(domain, kind="stable")
+        domain, tailed, gain = domain[order], tailed[order], gain[order]
+        rows = max(1, TILE_CELLS // tile)
+        found = np.full(n, -1)
+        for first in range(0, n, rows):
+            last = min(n, first + rows)
+            low, high = np.searchsorted(owner, [first, last])
+            top = np.full(last - first, -np.inf)
+            for d in range(0, len(base), tile):
+                part = base[d : d + tile]
+                score = -length[first:last, None] * part
+                for i in range(low, high, step):
+                    upto = min(i + step, high)
+                    shares = gains[place[i:upto], d : d + tile] * tf[i:upto, None]
+                    edge = np.flatnonzero(np.diff(owner[i:upto], prepend=-1))
+                    score[owner[i:upto][edge] - first] += np.add.reduceat(shares, edge, axis=0)
+                a, b = np.searchsorted(domain, [d, d + tile])
+                own = (tailed[a:b] >= first) & (tailed[a:b] < last)
+                np.add.at(score, (tailed[a:b][own] - first, domain[a:b][own] - d), gain[a:b][own])
+                score = np.round(score, 6)
+                best = score.argmax(axis=1)
+                reached = score[np.arange(last - first), best]
+                better = reached > top
+                found[first:last][better] = best[better] + d
+                top[better] = reached[better]
+        found[length == 0] = -1
+        names = pa.array(found, pa.int64(), mask=found < 0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), names], ["doc_id", "domain", "_best"])

@@ -1,9 +1,10 @@
 """Query blocks: how a batch of queries reaches the tasks that hold documents.
 
-Queries are a written table, cut into blocks of a bounded size. One block at a
-time is sent to the tasks, its result is written, and what was sent is released:
-the driver holds one block, however many there are, and no plan grows with them.
-Documents are never shuffled or broadcast. Every set of queries goes this way.
+Queries are cut into blocks of a bounded size. One block at a time is sent to the
+tasks; if there are several, the queries are a written table, the result of each
+block is written and what was sent is released: the driver holds one block,
+however many there are, and no plan grows with them. Documents are never shuffled
+or broadcast. Every set of queries goes this way.
 """
 
 from collections.abc import Callable
@@ -31,6 +32,37 @@ def domain_filters(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return names, np.where(wanted == "", -1, np.searchsorted(names, wanted))
 
 
+def each(
+    queries: DataFrame,
+    run: Callable[[Callable, int], DataFrame],
+    pack: Callable[[pa.Table], tuple],
+    rows: int = BLOCK_QUERIES,
+) -> DataFrame:
+    """The rows that run(sent, size) makes of every block of queries.
+
+    pack makes what a task needs from a block. It is sent to the tasks, sent()
+    gives it inside one, and size is the number of queries. Queries of one block
+    go to the tasks as they come. More are a written table; the rows of each
+    block are written, and what was sent is released before the next.
+    """
+    spark = queries.sparkSession
+    few = queries.limit(rows + 1).toArrow()
+    if few.num_rows <= rows:
+        only = spark.sparkContext.broadcast(pack(few))
+        return run(lambda: only.value, few.num_rows)
+    del few
+    asked = stage(queries, "queries")
+    parts = -(-asked.count() // rows)
+    folder = new_folder(spark, "found")
+    for part in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+        sent = spark.sparkContext.broadcast(pack(block))
+        found = run(lambda sent=sent: sent.value, block.num_rows)
+        found.write.parquet(f"{folder}/block={part}")
+        sent.destroy()
+    return spark.read.schema(found.schema).parquet(folder).drop("block")
+
+
 def search(
     queries: DataFrame,
     documents: DataFrame,
@@ -42,25 +74,14 @@ def search(
     """Rows of schema that the tasks return for all blocks, with the group of
     the task that returned them.
 
-    pack makes what a task needs from a block of queries, score(batches, packed)
-    runs in the task.
+    score(batches, packed) runs in the task, on what pack made.
     """
-    spark = documents.sparkSession
-    asked = stage(queries, "queries")
-    parts = max(1, -(-asked.count() // rows))
-    folder = new_folder(spark, "found")
-    for part in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
-        sent = spark.sparkContext.broadcast(pack(block))
 
-        def task(batches, sent=sent):
-            return score(batches, sent.value)
+    def run(sent, _):
+        found = documents.mapInArrow(lambda batches: score(batches, sent()), schema)
+        return found.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
 
-        found = documents.mapInArrow(task, schema)
-        found = found.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
-        found.write.parquet(f"{folder}/block={part}")
-        sent.destroy()
-    return spark.read.schema(f"{schema}, _group int").parquet(folder).drop("block")
+    return each(queries, run, pack, rows)
 
 
 def best(found: DataFrame, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from deskloom import fixed, kernels
 from deskloom.functions import text as t
-from deskloom.operators import blocks
+from deskloom.operators import blocks, postings
 from deskloom.session import stage
 
 # Terms of a vocabulary that may be sent to every task; about 40 bytes each.
@@ -61,13 +61,26 @@ def most_frequent(stats: DataFrame, size: int) -> DataFrame:
     return stats.where(step >= cut).orderBy(F.desc("total"), "term").limit(size)
 
 
-def vocabulary(counts: DataFrame, n_docs: Column, size: int | None = fixed.VOCABULARY) -> DataFrame:
+def changed_statistics(stats: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """Term statistics without the texts that are gone and with those that came.
+
+    gone and come: rows with terms. Reads one row per term of the old statistics
+    and the terms of the changed texts; the other texts aren't looked at.
+    """
+    parts = [stats.select("term", "total", "df")]
+    for rows, sign in ((gone, -1), (come, 1)):
+        found = term_statistics(rows.select(F.inline("terms")))
+        parts.append(found.select("term", (F.col("total") * sign).alias("total"), (F.col("df") * sign).alias("df")))
+    each = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return each.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).where("df > 0")
+
+
+def vocabulary(stats: DataFrame, n_docs: Column, size: int | None = fixed.VOCABULARY) -> DataFrame:
     """The most frequent terms with their smoothed inverse document frequency.
 
-    (term, slot, total, df, idf), written. Slots are numbers in no order that
-    means anything. Without a size all terms are kept.
+    stats is a written table. (term, slot, total, df, idf), written. Slots are
+    numbers in no order that means anything. Without a size all terms are kept.
     """
-    stats = stage(term_statistics(counts), "terms")
     top = stats if size is None else most_frequent(stats, size)
     idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
     # Written before anything reads the numbers.
@@ -116,12 +129,35 @@ def term_weights(weights: DataFrame, vocab: DataFrame, *keep: str) -> DataFrame:
 
 
 class Index:
-    """The lexical index as tables: documents, vocabulary, and one vector per document."""
+    """The lexical index as tables: documents, vocabulary, and one vector per document.
+
+    counts and statistics are what the vocabulary was made of: the terms of every
+    document, and of every term its total and document frequency. A saved index
+    keeps them, so that a refresh counts changed documents only; it also has the
+    vectors as blocks, which a search can skip.
+    """
 
-    def __init__(self, documents: DataFrame, vocab: DataFrame, weights: DataFrame):
+    def __init__(
+        self,
+        documents: DataFrame,
+        vocab: DataFrame,
+        weights: DataFrame | None,
+        counts: DataFrame | None = None,
+        statistics: DataFrame | None = None,
+        blocks: DataFrame | None = None,
+    ):
         self.documents = documents
         self.vocab = vocab
-        self.weights = weights  # doc_id, domain, postings
+        self._weights = weights  # doc_id, domain, postings
+        self.counts = counts  # doc_id, domain, terms
+        self.statistics = statistics  # term, total, df
+        self.blocks = blocks  # see postings.blocks
+
+    @property
+    def weights(self) -> DataFrame:
+        if self._weights is None:
+            self._weights = weigh(self.counts, self.vocab, "doc_id", "domain")
+        return self._weights
 
 
 def build_index(documents: DataFrame, size: int | None = fixed.VOCABULARY, stop_words=fixed.STOP_WORDS) -> Index:
@@ -131,9 +167,14 @@ def build_index(documents: DataFrame, size: int | None = fixed.VOCABULARY, stop_
     weights are made from that table; no text is shuffled.
     """
     counted = stage(terms(documents, "doc_id", "domain", stop_words=stop_words), "counts")
-    n_docs = counted.agg(F.count("*")).scalar()
-    vocab = vocabulary(counted.select(F.inline("terms")), n_docs, size)
-    return Index(documents, vocab, weigh(counted, vocab, "doc_id", "domain"))
+    return weighed_index(documents, counted, term_statistics(counted.select(F.inline("terms"))), size)
+
+
+def weighed_index(documents: DataFrame, counted: DataFrame, stats: DataFrame, size: int | None) -> Index:
+    """The index of counted documents (doc_id, domain, terms) with given statistics."""
+    stats = stage(stats, "terms")
+    vocab = vocabulary(stats, counted.agg(F.count("*")).scalar(), size)
+    return Index(documents, vocab, weigh(counted, vocab, "doc_id", "domain"), counted, stats)
 
 
 def query_weights(queries: DataFrame, vocab: DataFrame, *keep: str, stop_words=fixed.STOP_WORDS) -> DataFrame:
@@ -156,6 +197,20 @@ def first_documents(documents: DataFrame, n: int) -> DataFrame:
     return by_domain.unionByName(overall)
 
 
+def pack_queries(block: pa.Table) -> tuple:
+    """What a task needs of a block of queries (query_id, domain_filter, postings):
+    ids, domains, and the postings by slot, known slots first."""
+    values, owner, _ = kernels.flat_lists(block.column("postings"))
+    slot = values.field("slot").to_numpy(zero_copy_only=False)
+    weight = values.field("weight").to_numpy(zero_copy_only=False)
+    # Query terms get their own small numbers.
+    known, number = np.unique(slot, return_inverse=True)
+    order = np.lexsort((owner, number))
+    starts = np.r_[0, np.cumsum(np.bincount(number, minlength=len(known)))]
+    ids = block.column("query_id").combine_chunks()
+    return (ids, *blocks.domain_filters(block), known, starts, owner[order], weight[order])
+
+
 def top_documents(
     queries: DataFrame,
     index: Index,
@@ -170,8 +225,9 @@ def top_documents(
     cut. Documents that share no term score zero and still fill the list up to
     n, first documents first, unless drop_zero is set.
 
-    A search is a scan: every task scores its own documents and passes on n rows
-    per query.
+    A search of vectors is a scan: every task scores its own documents and passes
+    on n rows per query. An index with blocks reads the largest weights of each
+    block and then only the blocks that can hold a hit; the result is the same.
 
     Returns query_id, doc_id, score, rank.
     """
@@ -183,27 +239,14 @@ def top_documents(
         f"{a} {df.schema[a].dataType.simpleString()}" for a, df in (("query_id", queries), ("doc_id", index.documents))
     ) + ", score double, fits boolean"
 
-    def pack(block: pa.Table) -> tuple:
-        values, owner, _ = kernels.flat_lists(block.column("postings"))
-        slot = values.field("slot").to_numpy(zero_copy_only=False)
-        weight = values.field("weight").to_numpy(zero_copy_only=False)
-        # Query terms get their own small numbers.
-        known, number = np.unique(slot, return_inverse=True)
-        order = np.lexsort((owner, number))
-        starts = np.r_[0, np.cumsum(np.bincount(number, minlength=len(known)))]
-        return (
-            block.column("query_id").combine_chunks(),
-            *blocks.domain_filters(block),
-            known,
-            starts,
-            owner[order],
-            weight[order],
-        )
+    if index.blocks is not None:
+        found = blocks.each(packed, lambda asked, size: postings.search(asked, size, index.blocks, n, out).hits, pack_queries, block_rows)
+    else:
 
-    def score(batches, sent):
-        return kernels.sparse_top(batches, sent, n)
+        def score(batches, sent):
+            return kernels.sparse_top(batches, sent, n)
 
-    found = blocks.search(packed, index.weights.select("doc_id", "domain", "postings"), pack, score, out, block_rows)
+        found = blocks.search(packed, index.weights.select("doc_id", "domain", "postings"), pack_queries, score, out, block_rows)
     found = blocks.best(found, n).select("query_id", "doc_id", "score", "rank")
     if drop_zero:
         return found

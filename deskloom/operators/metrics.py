@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deskloom import fixed
-from deskloom.functions import json as j, safety as s, text as t
+from deskloom.functions import exact, json as j, safety as s, text as t
 
 
 def f1(truth: Column, guess: Column) -> list[Column]:
@@ -32,23 +32,28 @@ def routing_f1(rows: DataFrame) -> DataFrame:
 
 
 def brier(rows: DataFrame) -> DataFrame:
-    """Brier score, spread of the confidence and whether it is flat, from (confidence, correct)."""
+    """Brier score, spread of the confidence and whether it is flat, from (confidence, correct).
+
+    The sums are exact, so the figures don't depend on how the rows are dealt out.
+    """
     miss = F.col("confidence") - F.col("correct").cast("double")
-    return rows.agg(
+    centre = rows.agg(exact.mean(F.col("confidence"))).scalar()
+    found = rows.withColumns({"_miss": miss * miss, "_off": F.pow(F.col("confidence") - centre, 2)})
+    return found.agg(
         F.count("*").alias("n"),
-        F.avg(miss * miss).alias("brier"),
-        F.stddev_pop("confidence").alias("spread"),
+        exact.mean("_miss").alias("brier"),
+        F.sqrt(exact.mean("_off")).alias("spread"),
         (F.min("confidence") == F.max("confidence")).alias("flat"),
     )
 
 
 def calibration(rows: DataFrame) -> DataFrame:
-    """Mean confidence and share correct by tenth of confidence."""
+    """Mean confidence and share correct by tenth of confidence, from exact sums."""
     tenth = F.least(F.floor(F.col("confidence") * 10), F.lit(9)).cast("int")
     return rows.groupBy(tenth.alias("bin")).agg(
         F.count("*").alias("n"),
-        F.avg("confidence").alias("mean_confidence"),
-        F.avg(F.col("correct").cast("double")).alias("share_correct"),
+        exact.mean("confidence").alias("mean_confidence"),
+        exact.mean(F.col("correct").cast("double")).alias("share_correct"),
     )
 
 

@@ -3,14 +3,14 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deskloom import fixed, kernels
-from deskloom.functions import text as t
-from deskloom.operators import lexical
+from deskloom.functions import exact, text as t
+from deskloom.operators import lexical, order
 from deskloom.session import stage
 
 # Gains per word and domain that are sent to every task: 64 MB.
 SENT_GAINS = 8_000_000
-# Domains a corpus may have.
-DOMAINS = 100_000
+# Domains a corpus may have; the driver holds a number for each.
+DOMAINS = 1_000_000
 
 
 def prefer_recent(hits: DataFrame) -> DataFrame:
@@ -51,59 +51,68 @@ def misfiled(documents: DataFrame) -> DataFrame:
     score(document, domain) is the sum over the document's words of
     log((n + 1) / (words of the domain + distinct words)), n being how often the
     domain has the word. Every domain is scored for every document, over all
-    words, and the best is found inside the task. Without words there is no best
-    domain.
+    words, a tile of domains at a time, and the best is found inside the task.
+    Without words there is no best domain. The words of documents without a
+    domain count as distinct words only.
 
     A word that no document of a domain has adds nothing, so only gains log(n +
     1) travel. Those of the most frequent words are sent to the tasks, as many
     as SENT_GAINS allows: any of the others is in a small share of the rows, so
-    the join on them has no hot key.
+    the join on them has no hot key. Domains get numbers in the order of their
+    names and are joined by them; the driver holds one number per domain, their
+    sizes, and DOMAINS bounds them.
     """
     texts = documents.select("doc_id", "domain", t.words(F.col("content")).alias("_words"))
     counted = stage(texts.select("doc_id", "domain", lexical._tally("_words").alias("words")), "words")
     each = counted.select("domain", F.inline("words"))
     model = stage(each.groupBy("term", "domain").agg(F.sum("tf").alias("n")), "model")
-    sizes = model.groupBy("domain").agg(F.sum("n").alias("size")).orderBy("domain").limit(DOMAINS + 1).collect()
-    if len(sizes) > DOMAINS:
-        raise ValueError(f"more than {DOMAINS} domains")
-    names = [row["domain"] for row in sizes]
     stats = stage(model.groupBy("term").agg(F.sum("n").alias("total")), "totals")
-    distinct = stats.count()
-    place = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("domain")) - 1 if names else F.lit(0)
-    gain = F.struct(place.cast("int").alias("place"), F.log(F.col("n") + 1).alias("gain"))
-    gains = model.groupBy("term").agg(F.collect_list(gain).alias("gains"))
-    top = stage(lexical.most_frequent(stats, max(1, SENT_GAINS // max(1, len(names)))).select("term"), "head")
-    base = [row["size"] + distinct for row in sizes]
+    sizes = model.where("domain is not null").groupBy("domain").agg(F.sum("n").alias("size"))
+    domains = stage(order.placed(sizes, "domain").withColumn("place", F.col("place") - 1), "domains")
+    found = domains.orderBy("place").select("size").limit(DOMAINS + 1).toArrow().column("size").to_numpy()
+    if len(found) > DOMAINS:
+        raise ValueError(f"more than {DOMAINS} domains")
+    base = found + stats.count()
+    gain = F.struct("place", F.log(F.col("n") + 1).alias("gain"))
+    placed = model.join(domains.select("domain", "place"), "domain").select("term", gain.alias("gain"))
+    gains = placed.groupBy("term").agg(F.collect_list("gain").alias("gains"))
+    top = stage(lexical.most_frequent(stats, max(1, SENT_GAINS // max(1, len(base)))).select("term"), "head")
 
     tail = gains.join(top, "term", "left_anti")
     # Few documents share a word of the tail, and all gains of a document fit in its row.
     rare = counted.select("doc_id", F.inline("words")).join(top, "term", "left_anti").join(tail, "term")
     per_place = rare.select("doc_id", "tf", F.inline("gains")).groupBy("doc_id", "place")
-    summed = per_place.agg(F.sum(F.col("tf") * F.col("gain")).alias("gain"))
+    summed = per_place.agg(exact.total(F.col("tf") * F.col("gain")).alias("gain"))
     packed = summed.groupBy("doc_id").agg(F.collect_list(F.struct("place", "gain")).alias("tail"))
-    return _judge(counted, packed, gains.join(top, "term", "left_semi"), names, base)
+    judged = _judge(counted, packed, gains.join(top, "term", "left_semi"), base)
+    named = domains.select(F.col("place").alias("_best"), F.col("domain").alias("best_domain"))
+    return judged.join(named, "_best", "left").select(
+        "doc_id",
+        "domain",
+        "best_domain",
+        F.coalesce(F.col("domain") != F.col("best_domain"), F.lit(False)).alias("misfiled"),
+    )
 
 
-def _judge(counted: DataFrame, tail: DataFrame, head: DataFrame, names: list[str], base: list[int]) -> DataFrame:
+def _judge(counted: DataFrame, tail: DataFrame, head: DataFrame, base) -> DataFrame:
+    """(doc_id, domain, _best): the number of each document's best domain."""
     import numpy as np
 
     spark = counted.sparkSession
     sent = head.toArrow()  # SENT_GAINS values at most
     values, row, n = kernels.flat_lists(sent.column("gains"))
-    table = np.zeros((n, len(names)))
+    table = np.zeros((n, len(base)))
     if n:
         table[row, values.field("place").to_numpy(zero_copy_only=False)] = values.field("gain").to_numpy(zero_copy_only=False)
-    shipped = spark.sparkContext.broadcast((sent.column("term").combine_chunks(), table))
-    logs = np.log(np.array(base, float))
+    shipped = spark.sparkContext.broadcast((sent.column("term").combine_chunks(), table, np.log(base.astype(float))))
 
     def judge(batches):
-        return kernels.best_domain(batches, names, logs, shipped.value)
+        terms, gains, logs = shipped.value
+        return kernels.best_domain(batches, logs, (terms, gains))
 
     rows = counted.join(tail, "doc_id", "left").select("doc_id", "domain", "words", "tail")
-    kinds = counted.select("doc_id", "domain").schema
-    out = f"doc_id {kinds['doc_id'].dataType.simpleString()}, domain string, best_domain string"
-    found = rows.mapInArrow(judge, out)
-    return found.withColumn("misfiled", F.coalesce(F.col("domain") != F.col("best_domain"), F.lit(False)))
+    kind = counted.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(judge, f"doc_id {kind}, domain string, _best long")
 
 
 def language(text: Column, profiles=fixed.LANGUAGE_WORDS) -> Column:

@@ -31,19 +31,20 @@ def numbered(rows: DataFrame) -> DataFrame:
     """Rows of CSV files with a ticket_id that follows file names and lines.
 
     A file is read by one task from top to bottom, so a running number gives the
-    order in it. The number of a file's first row is one row per file.
+    order in it. The number of a file's first row is one row per file, as many as
+    the driver's list of the files to read, so it is sent to the tasks.
     """
     rows = rows.withColumn("_at", F.monotonically_increasing_id())
     firsts = rows.groupBy("_file").agg(F.min("_at").alias("_first"))
     firsts = firsts.withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
     place = F.shiftleft(F.col("_rank").cast("bigint"), 33) + F.col("_at") - F.col("_first")
-    return rows.join(firsts, "_file").withColumn("ticket_id", place).drop("_file", "_at", "_first", "_rank")
+    found = rows.join(F.broadcast(firsts), "_file")
+    return found.withColumn("ticket_id", place).drop("_file", "_at", "_first", "_rank")
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     """ticket_id, issue, subject, company; ids follow the names of the files and
     the order in each. "None" reads as no company.
-
     """
     df = numbered(read_table(spark, path, "_file"))
     return df.select(
