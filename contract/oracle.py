@@ -535,6 +535,10 @@ def sql() -> dict[str, str]:
     out["dense_topk_domain"] = dense("(item_id % 10)::VARCHAR", False)
     out["dense_topk_prefilter"] = dense("(item_id % 10)::VARCHAR", True)
     out["dense_topk_short"] = dense("NULL::VARCHAR", False, "WHERE item_id % 7 != 0")
+    out["clustered_topk"] = out["dense_topk"]
+    fresh = LEXICON.replace(DOCS + ", ", "").replace("FROM docs", "FROM newer")
+    out["index_refresh"] = f"""WITH {VERSIONS}, newer AS (SELECT doc_id, new.content FROM new JOIN docs USING (doc_path)), {fresh}
+      SELECT doc_id, term, tf, round(weight, 6) AS weight FROM doc_weights"""
     out["documents_without_vector"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"
     out["rrf_fusion"] = f"WITH {HYBRID} SELECT {FUSED_COLUMNS} FROM fused"
     out["chunk_documents"] = f'WITH RECURSIVE {DOCS}, {chunks("docs")} SELECT doc_id, chunk_no::BIGINT AS chunk_no, start::BIGINT AS start, "end"::BIGINT AS "end", chunk FROM chunks'
@@ -669,6 +673,13 @@ def sql() -> dict[str, str]:
       hits AS ({" UNION ALL ".join(f"SELECT doc_id, domain, {q(name)} AS language, len(list_filter(w, lambda x: x IN {words_in(profile)})) AS n FROM found" for name, profile in sorted(fixed.LANGUAGE_WORDS.items()))}),
       best AS (SELECT doc_id, domain, CASE WHEN n > 0 THEN language END AS language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, language) AS place FROM hits) WHERE place = 1)"""
     out["language_id"] = f"{language} SELECT doc_id, domain, language FROM best"
+    out["learned_language"] = f"""{profiles(50_000)},
+      sums AS (SELECT doc_id, u.language, sum(tf * coalesce(p.weight, u.weight)) AS score
+        FROM (SELECT doc_id, gram, count(*) AS tf FROM each JOIN known USING (gram) GROUP BY ALL)
+        CROSS JOIN unseen u LEFT JOIN seen p USING (gram, language) GROUP BY doc_id, u.language),
+      best AS (SELECT doc_id, language FROM sums QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) = 1)
+      SELECT doc_id % 3 = 1 AS held_out, language AS guess, domain AS truth, count(*) AS n FROM docs LEFT JOIN best USING (doc_id) GROUP BY ALL"""
+    out["language_profiles"] = f"{profiles(2_000)} SELECT gram, language, weight FROM seen UNION ALL SELECT NULL, language, weight FROM unseen"
     out["language_accuracy"] = f"{language} SELECT language AS guess, domain AS truth, count(*) AS n FROM best GROUP BY ALL"
     return out
 
@@ -740,6 +751,18 @@ def disagreement() -> str:
       SELECT *, stale OR mixed AS low_confidence FROM found"""
 
 
+def profiles(most: int) -> str:
+    """Weights of the character sequences of two documents of three, by language."""
+    return f"""WITH {DOCS}, padded AS (
+        SELECT doc_id, domain, '_' || unnest(regexp_extract_all(lower(content), '{LETTERS}')) || '_' AS word FROM docs),
+      each AS (SELECT doc_id, domain, unnest(list_transform(range(1, greatest(length(word) - 1, 2)), lambda i: substr(word, i, 3))) AS gram FROM padded),
+      counts AS (SELECT gram, domain AS language, count(*) AS n FROM each WHERE doc_id % 3 != 1 AND domain IS NOT NULL GROUP BY ALL),
+      known AS (SELECT gram FROM counts GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {most}),
+      sizes AS (SELECT language, sum(n) + (SELECT count(*) FROM known) AS size FROM counts JOIN known USING (gram) GROUP BY language),
+      seen AS (SELECT gram, language, round(ln((n + 1) / size) * 1000)::BIGINT AS weight FROM counts JOIN known USING (gram) JOIN sizes USING (language)),
+      unseen AS (SELECT language, round(ln(1 / size) * 1000)::BIGINT AS weight FROM sizes)"""
+
+
 def misfiled() -> str:
     return f"""WITH {DOCS}, tokens AS (SELECT doc_id, domain, unnest({words('content')}) AS word FROM docs),
       counts AS (SELECT doc_id, word, count(*) AS tf FROM tokens GROUP BY ALL),

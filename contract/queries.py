@@ -240,13 +240,13 @@ def ranked(df):
 
 @query
 def tfidf_topk(spark, sf):
-    index = lexical.build_index(i.documents(spark, sf))
+    index = lexical.build_index(spread(i.documents(spark, sf), "doc_id"))
     return ranked(lexical.top_documents(i.queries(spark, sf), index, 24))
 
 
 @query
 def tfidf_topk_nonzero(spark, sf):
-    index = lexical.build_index(i.documents(spark, sf))
+    index = lexical.build_index(spread(i.documents(spark, sf), "doc_id"))
     return ranked(lexical.top_documents(i.queries(spark, sf, False), index, 24, drop_zero=True))
 
 
@@ -254,11 +254,36 @@ def tfidf_topk_nonzero(spark, sf):
 def index_roundtrip(spark, sf):
     """The search over an index that was written to the shared folder and loaded."""
     folder = new_folder(spark, "index")
-    ix.save(ix.build(i.documents(spark, sf)), folder)
+    ix.save(ix.build(spread(i.documents(spark, sf), "doc_id")), folder)
     index = ix.load(spark, folder, with_vectors=False)
     return ranked(lexical.top_documents(i.queries(spark, sf), index.lexical, 24))
 
 
+@query
+def index_refresh(spark, sf):
+    """Term weights of an index that was brought up to date, as those of a new
+    one. The new corpus comes without the texts of unchanged documents, so none
+    of them can have been counted again."""
+    old, new = versions(spark, sf)
+    folder, newer = new_folder(spark, "index"), new_folder(spark, "index")
+    ix.save(ix.build(old), folder)
+    same = manifest.delta(old, new).where("status = 'same'").select("doc_path", F.lit(True).alias("same"))
+    bare = new.join(same, "doc_path", "left").withColumn("content", F.when(F.col("same").isNull(), F.col("content")))
+    index = ix.refresh(spark, folder, newer, bare.drop("same")).lexical
+    found = lexical.term_weights(index.weights, index.vocab, "doc_id")
+    return found.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+
+
+@query
+def clustered_topk(spark, sf):
+    """The nearest documents over an index that was saved with its vectors in clusters."""
+    folder = new_folder(spark, "index")
+    vectors = i.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = labelled(spark, sf).select("doc_id", "domain", F.lit("one two").alias("content"))
+    ix.save(ix.build(docs, vectors), folder)
+    return ranked(dense.top_documents(dense_queries(spark, sf), ix.load(spark, folder).clusters, 24))
+
+
 # --- dense search ---------------------------------------------------------------
 
 
@@ -326,7 +351,7 @@ def fused_columns(df, *more):
 
 
 def hybrid_index(spark, sf):
-    return ix.build(i.documents(spark, sf), i.vectors(spark, sf))
+    return ix.build(spread(i.documents(spark, sf), "doc_id"), i.vectors(spark, sf))
 
 
 @query
@@ -589,7 +614,7 @@ def run_determinism(spark, sf):
     again = tr.screen(
         i.tickets(spark, sf).repartition(3, "subject"), i.COMPANIES, i.injection_scores(spark, sf)
     ).select(*cols)
-    return metrics.run_diff(first, again).agg(F.count("*").alias("different"))
+    return metrics.run_diff(stage(first, "first-run"), stage(again, "second-run")).agg(F.count("*").alias("different"))
 
 
 @query
@@ -748,7 +773,7 @@ def odd_conversations(spark, sf):
 
 @query
 def misfiled_docs(spark, sf):
-    return quality.misfiled(i.documents(spark, sf))
+    return quality.misfiled(spread(i.documents(spark, sf), "doc_id"))
 
 
 @query
@@ -762,3 +787,18 @@ def language_accuracy(spark, sf):
     docs = spread(i.documents(spark, sf), "doc_id")
     found = docs.select("domain", quality.language(F.col("content")).alias("language"))
     return metrics.confusion(found, "language", "domain")
+
+
+@query
+def learned_language(spark, sf):
+    """Languages by profiles learned from two documents of three; the third is held out."""
+    docs = spread(i.documents(spark, sf), "doc_id").withColumn("held_out", F.col("doc_id") % 3 == 1)
+    profiles = quality.learn_profiles(docs.where("not held_out"), "domain")
+    found = quality.detect(docs, profiles, "held_out", "domain")
+    return metrics.confusion(found, "language", "domain", "held_out")
+
+
+@query
+def language_profiles(spark, sf):
+    docs = spread(i.documents(spark, sf), "doc_id")
+    return quality.learn_profiles(docs.where("doc_id % 3 != 1"), "domain", most=2_000)

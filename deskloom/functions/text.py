@@ -70,7 +70,7 @@ def normalise(text: Column) -> Column:
 def words(text: Column, stop_words=fixed.STOP_WORDS) -> Column:
     """Lower-case words of two or more characters without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(list(stop_words)))
+    return F.filter(found, lambda w: ~w.isin(list(stop_words))) if stop_words else found
 
 
 def words_and_pairs(tokens: Column) -> Column:

@@ -36,6 +36,42 @@ def matches(text, pattern):
     return pc.match_substring_regex(plain, pattern)
 
 
+class Literals:
+    """Which of some groups of literals a text holds, found in one pass over it.
+
+    A rule is a list of groups, each a list of literals. It is possible in a text
+    that holds at least one literal of each group.
+    """
+
+    def __init__(self, rules):
+        number = {}
+        for rule in rules:
+            for literal in (literal for group in rule for literal in group):
+                number.setdefault(literal, len(number))
+        self.rules = [[sum(1 << number[literal] for literal in set(group)) for group in rule] for rule in rules]
+        self.bits = {literal: 1 << at for literal, at in number.items()}
+        try:
+            import ahocorasick
+        except ImportError:  # without the automaton each literal is looked for
+            self.automaton = None
+            return
+        self.automaton = ahocorasick.Automaton()
+        for literal, bit in self.bits.items():
+            self.automaton.add_word(literal, bit)
+        self.automaton.make_automaton()
+
+    def held(self, text):
+        """The bits of all literals of a text."""
+        if self.automaton is None:
+            return sum(bit for literal, bit in self.bits.items() if literal in text)
+        return sum({bit for _, bit in self.automaton.iter(text)})
+
+    def possible(self, text):
+        """Numbers of the rules that are possible in a text."""
+        held = self.held(text)
+        return [at for at, groups in enumerate(self.rules) if all(held & group for group in groups)]
+
+
 def sentence_ends(text):
     """Where each of the marks that may end a chunk stands, per mark in rising order."""
     return [[found.start() for found in re.finditer(f"(?={re.escape(mark)})", text)] for mark in fixed.CHUNK_MARKS]
@@ -116,6 +152,84 @@ def tally(lists):
     return list_array(pairs // wide, n, term=found, tf=pa.array(count.astype(np.int32)))
 
 
+def word_terms(lists, stop_words, pairs=True):
+    """Distinct words and neighbouring pairs of every list of words, with how often they occur.
+
+    Stop words are dropped first, so a pair may span some. Pairs are counted as
+    pairs of numbers; only distinct ones become text.
+    """
+    words, row, n = flat_lists(lists)
+    coded = words.dictionary_encode()
+    known = coded.dictionary.cast(pa.string())
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    kept = ~pc.is_in(known, value_set=stop_words).to_numpy(zero_copy_only=False)[codes] if len(codes) else np.zeros(0, bool)
+    codes, row = codes[kept], row[kept]
+    wide = max(1, len(known))
+    keys, count = np.unique(row * wide + codes, return_counts=True)
+    rows, terms = [keys // wide], [known.take(pa.array(keys % wide))]
+    counts = [count]
+    if pairs and len(codes) > 1:
+        near = np.flatnonzero(row[1:] == row[:-1])
+        different, number = np.unique(codes[near] * wide + codes[near + 1], return_inverse=True)
+        keys, count = np.unique(row[near] * max(1, len(different)) + number, return_counts=True)
+        first, second = (known.take(pa.array(part)) for part in (different // wide, different % wide))
+        text = pc.binary_join_element_wise(first, second, " ")
+        rows.append(keys // max(1, len(different)))
+        terms.append(text.take(pa.array(keys % max(1, len(different)))))
+        counts.append(count)
+    row, term, count = np.concatenate(rows), pa.concat_arrays(terms), np.concatenate(counts)
+    order = np.argsort(row, kind="stable")
+    return list_array(row[order], n, term=term.take(pa.array(order)), tf=pa.array(count[order].astype(np.int32)))
+
+
+def word_grams(lists, size):
+    """Distinct character sequences of every list of words, with how often they occur.
+
+    A word has an underscore at each end and then gives all its sequences of the
+    size, at least one. Each different word of a batch is cut once.
+    """
+    words, row, n = flat_lists(lists)
+    coded = words.dictionary_encode()
+    known = [f"_{word}_" for word in coded.dictionary.to_pylist()]
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = [[word[i : i + size] for i in range(max(1, len(word) - size + 1))] for word in known]
+    numbers = {}
+    flat = np.array([numbers.setdefault(gram, len(numbers)) for own in cut for gram in own], np.int64)
+    sizes = np.array([len(own) for own in cut], np.int64)
+    first = np.cumsum(sizes) - sizes
+    keys, count = np.unique(row * max(1, len(known)) + codes, return_counts=True)
+    row, word = keys // max(1, len(known)), keys % max(1, len(known))
+    fan = sizes[word]
+    at = np.repeat(first[word], fan) + np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+    wide = max(1, len(numbers))
+    keys, place = np.unique(np.repeat(row, fan) * wide + flat[at], return_inverse=True)
+    tf = np.bincount(place, np.repeat(count, fan), len(keys)).astype(np.int32)
+    grams = pa.array(list(numbers), pa.string()).take(pa.array(keys % wide))
+    return list_array(keys // wide, n, gram=grams, tf=pa.array(tf))
+
+
+def likeliest(lists, known, weights, names):
+    """The name whose weights, times the counts, sum up highest for every list of
+    (gram, tf); the first of equals, null for an empty list.
+
+    weights: whole numbers (gram, name). Grams that no name has aren't looked at.
+    """
+    values, row, n = flat_lists(lists)
+    at = pc.index_in(values.field("gram"), value_set=known)
+    inside = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    place = at.drop_null().to_numpy(zero_copy_only=False)
+    row, tf = row[inside], values.field("tf").to_numpy(zero_copy_only=False)[inside].astype(np.int64)
+    best, top = np.full(n, -1), np.full(n, np.iinfo(np.int64).min)
+    edge = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, np.int64)
+    for number in range(len(names)):
+        score = np.zeros(n, np.int64)
+        if len(row):
+            score[row[edge]] = np.add.reduceat(weights[place, number] * tf, edge)
+        better = (score > top) & (np.bincount(row, minlength=n) > 0)
+        best[better], top[better] = number, score[better]
+    return pa.array([names[at] if at >= 0 else None for at in best.tolist()], pa.string())
+
+
 def weigh(lists, vocabulary):
     """Unit tf-idf vectors from lists of (term, tf): (slot, tf, weight) by slot.
 

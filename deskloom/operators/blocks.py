@@ -34,30 +34,32 @@ def domain_filters(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def each(
     queries: DataFrame,
-    run: Callable[[Callable, int], DataFrame],
+    run: Callable[[Callable, tuple], DataFrame],
     pack: Callable[[pa.Table], tuple],
     rows: int = BLOCK_QUERIES,
 ) -> DataFrame:
-    """The rows that run(sent, size) makes of every block of queries.
+    """The rows that run(sent, packed) makes of every block of queries.
 
-    pack makes what a task needs from a block. It is sent to the tasks, sent()
-    gives it inside one, and size is the number of queries. Queries of one block
-    go to the tasks as they come. More are a written table; the rows of each
-    block are written, and what was sent is released before the next.
+    pack makes what a task needs from a block: packed, which sent() gives inside
+    a task. Queries of one block go to the tasks as they come. More are a written
+    table; the rows of each block are written, and what was sent is released
+    before the next.
     """
     spark = queries.sparkSession
     few = queries.limit(rows + 1).toArrow()
     if few.num_rows <= rows:
-        only = spark.sparkContext.broadcast(pack(few))
-        return run(lambda: only.value, few.num_rows)
+        packed = pack(few)
+        only = spark.sparkContext.broadcast(packed)
+        return run(lambda: only.value, packed)
     del few
     asked = stage(queries, "queries")
     parts = -(-asked.count() // rows)
     folder = new_folder(spark, "found")
     for part in range(parts):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
-        sent = spark.sparkContext.broadcast(pack(block))
-        found = run(lambda sent=sent: sent.value, block.num_rows)
+        packed = pack(block)
+        sent = spark.sparkContext.broadcast(packed)
+        found = run(lambda sent=sent: sent.value, packed)
         found.write.parquet(f"{folder}/block={part}")
         sent.destroy()
     return spark.read.schema(found.schema).parquet(folder).drop("block")

@@ -29,8 +29,13 @@ def terms(texts: DataFrame, *keep: str, text: str = "content", stop_words=fixed.
     A text is one row already, so its terms are counted inside the row and
     nothing is shuffled.
     """
-    tokens = texts.select(*keep, t.words(F.col(text), stop_words).alias("_words"))
-    return tokens.select(*keep, _tally(t.words_and_pairs(F.col("_words"))).alias("terms"))
+    stop = sorted(stop_words)
+
+    @F.arrow_udf(TALLY)
+    def counted(words: pa.Array) -> pa.Array:
+        return kernels.word_terms(words, pa.array(stop, pa.string()))
+
+    return texts.select(*keep, counted(t.words(F.col(text), ())).alias("terms"))
 
 
 def term_counts(texts: DataFrame, key: str, *carry: str, text: str = "content", stop_words=fixed.STOP_WORDS) -> DataFrame:
@@ -240,7 +245,9 @@ def top_documents(
     ) + ", score double, fits boolean"
 
     if index.blocks is not None:
-        found = blocks.each(packed, lambda asked, size: postings.search(asked, size, index.blocks, n, out).hits, pack_queries, block_rows)
+        found = blocks.each(
+            packed, lambda sent, asked: postings.search(sent, asked, index.blocks, n, out), pack_queries, block_rows
+        )
     else:
 
         def score(batches, sent):

@@ -4,6 +4,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deskloom import fixed
 from deskloom.functions import exact, json as j, safety as s, text as t
+from deskloom.session import stage
+
+# Bits of a row's hash that one level of a digest tree tells apart.
+DIGEST_BITS = 16
+# Rows in differing buckets that are compared without another level.
+LEAF_ROWS = 100_000
 
 
 def f1(truth: Column, guess: Column) -> list[Column]:
@@ -80,18 +86,61 @@ def pii_echo(rows: DataFrame, ticket: str, response: str) -> DataFrame:
     ).drop("_values")
 
 
-def confusion(rows: DataFrame, guess: str, truth: str) -> DataFrame:
-    return rows.groupBy(F.col(guess).alias("guess"), F.col(truth).alias("truth")).agg(F.count("*").alias("n"))
+def confusion(rows: DataFrame, guess: str, truth: str, *by: str) -> DataFrame:
+    return rows.groupBy(*by, F.col(guess).alias("guess"), F.col(truth).alias("truth")).agg(F.count("*").alias("n"))
+
+
+def _digests(both: DataFrame, depth: int) -> DataFrame:
+    """(_bucket, _rows) of the buckets in which two runs differ, by depth * DIGEST_BITS bits of the rows' hashes.
+
+    A digest is the runs' difference in the number of rows and in the sums of two
+    64-bit hashes: whatever the order of the rows, equal rows cancel.
+    """
+    sums = [F.sum(F.col(c).cast("decimal(20,0)") * F.col("_n")) for c in ("_key", "_more")]
+    each = both.groupBy(_bucket(depth).alias("_bucket")).agg(
+        F.count("*").alias("_rows"), F.sum("_n").alias("_a"), sums[0].alias("_b"), sums[1].alias("_c")
+    )
+    return each.where("_a != 0 or _b != 0 or _c != 0").select("_bucket", "_rows")
+
+
+def _bucket(depth: int) -> Column:
+    return F.shiftrightunsigned("_key", 64 - depth * DIGEST_BITS)
+
+
+def differing_rows(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of two runs, tagged _n 1 and -1, without most of those the runs share.
+
+    A tree of digests says where the runs differ: a digest for each of 65,536
+    buckets of row hashes, then, as long as the buckets that differ hold many
+    rows, for 65,536 parts of each of those. Digests combine on the map side, so
+    what is moved is digests, and the rows around the differences. The runs should
+    be written tables: every level reads them again.
+    """
+    columns = [F.col(f"`{c}`") for c in first.columns]
+    hashes = {"_key": F.xxhash64(*columns), "_more": F.xxhash64(F.lit(1), *columns)}
+    second = second.select(columns)
+    both = first.withColumn("_n", F.lit(1)).unionByName(second.withColumn("_n", F.lit(-1))).withColumns(hashes)
+    held, most = both, None
+    for depth in range(1, 64 // DIGEST_BITS + 1):
+        found = stage(_digests(held, depth), "digests")
+        held = both.withColumn("_bucket", _bucket(depth)).join(found.select("_bucket"), "_bucket", "left_semi").drop("_bucket")
+        rows = found.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+        # Deeper only while buckets hold many rows that the runs share.
+        if rows <= LEAF_ROWS or (most is not None and 2 * rows > most):
+            break
+        most = rows
+    return held.drop("_key", "_more")
 
 
 def run_diff(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows that two runs do not share, with how many more the first run has.
 
+    Digests tell where the runs differ; only rows around there are compared.
     Equal rows cancel in one aggregation that combines on the map side.
     """
-    columns = first.columns
-    both = first.withColumn("_n", F.lit(1)).unionByName(second.select(columns).withColumn("_n", F.lit(-1)))
-    return both.groupBy(*columns).agg(F.sum("_n").alias("surplus")).where("surplus != 0")
+    columns = [F.col(f"`{c}`") for c in first.columns]
+    rows = differing_rows(first, second)
+    return rows.groupBy(*columns).agg(F.sum("_n").alias("surplus")).where("surplus != 0")
 
 
 def tally(cases: DataFrame, ok: str = "ok", group: str | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 """Corpus quality: recency, conflicting sources, misfiled documents, language."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from deskloom import fixed, kernels
 from deskloom.functions import exact, text as t
@@ -11,6 +13,10 @@ from deskloom.session import stage
 SENT_GAINS = 8_000_000
 # Domains a corpus may have; the driver holds a number for each.
 DOMAINS = 1_000_000
+# Characters of a sequence that language profiles count, sequences of all profiles, and languages.
+GRAM = 3
+PROFILE_GRAMS = 50_000
+LANGUAGES = 200
 
 
 def prefer_recent(hits: DataFrame) -> DataFrame:
@@ -96,8 +102,6 @@ def misfiled(documents: DataFrame) -> DataFrame:
 
 def _judge(counted: DataFrame, tail: DataFrame, head: DataFrame, base) -> DataFrame:
     """(doc_id, domain, _best): the number of each document's best domain."""
-    import numpy as np
-
     spark = counted.sparkSession
     sent = head.toArrow()  # SENT_GAINS values at most
     values, row, n = kernels.flat_lists(sent.column("gains"))
@@ -130,3 +134,75 @@ def language(text: Column, profiles=fixed.LANGUAGE_WORDS) -> Column:
 
     # The words are bound to one variable, so they are extracted once.
     return F.transform(F.array(found), best)[0]["language"]
+
+
+GRAMS = T.ArrayType(T.StructType().add("gram", T.StringType()).add("tf", T.IntegerType()))
+
+
+def grams(texts: DataFrame, *keep: str, text: str = "content", size: int = GRAM) -> DataFrame:
+    """(*keep, grams): the character sequences of each text's words, counted inside the row."""
+
+    @F.arrow_udf(GRAMS)
+    def counted(words: pa.Array) -> pa.Array:
+        return kernels.word_grams(words, size)
+
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))
+    return texts.select(*keep, counted(found).alias("grams"))
+
+
+def learn_profiles(labelled: DataFrame, label: str, text: str = "content", most: int = PROFILE_GRAMS) -> DataFrame:
+    """(gram, language, weight): profiles of the languages of labelled texts, written.
+
+    The weight is the log of the gram's add-one smoothed share of a language's
+    grams, in thousandths, a whole number; sums of weights are exact. A row without
+    gram holds the weight of grams that a language lacks. Of all grams the `most`
+    frequent count, ties by gram. Rows without label aren't learned from. Counts
+    combine on the map side, so a frequent language is no hot key.
+    """
+    counted = grams(labelled.where(F.col(label).isNotNull()), label, text=text).select(
+        F.col(label).cast("string").alias("language"), F.inline("grams")
+    )
+    counts = stage(counted.groupBy("gram", "language").agg(F.sum("tf").alias("n")), "grams")
+    total = counts.groupBy("gram").agg(F.sum("n").alias("total"))
+    known = lexical.most_frequent(stage(total.withColumnRenamed("gram", "term"), "gram-totals"), most)
+    known = stage(known.select(F.col("term").alias("gram")), "known-grams")
+    kept = counts.join(known, "gram")
+    sizes = kept.groupBy("language").agg(F.sum("n").alias("size")).withColumn("size", F.col("size") + known.count())
+
+    def weight(n):
+        return F.round(F.log(n / F.col("size")) * 1000).cast("bigint").alias("weight")
+
+    seen = kept.join(F.broadcast(sizes), "language").select("gram", "language", weight(F.col("n") + 1))
+    unseen = sizes.select(F.lit(None).cast("string").alias("gram"), "language", weight(F.lit(1)))
+    return stage(seen.unionByName(unseen), "profiles")
+
+
+def detect(texts: DataFrame, profiles: DataFrame, *keep: str, text: str = "content") -> DataFrame:
+    """(*keep, language): the language whose profile a text fits best, by the sum of
+    its grams' weights; ties by name, null if it has no gram that any language has.
+
+    Profiles are sent to the tasks: PROFILE_GRAMS grams of LANGUAGES languages at
+    most, an error beyond that.
+    """
+    names = [row["language"] for row in profiles.where("gram is null").orderBy("language").limit(LANGUAGES + 1).collect()]
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    place = {name: i for i, name in enumerate(names)}
+    rows = profiles.toArrow().to_pydict()
+    known = sorted({gram for gram in rows["gram"] if gram is not None})
+    at = {gram: i for i, gram in enumerate(known)}
+    unseen = np.zeros(len(names), np.int64)
+    for gram, name, weight in zip(*rows.values(), strict=True):
+        if gram is None:
+            unseen[place[name]] = weight
+    weights = np.tile(unseen, (len(known), 1))
+    for gram, name, weight in zip(*rows.values(), strict=True):
+        if gram is not None:
+            weights[at[gram], place[name]] = weight
+    sent = texts.sparkSession.sparkContext.broadcast((pa.array(known, pa.string()), weights, names))
+
+    @F.arrow_udf("string")
+    def likeliest(grams: pa.Array) -> pa.Array:
+        return kernels.likeliest(grams, *sent.value)
+
+    return grams(texts, *keep, text=text).select(*keep, likeliest("grams").alias("language"))

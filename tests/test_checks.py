@@ -101,6 +101,25 @@ def test_run_diff(spark):
     assert {(r.k, r.v, r.surplus) for r in metrics.run_diff(a, b).collect()} == {(1, "x", 1), (3, "z", -1)}
 
 
+def test_run_diff_moves_rows_around_the_differences_only(spark, monkeypatch):
+    a = spark.range(20_000).select("id", F.col("id").cast("string").alias("v"), (F.col("id") % 9).alias("o.dd"))
+    b = a.where("id != 77").withColumn("v", F.when(F.col("id") == 5000, "new").otherwise(F.col("v")))
+    for leaf, bits in ((100_000, 16), (100, 4), (1, 4), (0, 16)):
+        monkeypatch.setattr(metrics, "LEAF_ROWS", leaf)
+        monkeypatch.setattr(metrics, "DIGEST_BITS", bits)
+        got = {(r["id"], r["v"], r["surplus"]) for r in metrics.run_diff(a, b).collect()}
+        assert got == {(77, "77", 1), (5000, "5000", 1), (5000, "new", -1)}
+        if leaf == 1:  # four levels of 16 buckets
+            assert metrics.differing_rows(a, b).count() < 20
+    assert metrics.differing_rows(a, a.repartition(3)).count() == 0
+
+
+def test_run_diff_of_signed_zeros_and_repeated_rows(spark):
+    a = spark.createDataFrame([(0.0, "x")] * 3 + [(float("nan"), None)], "x double, y string")
+    b = spark.createDataFrame([(-0.0, "x")] * 2 + [(float("nan"), None)], "x double, y string")
+    assert [tuple(r) for r in metrics.run_diff(a, b).collect()] == [(0.0, "x", 1)]
+
+
 def test_tally(spark):
     cases = spark.createDataFrame([("g", True), ("g", False), ("h", True)], "family string, ok boolean")
     assert tuple(metrics.tally(cases).first()) == (2, 1)
