@@ -30,46 +30,43 @@ def nfkc(text):
     return pa.array(done, pa.string())
 
 
-def matches(text, pattern):
-    # Both Turkish i's match "i" when letter case is ignored.
-    plain = pc.replace_substring(pc.replace_substring(text, "\u0130", "i"), "\u0131", "i")
-    return pc.match_substring_regex(plain, pattern)
-
-
 class Literals:
-    """Which of some groups of literals a text holds, found in one pass over it.
+    """Which of some rules a text's literals allow, found in one pass over the text.
 
     A rule is a list of groups, each a list of literals. It is possible in a text
-    that holds at least one literal of each group.
+    that holds at least one literal of each group. The pass looks for one group of
+    each rule, that of the longest literals, as they are the rarest; the other
+    groups of a rule are looked for once that one is found.
     """
 
     def __init__(self, rules):
-        number = {}
-        for rule in rules:
-            for literal in (literal for group in rule for literal in group):
-                number.setdefault(literal, len(number))
-        self.rules = [[sum(1 << number[literal] for literal in set(group)) for group in rule] for rule in rules]
-        self.bits = {literal: 1 << at for literal, at in number.items()}
+        self.others = []
+        self.allowed = {}  # numbers of rules by literal
+        for number, groups in enumerate(rules):
+            key = max(groups, key=lambda group: min(map(len, group)))
+            self.others.append([group for group in groups if group is not key])
+            for literal in key:
+                self.allowed.setdefault(literal, set()).add(number)
         try:
             import ahocorasick
         except ImportError:  # without the automaton each literal is looked for
             self.automaton = None
             return
         self.automaton = ahocorasick.Automaton()
-        for literal, bit in self.bits.items():
-            self.automaton.add_word(literal, bit)
+        for literal in self.allowed:
+            self.automaton.add_word(literal, literal)
         self.automaton.make_automaton()
 
     def held(self, text):
-        """The bits of all literals of a text."""
+        """The literals of the first groups that a text holds."""
         if self.automaton is None:
-            return sum(bit for literal, bit in self.bits.items() if literal in text)
-        return sum({bit for _, bit in self.automaton.iter(text)})
+            return {literal for literal in self.allowed if literal in text}
+        return {literal for _, literal in self.automaton.iter(text)}
 
     def possible(self, text):
-        """Numbers of the rules that are possible in a text."""
-        held = self.held(text)
-        return [at for at, groups in enumerate(self.rules) if all(held & group for group in groups)]
+        """Numbers of the rules that are possible in a text, in order."""
+        found = set().union(*[self.allowed[literal] for literal in self.held(text)])
+        return sorted(n for n in found if all(any(word in text for word in group) for group in self.others[n]))
 
 
 def sentence_ends(text):

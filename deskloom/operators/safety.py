@@ -13,12 +13,11 @@ def normalised(df: DataFrame, text: str) -> DataFrame:
 
 def injections(df: DataFrame, text: str = "_text") -> DataFrame:
     """Add injection_reasons and regex_injection for a column of normalised text."""
-    out = df.withColumn("_suspect", s.suspect(F.col(text)))
-    out = out.withColumn("_low", F.when(F.col("_suspect"), s.gate_text(F.col(text))))
+    out = df.withColumn("_possible", s.possible_rules(s.gate_text(F.col(text))))
     none = F.array().cast("array<string>")
-    found = F.when(F.col("_suspect"), s.injection_reasons(text, "_low")).otherwise(none)
+    found = F.when(F.size("_possible") > 0, s.injection_reasons(text, "_possible")).otherwise(none)
     out = t.once(out, {"injection_reasons": found})
-    return out.withColumn("regex_injection", F.size("injection_reasons") > 0).drop("_suspect", "_low")
+    return out.withColumn("regex_injection", F.size("injection_reasons") > 0).drop("_possible")
 
 
 def personal_data(df: DataFrame, text: str = "_text") -> DataFrame:

@@ -118,11 +118,11 @@ def plan_of(df):
 
 def test_the_scan_is_planned_once(parts):
     plan = plan_of(tr.triage(*parts))
-    assert sum("suspect(" in line and "EvalPython" in line for line in plan.splitlines()) == 1
+    assert sum("possible(" in line and "EvalPython" in line for line in plan.splitlines()) == 1
 
 
 def test_personal_data_needs_no_injection_rule(spark):
     df = spark.createDataFrame([("a@b.co",)], "text string")
     plan = plan_of(safety.personal_data(safety.normalised(df, "text")))
-    assert "suspect" not in plan and fixed.INJECTION_RULES[0][1] not in plan
+    assert "possible(" not in plan and fixed.INJECTION_RULES[0][1] not in plan
     assert safety.personal_data(safety.normalised(df, "text")).first().pii_types == ["email"]
