@@ -6,7 +6,8 @@ compared in full with the one before it. A run that splitters cut, as a large
 group must be, is put together from one row per run.
 
 Cases: a null text equals an empty one. Repeated rows are members of their group
-like any other, and exactly one row of a group is kept. An empty table gives an
+like any other, and exactly one row of a group is kept: one without id only where
+no row of the group has any, and then keep_id is null. An empty table gives an
 empty result. Further columns are ignored. Texts are compared whole, whatever
 their length.
 """
@@ -63,8 +64,9 @@ def duplicates(documents: DataFrame) -> DataFrame:
         F.substring("text", 1, PREFIX).alias("prefix"),
         F.xxhash64("text").alias("hash"),
         F.length("text").alias("length"),
-    ).repartitionByRange("prefix", "length", "hash", "id")
-    found = dealt.sortWithinPartitions("prefix", "length", "text", "id").select("id", "text")
+    ).repartitionByRange("prefix", "length", "hash", F.asc_nulls_last("id"))
+    # The head of a run is its smallest id, null only if none of its rows has one.
+    found = dealt.sortWithinPartitions("prefix", "length", "text", F.asc_nulls_last("id")).select("id", "text")
     found = common.stage(
         found.mapInArrow(runs, "id long, head long, place long, text_sha256 string"), "content-runs"
     )

@@ -11,14 +11,17 @@ A first sweep takes the nearest neighbours in some of the trees, which connects
 most of every group with few pairs. The next ones pair, of the rows that aren't
 connected yet, the best in all trees and then all in the window. Where more than
 `WINDOW` rows share the first values (a crowded bucket), the rows outside the
-bucket's largest component are then compared with every row of the bucket, best
-candidates first, until no pair of different components is left untried. A link
-counts only after the full shingle sets have been compared.
+bucket's largest component are compared with every row of the bucket, best
+candidates first, until no pair of different components is left untried. These
+rows carry their least shingle hashes, all of them in a text of up to `LEAST`
+shingles, so a task counts what two rows share and passes on the pairs that reach
+the similarity, not those that only look alike. A link counts only after the full
+shingle sets have been compared.
 
 A link of similarity 0.75 shares the first three values of a tree with
 probability 0.42, so all 24 trees miss it with 2e-6, in a crowded bucket too. The
-price is that rows of one bucket that stay apart are compared with one another,
-which grows with the square of their number.
+price is that rows of one bucket that stay apart are compared with one another in
+the task, which takes time with the square of their number, but no rows.
 
 Cases: a null or empty text, or one of blanks only, has no shingles, links with
 nothing and is kept. Equal sets are linked by a 128-bit hash of the sorted set.
@@ -49,6 +52,8 @@ BEST = (4, 64, None)  # candidates of a row that the passes over crowded buckets
 FIRST = 6  # trees whose nearest neighbours the first sweep pairs
 SKETCH = 0.55  # estimated similarity below which a pair is no candidate, 4 deviations under 0.75
 PERCENT = 75
+LEAST = 256  # least hashes of a text that rows of crowded buckets carry
+LIKELY = 0.61  # similarity by the least hashes of longer texts below which a pair is no link, 5 deviations under 0.75
 
 SIGNED = "id long, n_shingles long, set_key binary, signature binary"
 SWEPT = "a long, b long, estimate float"
@@ -113,9 +118,12 @@ def dealt(signed: DataFrame, label: str) -> DataFrame:
     )
 
 
-def orders(signed: DataFrame, label: str) -> DataFrame:
-    """The rows of all trees in order; no bucket lies in two partitions."""
-    rows = dealt(signed, label).repartitionByRange("tree", F.shiftright("k1", 16))
+def orders(signed: DataFrame, label: str, without: DataFrame | None = None) -> DataFrame:
+    """The rows of all trees in order, without some buckets; no bucket lies in two partitions."""
+    rows = dealt(signed, label)
+    if without is not None:
+        rows = rows.withColumn("bucket", F.shiftright("k1", 16)).join(without, ["tree", "bucket"], "left_anti").drop("bucket")
+    rows = rows.repartitionByRange("tree", F.shiftright("k1", 16))
     return rows.sortWithinPartitions("tree", "k1", "k2", "id")
 
 
@@ -214,8 +222,33 @@ def crowded(known: DataFrame, window: int) -> DataFrame:
     return whole.filter((F.col("size") > window) & (F.col("labels") > 1)).drop("labels")
 
 
-def across(known: DataFrame, buckets: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of rows of different components anywhere in the crowded buckets, for each row the `most` closest of a slice.
+def shared(out: list[np.ndarray], every: list[np.ndarray], i: np.ndarray, j: np.ndarray, n: tuple) -> np.ndarray:
+    """Which pairs (out[i], every[j]) may be links, by their least hashes; n: numbers of shingles of the two.
+
+    Up to the smaller of the two largest hashes, each side has all its hashes; of
+    two texts of up to LEAST shingles these are the sets.
+    """
+    good = np.zeros(len(i), bool)
+    edges = np.flatnonzero(np.diff(i, prepend=-1, append=-1)) if len(i) else np.zeros(1, int)
+    for first, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        x, others = out[i[first]], [every[at] for at in j[first:end].tolist()]
+        sizes = np.array([len(y) for y in others])
+        owner = np.repeat(np.arange(len(others)), sizes)
+        y = np.concatenate(others)
+        whole = np.array([len(x) == n[0][i[first]]] * len(others)) & (sizes == n[1][j[first:end]])
+        last = np.minimum(x[-1], y[np.cumsum(sizes) - 1])
+        last[whole] = np.iinfo(np.uint32).max
+        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+        within = y <= last[owner]
+        both = np.bincount(owner, (x[at] == y) & within, len(others))
+        union = np.searchsorted(x, last, "right") + np.bincount(owner, within, len(others)) - both
+        good[first:end] = np.where(whole, 100 * both >= PERCENT * union, both >= LIKELY * union)
+    return good
+
+
+def across(known: DataFrame, buckets: DataFrame, most: int | None, least: DataFrame) -> DataFrame:
+    """Pairs of rows of different components anywhere in the crowded buckets that look
+    like links, of the `most` closest of each row in a slice.
 
     The rows outside a bucket's main component go to each of its slices, every row to one.
     """
@@ -224,8 +257,9 @@ def across(known: DataFrame, buckets: DataFrame, most: int | None) -> DataFrame:
     own = F.array(F.struct(F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"), F.lit(True).alias("late")))
     each = F.transform(F.sequence(F.lit(0), slices - 1), lambda s: F.struct(s.alias("slice"), F.lit(False).alias("late")))
     places = F.when(F.col("label") != F.col("main"), F.concat(each, own)).otherwise(own)
-    rows = rows.select("tree", "bucket", "main", "id", "n", "label", "sketch", F.explode(places).alias("place"))
-    rows = rows.select("tree", "bucket", "place.slice", "place.late", "main", "id", "n", "label", "sketch")
+    carried = ["main", "id", "n", "label", "sketch", "least"]
+    rows = rows.join(least, "id").select("tree", "bucket", *carried, F.explode(places).alias("place"))
+    rows = rows.select("tree", "bucket", "place.slice", "place.late", *carried)
     group = ["tree", "bucket", "slice"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +269,8 @@ def across(known: DataFrame, buckets: DataFrame, most: int | None) -> DataFrame:
                 continue
             table = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in (*group, "late", "main", "id", "n", "label")}
             table["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            table["least"] = np.empty(batch.num_rows, object)
+            table["least"][:] = [np.frombuffer(part, np.uint32) for part in batch.column("least").to_pylist()]
             fresh = np.any([np.diff(table[name], prepend=table[name][0]) != 0 for name in group], axis=0)
             bounds = [0, *np.flatnonzero(fresh).tolist(), batch.num_rows]
             for low, high in zip(bounds, bounds[1:], strict=False):
@@ -243,10 +279,10 @@ def across(known: DataFrame, buckets: DataFrame, most: int | None) -> DataFrame:
                     key, held = now, None
                 middle = low + int((~table["late"][low:high]).sum())  # the early ones come first
                 if middle > low:
-                    more = {name: table[name][low:middle] for name in ("id", "n", "label", "sketch")}
+                    more = {name: table[name][low:middle] for name in ("id", "n", "label", "sketch", "least")}
                     held = more if held is None else {name: np.concatenate([held[name], more[name]]) for name in more}
                 if held is not None and high > middle:
-                    every = {name: table[name][middle:high] for name in ("id", "n", "label", "sketch", "main")}
+                    every = {name: table[name][middle:high] for name in ("id", "n", "label", "sketch", "least", "main")}
                     for at in range(0, len(held["id"]), 256):
                         yield from pairs({name: values[at : at + 256, None] for name, values in held.items()}, every)
 
@@ -262,7 +298,10 @@ def across(known: DataFrame, buckets: DataFrame, most: int | None) -> DataFrame:
             apart += np.bitwise_count((differs | differs >> np.uint32(1)) & np.uint32(0x55555555))
         close = closeness(apart)
         good = np.flatnonzero(close >= SKETCH)
-        chosen = good[best(i[good], close[good], most)]
+        chosen = np.sort(good[best(i[good], close[good], most)])
+        a, b = i[chosen], j[chosen]
+        linked = shared(out["least"][:, 0], every["least"], a, b, (out["n"][:, 0], every["n"]))
+        chosen = chosen[linked]
         if len(chosen):
             a, b = out["id"][i[chosen], 0], every["id"][j[chosen]]
             yield swept(np.minimum(a, b), np.maximum(a, b), close[chosen])
@@ -284,6 +323,23 @@ def texts_of(documents: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
     return found.dropDuplicates(["id"]) if repeated else found
 
 
+def least_of(texts: DataFrame) -> DataFrame:
+    """(id, least): the upper halves of the least shingle hashes of packed texts, in order."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            packed, made = batch.column("packed").to_pylist(), []
+            for part in shingles.chunks([zstandard.frame_content_size(text) for text in packed]):
+                hashes, counts = shingles.sets([unpack.decompress(text) for text in packed[part]])
+                upper = (hashes >> np.uint64(32)).astype(np.uint32)  # in order, as the hashes of a text are
+                starts = (np.cumsum(counts) - counts).tolist()
+                made += [upper[at : at + min(n, LEAST)].tobytes() for at, n in zip(starts, counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "least"])
+
+    return texts.select("id", "packed").mapInArrow(cut, "id long, least binary")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -344,14 +400,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     def labelled() -> DataFrame:
         return alone.join(nodes, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
+    def crowds(known: DataFrame) -> DataFrame:
+        return common.stage(crowded(known, WINDOW), "forest-crowded")
+
     for most in (1, None):
-        linked(orders(labelled(), "component").mapInArrow(sweep(WINDOW, most=most), SWEPT))
+        known = labelled()
+        few = orders(known, "component", crowds(known).select("tree", "bucket"))
+        linked(few.mapInArrow(sweep(WINDOW, most=most), SWEPT))
+    least = None
     for most in BEST:
         known = labelled()
-        buckets = common.stage(crowded(known, WINDOW), "forest-crowded")
+        buckets = crowds(known)
         if buckets.isEmpty():
             break
-        linked(across(known, buckets, most))
+        if least is None:
+            least = common.stage(least_of(texts), "forest-least")
+        linked(across(known, buckets, most, least))
 
     same = classes.filter("rep < last").select("set_key", "rep")
     named = signed.select("id", "n_shingles", "set_key").join(same, "set_key", "left")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from deskloom.llm import common, containment, graph, minhash_forest, shingles, suffix_sort
 
@@ -198,3 +199,58 @@ def test_scattered_and_short_items_are_found(spark, docs):
     assert len({i for i, *_ in want}) == len(items)
     found = containment.contained(common.rows(docs(texts)), common.rows(table, "item_id")).collect()
     assert {tuple(row) for row in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("ids", [[None, 5, 7], [7, None, 5, 5], [None, None], [None, 3]])
+def test_content_sort_without_ids(ids, docs, query):
+    """A row without id stays only where no row of its group has one."""
+    found = query("op6_content_sort", documents=docs([(i, "t") for i in ids] + [(None, "other")]))
+    group = [row for row in found if row["group_size"] == len(ids)]
+    known = [i for i in ids if i is not None]
+    keeper = min(known) if known else None
+    assert [row["keep_id"] for row in group] == [keeper] * len(ids)
+    assert [row["doc_id"] for row in group if row["kept"]] == [keeper]
+
+
+@pytest.mark.parametrize("least", [10**6, 40])
+def test_least_hashes_tell_links_from_others(least):
+    pick = np.random.default_rng(3)
+    sets = []
+    for i in range(60):
+        if i % 6 == 0:
+            base = pick.integers(0, 2**64, pick.integers(1, 300), dtype=np.uint64)
+        own = base.copy()
+        changed = pick.random(len(own)) < pick.choice([0, 0.1, 0.14, 0.16, 0.3])
+        own[changed] = pick.integers(0, 2**64, changed.sum(), dtype=np.uint64)
+        sets.append(np.unique(own))
+    upper = [(own >> np.uint64(32)).astype(np.uint32)[:least] for own in sets]
+    n = np.array([len(own) for own in sets])
+    i, j = np.triu_indices(60, 1)
+    said = minhash_forest.shared(upper, upper, i, j, (n, n))
+    for a, b, ok in zip(i, j, said):  # noqa: B905
+        both = len(np.intersect1d(sets[a], sets[b]))
+        similarity = both / (n[a] + n[b] - both)
+        if similarity >= 0.75:
+            assert ok
+        elif least > 300 or similarity < 0.3:
+            assert not ok
+    assert 20 < said.sum() < 200
+
+
+def test_crowded_families_pass_on_links_only(spark, docs):
+    """Most members of a family are less alike than a link: they aren't passed on as pairs."""
+    base = prose(8, 150)
+    rows = [(i, edited(base, i, 3 + i % 9)) for i in range(300)]
+    table = common.rows(docs(rows))
+    signed = minhash_forest.signatures(table)
+    texts = minhash_forest.texts_of(table, table.select("id"), False)
+    known = signed.withColumn("component", F.col("id"))
+    buckets = minhash_forest.crowded(known, 20)
+    pairs = minhash_forest.across(known, buckets, None, minhash_forest.least_of(texts)).select("a", "b").distinct().collect()
+    sets = [shingle_set(text) for _, text in rows]
+
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        return 100 * both >= 75 * len(sets[a] | sets[b])
+
+    assert pairs and all(linked(a, b) for a, b in pairs)
