@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages, each over all that the one before kept."""
+"""A training corpus from raw documents: five stages, each over all that the one before kept.
+
+Cases: a null text counts as empty and goes with the first stage, as it has no
+language. Decisions are by doc_id: rows that share one are kept or dropped
+together, and so are the rows without any. An empty table gives no sequences.
+Further columns stay as they are until the last stage.
+"""
 
 from __future__ import annotations
 
@@ -42,7 +48,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that contain a benchmark item go."""
     items = common.rows(common.read(spark, sf_dir, "benchmark"), "item_id")
     found = containment.contained(common.rows(docs), items).select("id").distinct()
-    return docs.alias("docs").join(found.alias("ids"), F.col("docs.doc_id") == F.col("ids.id"), "left_anti")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("ids.id"))
+    return docs.alias("docs").join(found.alias("ids"), same, "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
