@@ -8,15 +8,15 @@ region: a row is compared with the `WINDOW` rows after it that share the first
 first. Sketches sort out clearly different pairs.
 
 A first sweep takes the nearest neighbours in some of the trees, which connects
-most of every group with few pairs. The next ones pair, of the rows that aren't
-connected yet, the best in all trees and then all in the window. Where more than
-`WINDOW` rows share the first values (a crowded bucket), the rows outside the
-bucket's largest component are compared with every row of the bucket, best
-candidates first, until no pair of different components is left untried. These
-rows carry their least shingle hashes, all of them in a text of up to `LEAST`
-shingles, so a task counts what two rows share and passes on the pairs that reach
-the similarity, not those that only look alike. A link counts only after the full
-shingle sets have been compared.
+most of every group with few pairs. The next one pairs, of the rows that aren't
+connected yet, all in the window, in all trees. Where more than `WINDOW` rows
+share the first values (a crowded bucket), the rows outside the bucket's largest
+component are compared with every row of the bucket, best candidates first, until
+no pair of different components is left untried. These rows carry their least
+shingle hashes, all of them in a text of up to `LEAST` shingles, so a task counts
+what two rows share and passes on the pairs that reach the similarity, not those
+that only look alike. A link counts only after the full shingle sets have been
+compared.
 
 A link of similarity 0.75 shares the first three values of a tree with
 probability 0.42, so all 24 trees miss it with 2e-6, in a crowded bucket too. The
@@ -48,7 +48,7 @@ SHALLOW = 3  # values that candidates share at least
 KEYS = shingles.odd(41, TREES * DEPTH)
 WINDOW = 64  # rows that a row is compared with in a sweep
 SLICE = 4096  # rows of a crowded bucket that a task compares with those outside its largest component
-BEST = (4, 64, None)  # candidates of a row that the passes over crowded buckets try; the last tries all
+BEST = (4, None)  # candidates of a row that the passes over crowded buckets try; the last tries all
 FIRST = 6  # trees whose nearest neighbours the first sweep pairs
 SKETCH = 0.55  # estimated similarity below which a pair is no candidate, 4 deviations under 0.75
 PERCENT = 75
@@ -153,8 +153,8 @@ def swept(a, b, close) -> pa.RecordBatch:
     )
 
 
-def sweep(window: int, first_trees: int = 0, most: int | None = None):
-    """Pairs of neighbouring rows of different labels, for each row the `most` closest.
+def sweep(window: int, first_trees: int = 0):
+    """Pairs of neighbouring rows of different labels.
 
     For the first sweep only nearest neighbours in the first trees, and every
     row with a candidate in any tree, or in a crowded bucket, as (id, null).
@@ -203,9 +203,8 @@ def sweep(window: int, first_trees: int = 0, most: int | None = None):
                     found.append((i[good], j[good], close[good]))
             if found:
                 i, j, close = (np.concatenate(part) for part in zip(*found, strict=True))
-                chosen = best(i, close, most)
-                a, b = own["id"][i[chosen]], own["id"][j[chosen]]
-                yield swept(np.minimum(a, b), np.maximum(a, b), close[chosen])
+                a, b = own["id"][i], own["id"][j]
+                yield swept(np.minimum(a, b), np.maximum(a, b), close)
             if first_trees and marked.any():
                 yield swept(np.unique(own["id"][marked]), None, None)
             kept = {name: values[max(0, n - window) :] for name, values in own.items()}
@@ -403,10 +402,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     def crowds(known: DataFrame) -> DataFrame:
         return common.stage(crowded(known, WINDOW), "forest-crowded")
 
-    for most in (1, None):
-        known = labelled()
-        few = orders(known, "component", crowds(known).select("tree", "bucket"))
-        linked(few.mapInArrow(sweep(WINDOW, most=most), SWEPT))
+    known = labelled()
+    few = orders(known, "component", crowds(known).select("tree", "bucket"))
+    linked(few.mapInArrow(sweep(WINDOW), SWEPT))
     least = None
     for most in BEST:
         known = labelled()
