@@ -535,6 +535,8 @@ def sql() -> dict[str, str]:
     out["dense_topk_domain"] = dense("(item_id % 10)::VARCHAR", False)
     out["dense_topk_prefilter"] = dense("(item_id % 10)::VARCHAR", True)
     out["dense_topk_short"] = dense("NULL::VARCHAR", False, "WHERE item_id % 7 != 0")
+    small = LEXICON.replace(f"LIMIT {fixed.VOCABULARY}", "LIMIT 200")
+    out["summarised_topk"] = f"WITH {small}, {item_queries()}, {lexical_top(24)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lexical"
     out["clustered_topk"] = out["dense_topk"]
     fresh = LEXICON.replace(DOCS + ", ", "").replace("FROM docs", "FROM newer")
     out["index_refresh"] = f"""WITH {VERSIONS}, newer AS (SELECT doc_id, new.content FROM new JOIN docs USING (doc_path)), {fresh}

@@ -259,6 +259,14 @@ def index_roundtrip(spark, sf):
     return ranked(lexical.top_documents(i.queries(spark, sf), index.lexical, 24))
 
 
+@query
+def summarised_topk(spark, sf):
+    """The search over an index whose vocabulary comes from summaries of the tasks."""
+    docs = spread(i.documents(spark, sf), "doc_id")
+    index = lexical.build_index(docs, 200, summary=20_000)
+    return ranked(lexical.top_documents(i.queries(spark, sf), index, 24))
+
+
 @query
 def index_refresh(spark, sf):
     """Term weights of an index that was brought up to date, as those of a new

@@ -179,6 +179,40 @@ def word_terms(lists, stop_words, pairs=True):
     return list_array(row[order], n, term=term.take(pa.array(order)), tf=pa.array(count[order].astype(np.int32)))
 
 
+def heavy_terms(batches, capacity):
+    """Summary of the term lists of a task: (term, total, df) of at most `capacity` terms.
+
+    Terms are counted exactly until more than twice the capacity are held; then
+    the rarest go. A last row without term has in `total` what any term can lack
+    at most: the sum, over the cuts, of the largest total that went. So summaries
+    merge by adding up, and what is passed on doesn't grow with the task.
+    """
+    held, lacking = None, 0
+    names = ["term", "total", "df"]
+    for batch in batches:
+        values, _, _ = flat_lists(batch.column("terms"))
+        tf = values.field("tf").cast(pa.int64())
+        more = pa.table([values.field("term"), tf, pa.array(np.ones(len(tf), np.int64))], names)
+        both = more if held is None else pa.concat_tables([held, more])
+        held = both.group_by("term").aggregate([("total", "sum"), ("df", "sum")]).rename_columns(names)
+        if held.num_rows > 2 * capacity:
+            held, least = _largest(held, capacity)
+            lacking += least
+    if held is not None and held.num_rows > capacity:
+        held, least = _largest(held, capacity)
+        lacking += least
+    if held is not None:
+        yield from held.combine_chunks().to_batches()
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([lacking]), pa.array([0])], names)
+
+
+def _largest(table, n):
+    """The n rows of the largest totals, and the largest total of the others."""
+    total = table.column("total").to_numpy()
+    order = np.argpartition(-total, n)
+    return table.take(pa.array(np.sort(order[:n]))), int(total[order[n:]].max())
+
+
 def word_grams(lists, size):
     """Distinct character sequences of every list of words, with how often they occur.
 

@@ -12,6 +12,9 @@ from deskloom.session import stage
 # Terms of a vocabulary that may be sent to every task; about 40 bytes each.
 SENT_TERMS = 1_000_000
 
+# Terms that the summary of a task holds; about 100 bytes each.
+SUMMARY_TERMS = 1_000_000
+
 TALLY = T.ArrayType(T.StructType().add("term", T.StringType()).add("tf", T.IntegerType()))
 POSTINGS = T.ArrayType(
     T.StructType().add("slot", T.LongType()).add("tf", T.IntegerType()).add("weight", T.DoubleType())
@@ -66,6 +69,34 @@ def most_frequent(stats: DataFrame, size: int) -> DataFrame:
     return stats.where(step >= cut).orderBy(F.desc("total"), "term").limit(size)
 
 
+def heavy_statistics(counted: DataFrame, size: int, capacity: int = SUMMARY_TERMS) -> DataFrame:
+    """Exact statistics of the terms that can be among the `size` most frequent, written.
+
+    Rows with terms, a written table, are summarised in their tasks: what is moved
+    is `capacity` terms of a task at most, not every term of the corpus. The
+    merged summaries bound every term's total: it has at least what they count,
+    and at most what they lack besides. Terms whose upper bound reaches the
+    size-th lower bound are then counted exactly in a second scan. Where the
+    summaries lack nothing, as with fewer terms than their capacity, they are the
+    statistics; where they lack more than the size-th lower bound, the capacity is
+    too small to tell and all terms are counted.
+    """
+    summary = counted.select("terms").mapInArrow(
+        lambda batches: kernels.heavy_terms(batches, capacity), "term string, total long, df long"
+    )
+    merged = stage(summary.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")), "summary")
+    lacking = merged.where("term is null").agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
+    found = merged.where("term is not null")
+    if not lacking:
+        return found
+    least = most_frequent(found, size).agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
+    if least["n"] < size or least["total"] <= lacking:
+        return stage(term_statistics(counted.select(F.inline("terms"))), "statistics")
+    likely = stage(found.where(F.col("total") + lacking >= least["total"]).select("term"), "likely-terms")
+    each = counted.select(F.inline("terms")).join(likely, "term", "left_semi")
+    return stage(term_statistics(each), "statistics")
+
+
 def changed_statistics(stats: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     """Term statistics without the texts that are gone and with those that came.
 
@@ -165,13 +196,21 @@ class Index:
         return self._weights
 
 
-def build_index(documents: DataFrame, size: int | None = fixed.VOCABULARY, stop_words=fixed.STOP_WORDS) -> Index:
+def build_index(
+    documents: DataFrame, size: int | None = fixed.VOCABULARY, stop_words=fixed.STOP_WORDS, summary: int | None = None
+) -> Index:
     """Index of documents (doc_id, domain, content).
 
     Terms are counted once, inside each row, and written. Frequencies and
-    weights are made from that table; no text is shuffled.
+    weights are made from that table; no text is shuffled. With a summary, of so
+    many terms a task, only terms that can be in the vocabulary are shuffled; such
+    an index has no statistics of the others, so it isn't one to save and refresh.
     """
     counted = stage(terms(documents, "doc_id", "domain", stop_words=stop_words), "counts")
+    if summary and size is not None:
+        made = weighed_index(documents, counted, heavy_statistics(counted, size, summary), size)
+        made.statistics = None
+        return made
     return weighed_index(documents, counted, term_statistics(counted.select(F.inline("terms"))), size)
 
 

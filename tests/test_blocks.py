@@ -183,3 +183,43 @@ def test_no_labels_no_languages(spark):
     df = spark.createDataFrame([(1, None, "words here")], "doc_id int, lang string, content string")
     profiles = quality.learn_profiles(df, "lang")
     assert [r.language for r in quality.detect(df, profiles, "doc_id").collect()] == [None]
+
+
+def zipf(spark, count=400, seed=8):
+    pick = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    rows = [(i, "d", " ".join(pick.choices(words, weights, k=60))) for i in range(count)]
+    return spark.createDataFrame(rows, "doc_id int, domain string, content string").repartition(5)
+
+
+@pytest.mark.parametrize("capacity", [10**6, 700, 60, 5])
+def test_summaries_give_the_exact_vocabulary(spark, capacity):
+    """Lacking nothing, something, or too much to tell: the most frequent terms are the same."""
+    counted = lexical.stage(lexical.terms(zipf(spark), "doc_id"), "counts")
+    exact = lexical.stage(lexical.term_statistics(counted.select(F.inline("terms"))), "exact")
+    found = lexical.heavy_statistics(counted, 30, capacity)
+    assert rows_of(lexical.most_frequent(found, 30)) == rows_of(lexical.most_frequent(exact, 30))
+    if capacity == 700:
+        assert 30 <= found.count() < exact.count() / 3, "only terms that can be frequent were counted"
+
+
+def test_a_summary_holds_so_many_terms_and_bounds_the_others():
+    lists = [[{"term": f"t{j}", "tf": 1 + (j == 3)} for j in range(i, i + 40)] for i in range(0, 400, 4)]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(lists[at : at + 7], kind)], ["terms"]) for at in range(0, len(lists), 7)]
+    rows = [row for batch in kernels.heavy_terms(iter(batches), 50) for row in batch.to_pylist()]
+    lacking = [row["total"] for row in rows if row["term"] is None]
+    held = {row["term"]: row["total"] for row in rows if row["term"] is not None}
+    assert len(lacking) == 1 and len(held) <= 50
+    true = {}
+    for row in lists:
+        for term in row:
+            true[term["term"]] = true.get(term["term"], 0) + term["tf"]
+    assert all(held.get(term, 0) <= n <= held.get(term, 0) + lacking[0] for term, n in true.items())
+
+
+def test_an_index_from_summaries_is_not_saved(spark, tmp_path):
+    index = lexical.build_index(zipf(spark, 20), 30, summary=50)
+    with pytest.raises(ValueError, match="refreshed"):
+        ix.save(ix.CorpusIndex(index.documents, index, None), str(tmp_path / "index"))
