@@ -69,7 +69,7 @@ def misfiled(documents: DataFrame) -> DataFrame:
     sizes, and DOMAINS bounds them.
     """
     texts = documents.select("doc_id", "domain", t.words(F.col("content")).alias("_words"))
-    counted = stage(texts.select("doc_id", "domain", lexical._tally("_words").alias("words")), "words")
+    counted = stage(lexical.with_lists(texts, "_words", "words", lexical.TALLY, kernels.tally), "words")
     each = counted.select("domain", F.inline("words"))
     model = stage(each.groupBy("term", "domain").agg(F.sum("tf").alias("n")), "model")
     stats = stage(model.groupBy("term").agg(F.sum("n").alias("total")), "totals")
@@ -142,12 +142,11 @@ GRAMS = T.ArrayType(T.StructType().add("gram", T.StringType()).add("tf", T.Integ
 def grams(texts: DataFrame, *keep: str, text: str = "content", size: int = GRAM) -> DataFrame:
     """(*keep, grams): the character sequences of each text's words, counted inside the row."""
 
-    @F.arrow_udf(GRAMS)
     def counted(words: pa.Array) -> pa.Array:
         return kernels.word_grams(words, size)
 
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))
-    return texts.select(*keep, counted(found).alias("grams"))
+    return lexical.with_lists(texts.select(*keep, found.alias("_words")), "_words", "grams", GRAMS, counted)
 
 
 def learn_profiles(labelled: DataFrame, label: str, text: str = "content", most: int = PROFILE_GRAMS) -> DataFrame:
@@ -201,8 +200,7 @@ def detect(texts: DataFrame, profiles: DataFrame, *keep: str, text: str = "conte
             weights[at[gram], place[name]] = weight
     sent = texts.sparkSession.sparkContext.broadcast((pa.array(known, pa.string()), weights, names))
 
-    @F.arrow_udf("string")
     def likeliest(grams: pa.Array) -> pa.Array:
         return kernels.likeliest(grams, *sent.value)
 
-    return grams(texts, *keep, text=text).select(*keep, likeliest("grams").alias("language"))
+    return lexical.with_lists(grams(texts, *keep, text=text), "grams", "language", T.StringType(), likeliest)

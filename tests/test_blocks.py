@@ -1,6 +1,7 @@
 """Searches over blocks against full scans, refreshed indexes against new ones, learned languages."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -223,3 +224,33 @@ def test_an_index_from_summaries_is_not_saved(spark, tmp_path):
     index = lexical.build_index(zipf(spark, 20), 30, summary=50)
     with pytest.raises(ValueError, match="refreshed"):
         ix.save(ix.CorpusIndex(index.documents, index, None), str(tmp_path / "index"))
+
+
+def test_lists_are_worked_on_in_parts(spark):
+    """A batch of many words takes the memory of a part of it, and gives the same rows."""
+    words = [f"w{i * i % 7919}" for i in range(1500)]
+    batch = pa.record_batch({"n": list(range(2000)), "words": pa.array([words[i % 90 :] if i % 7 else None for i in range(2000)])})
+    stop = pa.array(["w1"])
+
+    def made(lists):
+        return kernels.word_terms(lists, stop)
+
+    tracemalloc.start()
+    sizes = [found.num_rows for found in kernels.mapped_lists([batch], "words", "terms", made)]
+    bounded = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    whole = made(batch.column("words"))
+    assert bounded < tracemalloc.get_traced_memory()[1] / 4
+    tracemalloc.stop()
+    assert sum(sizes) == 2000 and len(sizes) > 8
+    found = pa.Table.from_batches(list(kernels.mapped_lists([batch], "words", "terms", made)))
+    assert found.column("n").to_pylist() == list(range(2000))
+    as_sets = lambda rows: [{(x["term"], x["tf"]) for x in row} for row in rows.to_pylist()]
+    assert as_sets(found.column("terms").slice(0, 300)) == as_sets(whole.slice(0, 300))
+
+
+def test_parts_of_lists():
+    lists = pa.array([[1] * 3, None, [], [1] * 9, [1], [1] * 2])
+    assert list(kernels.list_parts(lists, 4)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(kernels.list_parts(lists.slice(3), 100)) == [(0, 3)]
+    assert list(kernels.list_parts(lists.slice(0, 0), 4)) == []
