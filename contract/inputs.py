@@ -5,9 +5,11 @@ The same texts are used by the queries and by the SQL they are checked with.
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from deskloom import fixed
+from deskloom import fixed, kernels
 from deskloom.functions import text as t
 from deskloom.sources import corpus, tickets as src
 
@@ -237,14 +239,26 @@ def queries(spark: SparkSession, sf: str, with_domain: bool = True) -> DataFrame
     )
 
 
+def placed(vocab: DataFrame) -> DataFrame:
+    """A vocabulary whose terms are the places, of 64, that their md5 names."""
+    place = F.conv(F.substring(F.md5(F.encode("term", "UTF-8")), 1, 4), 16, 10).cast("int") % 64
+    return vocab.withColumn("term", place)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _vector(cells: pa.Array) -> pa.Array:
+    values, row, n = kernels.flat_lists(cells)
+    out = np.zeros((n, 64))
+    out[row, values.field("place").to_numpy(zero_copy_only=False)] = values.field("weight").to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 64), pa.array(out.ravel()))
+
+
 def hashed(weights: DataFrame, *key: str) -> DataFrame:
-    """Vectors of 64 places from weights (*key, term, weight): each term adds to
-    the place its md5 names."""
-    place = (F.conv(F.substring(F.md5(F.encode("term", "UTF-8")), 1, 4), 16, 10).cast("int") % 64).alias("place")
-    summed = weights.groupBy(*key, place).agg(F.sum("weight").alias("weight"))
-    cells = summed.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("cells"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.coalesce(F.try_element_at("cells", p), F.lit(0.0)))
-    return cells.select(*key, value.alias("embedding"))
+    """Vectors of 64 places from weights (*key, term, weight) by a placed
+    vocabulary: each term adds to its place."""
+    summed = weights.groupBy(*key, F.col("term").alias("place")).agg(F.sum("weight").alias("weight"))
+    cells = summed.groupBy(*key).agg(F.collect_list(F.struct("place", "weight")).alias("cells"))
+    return cells.select(*key, _vector("cells").alias("embedding"))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -407,9 +407,10 @@ def chunk_topk_dense(spark, sf):
     chunks = stage(chunking.chunk(spread(docs, "doc_id").select("doc_id", "content")), "chunks")
     counted = lexical.terms(chunks, "doc_id", "chunk_no", text="chunk")
     weights = lexical.weigh(counted, index.vocab, "doc_id", "chunk_no")
-    chunk_vectors = i.hashed(lexical.term_weights(weights, index.vocab, "doc_id", "chunk_no"), "doc_id", "chunk_no")
+    places = i.placed(index.vocab)
+    chunk_vectors = i.hashed(lexical.term_weights(weights, places, "doc_id", "chunk_no"), "doc_id", "chunk_no")
     asked = lexical.query_weights(i.queries(spark, sf), index.vocab)
-    query_vectors = i.hashed(lexical.term_weights(asked, index.vocab, "query_id"), "query_id")
+    query_vectors = i.hashed(lexical.term_weights(asked, places, "query_id"), "query_id")
     rank = chunking.rank_chunks_dense(chunk_hits(spark, sf), chunk_vectors, query_vectors)
     best = chunking.best_chunks(rank)
     return best.select("query_id", "doc_id", "chunk_no", F.round("similarity", 6).alias("similarity"), "place")
