@@ -204,6 +204,16 @@ def injection_scores(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("ticket_id", parts[0].alias("label"), parts[1].cast("double").alias("score"))
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """Texts (domain, topic, page, text) as one file each, in as many tasks as a
+    shuffle makes, however small the table: a file takes its time whatever its size.
+    The tasks move their files to their place, not the driver one after the other;
+    the folder is new and read only after the whole write, so nobody sees a part of it."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    moved = "mapreduce.fileoutputcommitter.algorithm.version"
+    rows.repartition(tasks, "page").write.option(moved, "2").partitionBy("domain", "topic", "page").text(root)
+
+
 # Parameters whose description lists their values.
 DESCRIBED = {"method": "Way to verify: 'email', 'app', 'call'", "action": "What to change: 'up', 'down'"}
 

@@ -709,7 +709,7 @@ def corpus_files(spark, sf):
     root = f"{new_folder(spark, 'corpus')}/topic=src0"
     docs = i.table(spark, sf, "documents").withColumnsRenamed({"lang": "domain", "source": "topic"})
     rows = docs.select("domain", "topic", F.col("doc_id").alias("page"), "text")
-    rows.write.partitionBy("domain", "topic", "page").text(root)
+    i.write_files(rows, root)
     back = corpus.read_corpus(spark, root, pattern="*.txt")
     # A path ends in the part's name, which only the run knows; a folder holds one file.
     return order.placed(back, "doc_id").select("place", "domain", "topic", "subtopic", "content", "content_hash")
@@ -725,7 +725,7 @@ def broken_files(spark, sf):
     pieces = [F.lit(b"\xff"), F.substring("text", F.lit(1), cut).cast("binary"), F.lit(b"\xe2\x82 \xed\xa0\x80"),
               F.substring("text", cut + 1, F.length("text")).cast("binary"), F.lit(b"\xc3")]
     rows = docs.select("domain", "topic", F.col("doc_id").alias("page"), F.concat(*pieces).cast("string").alias("text"))
-    rows.write.partitionBy("domain", "topic", "page").text(root)
+    i.write_files(rows, root)
     back = corpus.read_corpus(spark, root, pattern="*.txt")
     return back.select("subtopic", F.regexp_replace("content", " ", "_").alias("content"))
 
