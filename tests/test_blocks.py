@@ -254,3 +254,9 @@ def test_parts_of_lists():
     assert list(kernels.list_parts(lists, 4)) == [(0, 3), (3, 4), (4, 6)]
     assert list(kernels.list_parts(lists.slice(3), 100)) == [(0, 3)]
     assert list(kernels.list_parts(lists.slice(0, 0), 4)) == []
+
+
+def test_dot_of_nothing_in_common():
+    one, two = (pa.array([[{"slot": slot, "weight": 1.0}]]) for slot in (1, 2))
+    assert kernels.sparse_dot(one, two).to_pylist() == [0.0]
+    assert kernels.sparse_dot(one.slice(0, 0), two.slice(0, 0)).to_pylist() == []
