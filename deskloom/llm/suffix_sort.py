@@ -199,7 +199,7 @@ def packed(documents: DataFrame) -> DataFrame:
     return documents.select("id", "key", "text").mapInArrow(run, "id long, key long, packed binary")
 
 
-CUT = "gram long, context long, shape int, n long, body binary"
+CUT = "gram long, context long, shape int, n long, crowded boolean, body binary"
 
 
 def contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 body = unpack.decompress(text)
                 for p in places:
                     part = body[p["first"] : p["first"] + (p["shape"] >> 8) + LENGTH]
-                    rows.append((p["gram"], p["context"], p["shape"], p["n"], part))
+                    rows.append((p["gram"], p["context"], p["shape"], p["n"], p["crowded"], part))
                     size += len(part)
                 if size > 8_000_000:
                     yield table(rows)
@@ -223,11 +223,11 @@ def contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield table(rows)
 
     def table(rows: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["gram", "context", "shape", "n", "body"])
+        return pa.RecordBatch.from_arrays(columns, ["gram", "context", "shape", "n", "crowded", "body"])
 
-    place = F.struct("first", "gram", "context", "shape", "n")
+    place = F.struct("first", "gram", "context", "shape", "n", "crowded")
     places = wanted.groupBy("id", "key").agg(F.collect_list(place).alias("places"))
     joined = packed(documents).alias("d").join(
         places.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.key") == F.col("p.key"))
@@ -537,12 +537,14 @@ def spans(documents: DataFrame) -> DataFrame:
     copied = kinds.filter("n > 1").select(
         "gram", "context", "shape", F.lit(0).alias("low"), F.shiftright("shape", 8).alias("high")
     )
-    wanted = kinds.join(several, "gram")
+    wanted = kinds.join(several, "gram").withColumn("crowded", F.col("kinds") > RUN)
+    # Cut once for both ways of comparing, as all texts are shuffled for it.
+    cut = common.stage(contexts(documents, wanted), "suffix-cut")
     # Where every context of an anchor is copied there is nothing left to find.
-    found = copied.union(meet(contexts(documents, wanted.filter(F.col("kinds") <= RUN))))
-    crowded = wanted.filter(F.col("kinds") > RUN)
-    if not several.filter(F.col("kinds") > RUN).isEmpty():
-        found = found.union(count(contexts(documents, crowded).dropDuplicates(["gram", "context", "shape"])))
+    found = copied.union(meet(cut.filter("not crowded").drop("crowded")))
+    crowded = cut.filter("crowded").drop("crowded")
+    if not crowded.isEmpty():
+        found = found.union(count(crowded.dropDuplicates(["gram", "context", "shape"])))
     found = common.stage(found, "suffix-found")
     hit = placed.join(found, ["gram", "context", "shape"])
     span = F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + LENGTH).alias("stop"))

@@ -136,6 +136,19 @@ def test_repeated_passages(run, docs, query, monkeypatch):
         assert tuple(found[i][1:]) == want, i
 
 
+def test_texts_travel_once_for_both_kinds_of_anchors(docs, query, monkeypatch):
+    """Texts are compressed for a shuffle to cut contexts and for the result, not again for crowded anchors."""
+    shuffled, packed = [], suffix_sort.packed
+    monkeypatch.setattr(suffix_sort, "RUN", 2)
+    monkeypatch.setattr(suffix_sort, "packed", lambda documents: shuffled.append(1) or packed(documents))
+    shared = prose(7, 60)
+    texts = [prose(i, 30) + " " + shared + " " + prose(50 + i, 30) for i in range(6)]
+    texts += [prose(80 + i, 30) + " " + prose(8, 60) + " " + prose(90 + i, 30) for i in range(2)]
+    found = {row["doc_id"]: row for row in query("op2_suffix_sort", documents=docs(texts))}
+    assert [tuple(found[i][1:]) for i in range(len(texts))] == removed(texts)
+    assert len(shuffled) == 2
+
+
 def test_long_text_crosses_segments(docs, query, monkeypatch):
     monkeypatch.setattr(suffix_sort, "SEGMENT", 1 << 11)
     texts = [prose(1, 900), prose(2, 400) + prose(1, 900)[2000:4500], prose(3, 20)]
