@@ -157,6 +157,21 @@ def parts(batches, lists, values=None):
             yield batch.slice(first, last - first)
 
 
+def looked_up(batches, lists, known):
+    """Parts of batches, each with the places of its terms among the known ones, null for others.
+
+    A look-up makes a table of all known terms, so it is for as many values as there
+    are known terms; what it gives is small, and all else is made of a part.
+    """
+    for batch in parts(batches, lists, max(PART_VALUES, len(known))):
+        at = pc.index_in(batch.column(lists).flatten().field("term"), value_set=known)
+        done = 0
+        for part in parts([batch], lists):
+            size = len(part.column(lists).flatten())
+            yield part, at.slice(done, size)
+            done += size
+
+
 def mapped_lists(batches, lists, name, made, values=None):
     """Batches with one list column replaced by what made gives for it, a part at a time."""
     for part in parts(batches, lists, values):
@@ -519,11 +534,9 @@ def best_domain(batches, base, head, tile=DOMAIN_TILE):
     """
     known, gains = head
     step = max(1, TILE_PRODUCTS // tile)  # words looked up at once
-    # A look-up makes a table of the head each time.
-    for batch in parts(batches, "words", max(PART_VALUES, len(known))):
+    for batch, at in looked_up(batches, "words", known):
         values, row, n = flat_lists(batch.column("words"))
         tf = values.field("tf").to_numpy(zero_copy_only=False).astype(float)
-        at = pc.index_in(values.field("term"), value_set=known)
         inside = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
         place = at.drop_null().to_numpy(zero_copy_only=False)
         length = np.bincount(row, tf, n)

@@ -260,3 +260,28 @@ def test_dot_of_nothing_in_common():
     one, two = (pa.array([[{"slot": slot, "weight": 1.0}]]) for slot in (1, 2))
     assert kernels.sparse_dot(one, two).to_pylist() == [0.0]
     assert kernels.sparse_dot(one.slice(0, 0), two.slice(0, 0)).to_pylist() == []
+
+
+def test_a_large_head_takes_the_memory_of_a_part(monkeypatch):
+    """Words are judged a part at a time however many known terms there are, and the result is the same."""
+    pick = np.random.default_rng(3)
+    known, gains = pa.array([f"word{i}" for i in range(50_000)]), pick.random((50_000, 2))
+    rows = [[{"term": f"word{w}", "tf": 1 + w % 3} for w in own] for own in pick.integers(0, 60_000, (400, 100)).tolist()]
+    rows[7], rows[8] = None, []
+    words = pa.array(rows, pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))
+    tail = pa.array([[]] * 400, pa.list_(pa.struct([("place", pa.int64()), ("gain", pa.float64())])))
+    domains = pa.array(["a", "b"] * 200)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), domains, words, tail], ["doc_id", "domain", "words", "tail"])
+
+    def judged(values):
+        monkeypatch.setattr(kernels, "PART_VALUES", values)
+        tracemalloc.start()
+        found = [part.column("_best").to_pylist() for part in kernels.best_domain([batch], np.array([3.0, 3.1]), (known, gains))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return sum(found, []), peak
+
+    whole, most = judged(100_000)
+    found, bounded = judged(1_000)
+    assert found == whole
+    assert bounded < most / 4
