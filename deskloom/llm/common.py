@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskloom.session import stage
 
-__all__ = ["read", "rows", "sampled", "share", "small", "stage", "unpacked"]
+__all__ = ["parts", "read", "rows", "sampled", "share", "small", "stage", "unpacked"]
 
 ROWS = 500  # texts unpacked at once
+PART_BYTES = 4_000_000  # bytes of text worked on at once
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -39,6 +42,19 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield part, part.column("text").cast(pa.binary()).to_pylist()
 
 
+def parts(batches: Iterator[pa.RecordBatch], size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose texts have at most so many bytes together, or one longer text."""
+    for batch in batches:
+        length = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(length, dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def share(df: DataFrame, key: str, bound: int, seed: int = 17) -> Column:
     """Predicate that keeps about `bound` rows, chosen by a hash of the key.
 

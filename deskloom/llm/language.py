@@ -34,7 +34,8 @@ VOCABULARY = 40_000  # words kept per language
 LANGUAGES = 200  # languages a model may have
 SWITCH = 6.0  # cost of changing the language, in nats
 FLOOR = -9.0  # lowest score of a word for a language
-CACHE = 400_000  # words a worker remembers between batches
+CACHE = 400_000  # words a worker remembers between parts of batches
+SPAN = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
 
 # First and last code point of the letters of a script.
 SCRIPTS = {
@@ -104,7 +105,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in common.parts(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 found.update((lang, word) for word in WORD.findall(text.lower()))
             yield counted(found)
@@ -226,6 +227,41 @@ def viterbi(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, scores: np
     return labels
 
 
+def labelled(batches: Iterator[pa.RecordBatch], fitted: Model, switch: float, spans: bool) -> Iterator[pa.RecordBatch]:
+    """What predict returns, for batches of (id, text).
+
+    The arrays of a part are many times the size of its texts, so a batch is cut.
+    """
+    known = Scored(fitted)
+    for batch in common.parts(batches):
+        if len(known) > CACHE:
+            known = Scored(fitted)
+        lookup = known.__getitem__
+        found = [
+            np.fromiter(map(lookup, WORD.findall(text.lower())), np.int32) for text in batch.column("text").to_pylist()
+        ] if fitted.languages else [np.zeros(0, np.int32) for _ in range(batch.num_rows)]
+        sizes = np.array([len(words) for words in found], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(sizes[order])[:-1]]).astype(np.int64)
+        words = np.concatenate([found[i] for i in order])
+        labels = viterbi(words, starts, sizes[order], known.scores, switch)
+        letters, spoken = known.letters[words], known.spoken[words]
+        out = [None] * len(order)
+        for place, i in enumerate(order):
+            own = slice(int(starts[place]), int(starts[place] + sizes[i]))
+            out[i] = summary(labels[own], letters[own], spoken[own], fitted, spans)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("id"),
+                pa.array([x[0] for x in out], pa.string()),
+                pa.array([x[1] for x in out], pa.float64()),
+                pa.array([x[2] for x in out], pa.int32()),
+                pa.array([x[3] for x in out], pa.list_(SPAN)),
+            ],
+            ["id", "lang_pred", "score", "n_spans", "spans"],
+        )
+
+
 def predict(documents: DataFrame, fitted: Model, switch: float = SWITCH, spans: bool = True) -> DataFrame:
     """(id, lang_pred, score, n_spans, spans) for every row (id, text).
 
@@ -233,41 +269,8 @@ def predict(documents: DataFrame, fitted: Model, switch: float = SWITCH, spans:
     of all letters. A span is (first word, number of words, language).
     """
     ship = documents.sparkSession.sparkContext.broadcast(fitted)
-    span = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Scored(ship.value)
-        names = ship.value.languages
-        for batch in batches:
-            if len(known) > CACHE:
-                known = Scored(ship.value)
-            lookup = known.__getitem__
-            found = [
-                np.fromiter(map(lookup, WORD.findall(text.lower())), np.int32) for text in batch.column("text").to_pylist()
-            ] if names else [np.zeros(0, np.int32) for _ in range(batch.num_rows)]
-            sizes = np.array([len(words) for words in found], np.int64)
-            order = np.argsort(-sizes, kind="stable")
-            starts = np.concatenate([[0], np.cumsum(sizes[order])[:-1]]).astype(np.int64) if len(order) else sizes
-            words = np.concatenate([found[i] for i in order]) if len(order) else np.zeros(0, np.int32)
-            labels = viterbi(words, starts, sizes[order], known.scores, switch)
-            letters, spoken = known.letters[words], known.spoken[words]
-            out = [None] * len(order)
-            for place, i in enumerate(order):
-                own = slice(int(starts[place]), int(starts[place] + sizes[i]))
-                out[i] = summary(labels[own], letters[own], spoken[own], ship.value, spans)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array([x[0] for x in out], pa.string()),
-                    pa.array([x[1] for x in out], pa.float64()),
-                    pa.array([x[2] for x in out], pa.int32()),
-                    pa.array([x[3] for x in out], pa.list_(span)),
-                ],
-                ["id", "lang_pred", "score", "n_spans", "spans"],
-            )
-
     return documents.select("id", "text").mapInArrow(
-        label,
+        lambda batches: labelled(batches, ship.value, switch, spans),
         "id long, lang_pred string, score double, n_spans int, spans array<struct<first: int, words: int, lang: string>>",
     )
 

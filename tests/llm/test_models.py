@@ -4,6 +4,7 @@ import random
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from deskloom.llm import common, language, licenses, toxicity
@@ -58,6 +59,22 @@ def test_documents_advance_together_as_alone(fitted):
         assert together[start : start + size].tolist() == alone.tolist()
 
 
+def test_batches_are_labelled_in_parts_of_bounded_text(fitted, monkeypatch):
+    texts = [spoken(lang, i, n) for i, (lang, n) in enumerate([("en", 30), ("ru", 90), ("de", 5), ("en", 400), ("de", 40)])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([*texts, "", "12 _"])], ["id", "text"])
+    [whole] = language.labelled([batch], fitted, language.SWITCH, True)
+    met, plain = [], language.viterbi
+    monkeypatch.setattr(common.parts, "__defaults__", (1000,))
+    monkeypatch.setattr(language, "viterbi", lambda words, *rest: met.append(len(words)) or plain(words, *rest))
+    found = list(language.labelled([batch.slice(0, 0), batch], fitted, language.SWITCH, True))
+    assert pa.Table.from_batches(found).to_pylist() == whole.to_pylist()
+    assert sum(met) == sum(len(text.split()) for text in texts)
+    sizes = [len(text.encode()) for text in batch.column("text").to_pylist()]
+    for part in found:
+        own = sizes[part.column("id")[0].as_py() :][: part.num_rows]
+        assert len(own) == 1 or sum(own) <= 1000
+
+
 def test_spans_of_mixed_text(spark, fitted, docs):
     mixed = f"{spoken('en', 1, 30)} {spoken('ru', 2, 50)} {spoken('de', 3, 20)}"
     row = language.predict(common.rows(docs([mixed])), fitted).first()
