@@ -1,13 +1,14 @@
 """Licence families of the paragraphs of a text, with Spark's own functions only.
 
 Every paragraph (line) is read as windows of words. Hashed word unigrams and
-bigrams go into a multinomial logistic regression over the licence families and
-`unknown`, trained here: on the notices below, cut, thinned and set between
-words of the corpus, and on paragraphs of the corpus and look-alikes as
-`unknown`. A part of the corpus sample is left out of training and sets the
-least probability at which a family counts, so that `unknown` is calibrated to
-this corpus. A prediction is confirmed by comparison with the family's notices:
-the share of a notice's bigrams that the window has.
+bigrams, those that some notice has, go into a multinomial logistic regression
+over the licence families and `unknown`, trained here: on the notices below,
+cut, thinned and set between words of the corpus, and on look-alikes and two
+thirds of all windows of the corpus as `unknown`. The other third sets the least
+probability at which a family counts, so that `unknown` is calibrated to this
+corpus. Windows with the same n-grams are one weighted example, so no window is
+left out and few rows are kept. A prediction is confirmed by comparison with the
+family's notices: the share of a notice's bigrams that the window has.
 
 Cases: null and empty texts and paragraphs without a word have no window and no
 family. A paragraph may name several families; each is reported. Repeated rows
@@ -23,13 +24,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskloom import fixed
+
 from . import common
 
 UNKNOWN = "unknown"
 FEATURES = 1 << 14  # hashed n-grams
 WINDOW, STEP = 32, 16  # words
-SAMPLE = 4_000  # paragraphs of the corpus that training and calibration see, about
-ALARM = 0.999  # share of calibration paragraphs that must stay below the least probability
+BALANCE = 4.0  # weight of all windows of the corpus, for 1 of the notices' examples
+FILLERS = 12  # texts of the corpus that notices are set between
+BINS = 10_000  # of probabilities, for calibration
+ALARM = 0.999  # share of calibration windows that must stay below the least probability
 SIMILAR = 0.6  # share of a notice's bigrams that confirms a family
 
 # Public licence notices by family.
@@ -145,22 +150,62 @@ def notices(spark: SparkSession) -> DataFrame:
     return local(spark, rows).select("family", words(F.col("text")).alias("words"))
 
 
-def windows(documents: DataFrame) -> DataFrame:
-    """(id, paragraph, first, words): every paragraph as windows of words that overlap by half."""
-    lines = documents.select("id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    split = lines.select("id", "paragraph", words(F.col("line")).alias("all")).filter(F.size("all") > 0)
+def terms(spark: SparkSession) -> list[str]:
+    """The n-grams that tell families: words and word pairs of the notices, but no lone stop word."""
+    paired = NGram(n=2, inputCol="words", outputCol="pairs").transform(notices(spark))
+    rows = paired.select(F.explode(F.concat("words", "pairs")).alias("term")).distinct().collect()
+    return sorted({row["term"] for row in rows} - set(fixed.STOP_WORDS))
+
+
+def known(grams: Column, among: list[str]) -> Column:
+    """The n-grams, null where they aren't among the given ones."""
+    return F.transform(grams, lambda gram: F.when(gram.isin(among), gram))
+
+
+def pairs(all_words: str) -> Column:
+    """Pairs of neighbouring words; the last word has none and gives null."""
+    after = F.slice(all_words, 2, F.size(all_words))
+    return F.zip_with(all_words, after, lambda word, following: F.concat(word, F.lit(" "), following))
+
+
+def grams(own_words: Column, own_pairs: Column) -> Column:
+    """The different n-grams of words and pairs that aren't null, in order."""
+    return F.sort_array(F.array_distinct(F.array_compact(F.concat(own_words, own_pairs))))
+
+
+def windows(documents: DataFrame, among: list[str] | None = None) -> DataFrame:
+    """(id, paragraph, first, words): every paragraph as windows of words that overlap by half.
+
+    With n-grams given, `grams` has those of them that a window has.
+    """
+    # Outer explodes and single steps: otherwise Spark works out the words several times.
+    lines = documents.select("id", F.posexplode_outer(F.split("text", "\n")).alias("paragraph", "line"))
+    split = lines.select("id", "paragraph", words(F.col("line")).alias("all"))
     many = F.greatest(F.lit(0), F.ceil((F.size("all") - WINDOW) / STEP)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), many), lambda i: i * STEP)
-    each = split.select("id", "paragraph", "all", F.explode(starts).alias("first"))
-    return each.select("id", "paragraph", "first", F.slice("all", F.col("first") + 1, WINDOW).alias("words"))
+    starts = F.when(F.size("all") > 0, F.transform(F.sequence(F.lit(0), many), lambda i: i * STEP))
+    # Looked up once a line, as each word is in two windows.
+    looked = [] if among is None else [known(F.col("all"), among).alias("one"), known(pairs("all"), among).alias("two")]
+    each = split.select("*", starts.alias("starts"), *looked)
+    each = each.select("*", F.explode_outer("starts").alias("first")).filter("first IS NOT NULL")
+    cut = lambda name, size: F.slice(name, F.col("first") + 1, size)
+    own = [] if among is None else [grams(cut("one", WINDOW), cut("two", WINDOW - 1)).alias("grams")]
+    return each.select("id", "paragraph", "first", cut("all", WINDOW).alias("words"), *own)
+
+
+def read(documents: DataFrame) -> DataFrame:
+    """(id, paragraph, first, grams) of every window, written: fit and scan both use it."""
+    found = windows(documents, terms(documents.sparkSession)).select("id", "paragraph", "first", "grams")
+    return common.stage(found, "licence-windows")
+
+
+def with_grams(df: DataFrame, among: list[str]) -> DataFrame:
+    """Adds `grams` for the column `words`."""
+    return df.withColumn("grams", grams(known(F.col("words"), among), known(pairs("words"), among)))
 
 
 def features(df: DataFrame) -> DataFrame:
-    """Adds `bigrams` and the hashed `features` of the column `words`."""
-    paired = NGram(n=2, inputCol="words", outputCol="bigrams").transform(df)
-    joined = paired.withColumn("grams", F.concat("words", "bigrams"))
-    hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(joined)
-    return hashed.drop("grams")
+    """Adds the hashed `features` of the column `grams`."""
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(df)
 
 
 def positives(spark: SparkSession, fillers: DataFrame) -> DataFrame:
@@ -171,8 +216,8 @@ def positives(spark: SparkSession, fillers: DataFrame) -> DataFrame:
         "words", lambda word, i: (F.pmod(F.xxhash64(word, i, "seed"), F.lit(12)) > 0) | (F.col("seed") == 0)
     )
     made = seed.select("family", "seed", thinned.alias("words"))
-    around = fillers.filter("turn < 12").select("turn", F.slice("words", 1, 24).alias("filler"))
-    number = F.pmod(F.xxhash64("words", "seed"), F.lit(12)).cast("int")
+    around = fillers.select("turn", F.slice("words", 1, 24).alias("filler"))
+    number = F.pmod(F.xxhash64("words", "seed"), F.lit(FILLERS)).cast("int")
     # One filler per row, found by its number: a join of two bounded tables.
     set_in = made.withColumn("turn", number).join(around, "turn")
     before = F.slice("filler", 1, F.col("seed") * 2 + 1)
@@ -182,13 +227,13 @@ def positives(spark: SparkSession, fillers: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """The fitted regression, its classes, and the least probability of a family."""
+    """The fitted regression, its classes and n-grams, and the least probability of a family."""
 
-    def __init__(self, fitted: LogisticRegressionModel, classes: list[str], least: float):
-        self.fitted, self.classes, self.least = fitted, classes, least
+    def __init__(self, fitted: LogisticRegressionModel, classes: list[str], among: list[str], least: float):
+        self.fitted, self.classes, self.among, self.least = fitted, classes, among, least
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Adds `family` and `probability` of the likeliest family, without regard to `least`."""
+        """Adds `family` and `probability` of the likeliest family by `grams`, without regard to `least`."""
         scored = self.fitted.transform(features(df))
         chances = vector_to_array("probability")
         known = F.slice(chances, 2, len(self.classes) - 1)
@@ -200,39 +245,70 @@ class Classifier:
         return dropped.withColumnRenamed("chance", "probability")
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Classifier for a corpus of rows (id, text).
+def counted(looked: DataFrame) -> DataFrame:
+    """(kept_out, grams, n): how many of the windows that read gives have the same n-grams.
 
-    `unknown` is learned from about `sample` paragraphs, chosen by a hash; ones
-    that are much like a notice are left out.
+    A third of the windows, chosen by a hash, is kept out of training. Windows that are
+    much like a notice don't count.
     """
-    spark = documents.sparkSession
-    ids = common.sampled(documents.select("id").filter("id is not null").distinct(), "id", sample // 4)
-    chosen = documents.join(F.broadcast(ids), "id", "left_semi")
-    lines = windows(chosen)
     place = F.xxhash64("id", "paragraph", "first")
-    every = F.concat(*bigrams(spark).values())
-    sampled = features(lines).filter(similarity(every) < 0.3).select("words", place.alias("place"))
-    sampled = sampled.orderBy("place").limit(sample)
-    sampled = common.stage(
-        sampled.select("words", F.pmod("place", F.lit(3)).alias("fold"), F.pmod("place", F.lit(1009)).alias("turn")),
-        "licence-sample",
-    )
-    fillers = sampled.groupBy("turn").agg(F.min("words").alias("words"))
+    each = looked.select((F.pmod(place, F.lit(3)) == 0).alias("kept_out"), "grams")
+    found = common.stage(each.groupBy("kept_out", "grams").agg(F.count("*").alias("n")), "licence-counts")
+    every = F.concat(*bigrams(looked.sparkSession).values())
+    return found.filter(similarity(every) < 0.3)
+
+
+def fillers(documents: DataFrame, among: list[str]) -> DataFrame:
+    """(turn, words): windows of the corpus to set notices between, a few by a hash of the id."""
+    turn = F.pmod(F.xxhash64("id"), F.lit(1009)).cast("int")
+    picked = windows(documents.filter(turn < FILLERS), among).select(turn.alias("turn"), "words", "grams")
+    every = F.concat(*bigrams(documents.sparkSession).values())
+    plain = common.stage(picked, "licence-fillers").filter(similarity(every) < 0.3)
+    return plain.groupBy("turn").agg(F.min("words").alias("words"))
+
+
+def fit(documents: DataFrame, looked: DataFrame | None = None) -> Classifier:
+    """Classifier for a corpus of rows (id, text); looked: what read gives for it, if there already.
+
+    `unknown` is learned from two thirds of all windows, and the least probability is set on
+    the others; windows that are much like a notice are left out.
+    """
+    spark = documents.sparkSession
+    among = terms(spark)
+    plain = counted(read(documents) if looked is None else looked)
+    examples = with_grams(positives(spark, fillers(documents, among)), among).select("family", "grams")
+    examples = common.stage(examples, "licence-examples")
     other = local(spark, [(UNKNOWN, text) for text in LOOKALIKES]).select("family", words(F.col("text")).alias("words"))
-    other = other.union(sampled.filter("fold > 0").select(F.lit(UNKNOWN), "words"))
+    other = examples.union(with_grams(other, among).select("family", "grams")).withColumn("weight", F.lit(1.0))
+    learned = plain.filter("NOT kept_out")
+    total = learned.agg(F.sum("n")).first()[0] or 1
+    weight = F.col("n") * F.lit(BALANCE * examples.count() / total)
     classes = [UNKNOWN, *sorted(NOTICES)]
     number = F.array_position(F.array(*[F.lit(name) for name in classes]), F.col("family")) - 1
-    rows = features(positives(spark, fillers).union(other)).select("features", number.cast("double").alias("label"))
+    rows = other.union(learned.select(F.lit(UNKNOWN).alias("family"), "grams", weight.alias("weight")))
+    rows = features(rows).select("features", number.cast("double").alias("label"), "weight")
     rows = common.stage(rows, "licence-training")
-    fitted = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False).fit(rows)
-    model = Classifier(fitted, classes, 0.5)
-    left = model.predict(sampled.filter("fold = 0").select("words"))
-    high = left.agg(F.percentile_approx("probability", ALARM, 10_000)).first()[0]
-    model.least = min(max(0.5, high or 0.0), 0.95)
+    fitted = LogisticRegression(
+        family="multinomial", regParam=1e-3, maxIter=60, standardization=False, weightCol="weight"
+    ).fit(rows)
+    model = Classifier(fitted, classes, among, 0.5)
+    model.least = least_probability(model.predict(plain.filter("kept_out")))
     return model
 
 
+def least_probability(predicted: DataFrame) -> float:
+    """The least probability of a family, by how many windows (n) have which `probability`."""
+    bin_of = F.floor(F.col("probability") * BINS)
+    bins = predicted.groupBy(bin_of.alias("bin")).agg(F.max("probability").alias("most"), F.sum("n").alias("n"))
+    rows = bins.orderBy("bin").collect()  # BINS + 1 at most
+    reached, bound = 0, ALARM * sum(row["n"] for row in rows)
+    for row in rows:
+        reached += row["n"]
+        if reached >= bound:
+            return min(max(0.5, row["most"]), 0.95)
+    return 0.5
+
+
 def bigrams(spark: SparkSession) -> dict[str, Column]:
     """Per family, the bigrams of each of its notices, as constants."""
     paired = NGram(n=2, inputCol="words", outputCol="own").transform(notices(spark))
@@ -243,18 +319,23 @@ def bigrams(spark: SparkSession) -> dict[str, Column]:
 
 def similarity(known: Column) -> Column:
     """The largest share of any notice's bigrams that the window has."""
-    shares = F.transform(known, lambda own: F.size(F.array_intersect(own, "bigrams")) / F.size(own))
+    shares = F.transform(known, lambda own: F.size(F.array_intersect(own, "grams")) / F.size(own))
     return F.round(F.array_max(shares), 6)
 
 
-def scan(documents: DataFrame, model: Classifier) -> DataFrame:
-    """(id, paragraph, first, family, probability, similarity, confirmed) of the windows of a family."""
-    spark = documents.sparkSession
-    found = model.predict(windows(documents)).filter(F.col("probability") >= model.least)
-    known = bigrams(spark)
-    pairs = [part for name, own in known.items() for part in (F.lit(name), own)]
+def scan(documents: DataFrame, model: Classifier, looked: DataFrame | None = None) -> DataFrame:
+    """(id, paragraph, first, family, probability, similarity, confirmed) of the windows of a family.
+
+    Windows with the same n-grams have one prediction, so different n-grams are predicted once.
+    """
+    looked = read(documents) if looked is None else looked
+    different = common.stage(looked.select("grams").distinct(), "licence-grams")
+    judged = common.stage(model.predict(different).select("grams", "family", "probability"), "licence-families")
+    constants = bigrams(documents.sparkSession)
+    pairs = [part for name, own in constants.items() for part in (F.lit(name), own)]
     near = similarity(F.element_at(F.create_map(*pairs), F.col("family")))
-    return found.withColumn("similarity", near).select(
+    found = judged.filter(F.col("probability") >= model.least).withColumn("similarity", near)
+    return looked.join(found, "grams").select(
         "id",
         "paragraph",
         "first",

@@ -17,7 +17,8 @@ def held_out(key: str, parts: int, rest: int):
 
 def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     documents = common.rows(common.read(spark, folder, "documents"))
-    found = licenses.scan(documents, licenses.fit(documents)).filter("confirmed")
+    looked = licenses.read(documents)
+    found = licenses.scan(documents, licenses.fit(documents, looked), looked).filter("confirmed")
     each = found.groupBy("id", "family").agg(
         F.max("probability").alias("probability"),
         F.max("similarity").alias("similarity"),

@@ -197,3 +197,20 @@ def test_windows_cover_every_word(spark):
     seen = {row["first"] + i for row in rows if row["paragraph"] == 0 for i in range(len(row["words"]))}
     assert seen == set(range(100)) and {row["paragraph"] for row in rows} == {0, 3}
     assert all(len(row["words"]) <= licenses.WINDOW for row in rows)
+
+
+def test_licences_learn_from_every_window(spark):
+    """No sample: all windows are counted, and ones that come once in many decide."""
+    texts = [prose(i, 40) for i in range(150)] + ["The city issues software license number 2 to any person."] * 50
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = licenses.counted(licenses.read(table)).collect()
+    assert sum(row["n"] for row in found) == licenses.windows(table).count() == 350
+    words = {tuple(row["grams"]) for row in found}
+    assert () in words and any("license" in grams for grams in words)
+
+
+def test_licence_threshold_sees_all_windows(spark):
+    rows = spark.createDataFrame([(0.1, 9_980), (0.7, 11), (0.8, 9)], "probability double, n long")
+    assert licenses.least_probability(rows) == 0.7
+    assert licenses.least_probability(rows.filter("n < 0")) == 0.5
+    assert licenses.least_probability(rows.filter("n = 9")) == 0.8
