@@ -4,6 +4,8 @@ The same texts are used by the queries and by the SQL they are checked with.
 """
 
 import json
+import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -204,14 +206,62 @@ def injection_scores(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("ticket_id", parts[0].alias("label"), parts[1].cast("double").alias("score"))
 
 
+# Signs that the name of a folder of Spark's writers cannot hold, by their numbers.
+_ESCAPED = {ord(c): f"%{ord(c):02X}" for c in "\"#%'*/:=?\\\x7f{[]^" + "".join(map(chr, range(1, 32)))}
+
+
 def write_files(rows: DataFrame, root: str) -> None:
     """Texts (domain, topic, page, text) as one file each, in as many tasks as a
     shuffle makes, however small the table: a file takes its time whatever its size.
-    The tasks move their files to their place, not the driver one after the other;
-    the folder is new and read only after the whole write, so nobody sees a part of it."""
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
-    moved = "mapreduce.fileoutputcommitter.algorithm.version"
-    rows.repartition(tasks, "page").write.option(moved, "2").partitionBy("domain", "topic", "page").text(root)
+
+    Folders and contents are those of Spark's text writer. That writer starts a
+    process for every file it makes on a local or mounted file system, which takes
+    longer than all the rest, so there the tasks write their files themselves.
+    Elsewhere it writes, and the tasks move their files to their place, not the
+    driver one after the other; the folder is new and read only after the whole
+    write, so nobody sees a part of it."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    scheme, folder = corpus.resolved(spark, root)
+    parted = rows.repartition(tasks, "page")
+    if scheme != "file":
+        moved = "mapreduce.fileoutputcommitter.algorithm.version"
+        parted.write.option(moved, "2").partitionBy("domain", "topic", "page").text(root)
+        return
+    parts = [F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("domain", "topic", "page")]
+    named = parted.select(*parts, F.col("text").cast("binary").alias("text"))
+    # The rows of a folder follow each other.
+    ordered = named.sortWithinPartitions("domain", "topic", "page")
+    written = ordered.mapInArrow(lambda batches: _write_texts(batches, folder), "files long")
+    written.write.format("noop").mode("overwrite").save()
+
+
+def _write_texts(batches, root: str):
+    """One file, domain=/topic=/page=, of the texts of each folder, a line each; gives how many there are.
+
+    A file gets its name when it is whole, so a task that runs again or twice leaves whole files."""
+    files, last, lines = 0, None, []
+
+    def close():
+        folder = os.path.join(root, *[f"{c}={'__HIVE_DEFAULT_PARTITION__' if v is None else v.translate(_ESCAPED)}" for c, v in last])
+        os.makedirs(folder, exist_ok=True)
+        part = os.path.join(folder, f"_{uuid.uuid4().hex}")
+        with open(part, "wb") as out:
+            out.writelines(lines)
+        os.replace(part, os.path.join(folder, "part.txt"))
+
+    for batch in batches:
+        names = [batch.column(c).to_pylist() for c in ("domain", "topic", "page")]
+        for *key, text in zip(*names, batch.column("text"), strict=True):
+            key = list(zip(("domain", "topic", "page"), key, strict=True))
+            if key != last:
+                if last is not None:
+                    close()
+                files, last, lines = files + 1, key, []
+            lines += [text.as_py() or b"", b"\n"]
+    if last is not None:
+        close()
+    yield pa.RecordBatch.from_arrays([pa.array([files])], ["files"])
 
 
 # Parameters whose description lists their values.

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from contract import inputs
 from deskloom.operators import manifest, quality
 from deskloom.sources import corpus
 
@@ -36,6 +37,40 @@ def test_read_corpus(spark, tmp_path):
     assert rows[0].mtime is not None
 
 
+def test_a_corpus_of_many_files_is_read_by_few_tasks(spark, tmp_path):
+    for n in range(300):
+        write(tmp_path / "data", f"acme/t/{n}/q.md", f"text {n}")
+    sizes = {"spark.sql.files.maxPartitionBytes": "4m", "spark.sql.files.openCostInBytes": "4m"}
+    before = {name: spark.conf.get(name) for name in sizes}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        rows = corpus.read_corpus(spark, str(tmp_path / "data"))
+        assert rows.select("content").distinct().count() == 300
+        assert rows.rdd.getNumPartitions() <= corpus.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert spark.conf.get(corpus.LISTING) == "10000"
+
+
+def test_files_are_those_of_sparks_writer(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("de", "s", 1, b"one"), ("de", "s", 10, b"ten\n"), ("de", "s", 2, None), (None, "", 3, b"\xff\xe2\x82 x"),
+         ("d e/=%#:ü", "[a]\\", None, b""), ("en", "s", 4, b"twice"), ("en", "s", 4, b"twice"), ("de", "s", -1, b"m")],
+        "domain string, topic string, page long, text binary",
+    ).withColumn("text", F.col("text").cast("string"))
+
+    def texts(root):
+        return sorted((str(f.parent.relative_to(root)), f.read_bytes()) for f in root.rglob("*.txt"))
+
+    rows.coalesce(1).write.partitionBy("domain", "topic", "page").text(str(tmp_path / "spark"))
+    inputs.write_files(rows, str(tmp_path / "own"))
+    assert texts(tmp_path / "own") == texts(tmp_path / "spark") and len(texts(tmp_path / "own")) == 7
+    # Nothing else is left there, and a file's name doesn't depend on the run.
+    assert {f.name for f in (tmp_path / "own").rglob("*") if f.is_file()} == {"part.txt"}
+
+
 def test_path_key_orders_by_parts(spark):
     paths = ["a-b/x.md", "a/y.md", "a/b/z.md"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
