@@ -711,8 +711,9 @@ def corpus_files(spark, sf):
     rows = docs.select("domain", "topic", F.col("doc_id").alias("page"), "text")
     i.write_files(rows, root)
     back = corpus.read_corpus(spark, root, pattern="*.txt")
-    # A path ends in the part's name, which only the run knows; a folder holds one file.
-    return order.placed(back, "doc_id").select("place", "domain", "topic", "subtopic", "content", "content_hash")
+    # A path ends in the part's name, which only the writer knows; a folder holds one file.
+    # The order is made in two passes: the files are read once, the records twice.
+    return order.placed(stage(back, "corpus"), "doc_id").select("place", "domain", "topic", "subtopic", "content", "content_hash")
 
 
 @query
