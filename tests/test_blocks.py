@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,20 @@ def test_refresh_counts_changed_texts_only(spark, docs, tmp_path):
     assert rows_of(got.vocab.drop("slot")) == rows_of(wanted.vocab.drop("slot"))
 
 
+def test_a_saved_index_takes_the_staged_tables(spark, docs, queries, tmp_path):
+    wanted = rows_of(lexical.top_documents(queries, lexical.build_index(docs), 5))
+    made = ix.build(docs)
+    staged = [Path(table.staged_in.removeprefix("file:")) for table in (made.lexical.counts, made.lexical.statistics)]
+    ix.save(made, str(tmp_path / "index"), take=True)
+    assert not any(path.exists() for path in staged)
+    found = ix.load(spark, str(tmp_path / "index"))
+    assert rows_of(lexical.top_documents(queries, found.lexical, 5)) == wanted
+    assert rows_of(found.lexical.statistics) == rows_of(lexical.build_index(docs).statistics)
+    # A table that wasn't staged is written, and stays where it was.
+    ix.save(found, str(tmp_path / "again"), take=True)
+    assert rows_of(found.lexical.counts) == rows_of(ix.load(spark, str(tmp_path / "again")).lexical.counts)
+
+
 def test_words_and_pairs_of_lists():
     lists = pa.array([["the", "red", "card", "the", "red", "card"], [], None, ["red"], ["a", "the"]])
     found = kernels.word_terms(lists, pa.array(["the"])).to_pylist()
