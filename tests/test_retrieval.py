@@ -10,8 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from deskloom import fixed, kernels
-from deskloom.operators import chunking, dense, fusion, lexical
+from deskloom.operators import blocks, chunking, dense, fusion, lexical
 from deskloom.plans import index as ix, retrieval
+from deskloom.session import stage
 
 WORDS = "card login refund test page score limit plan error code team email invite export".split()
 
@@ -129,6 +130,38 @@ def test_an_index_is_complete_or_none(spark, docs, tmp_path):
         ix.save(ix.load(spark, f"{folder}-2"), f"{folder}-2")
 
 
+def test_a_search_makes_weights_once_and_passes_on_few_rows(spark, docs, queries, monkeypatch):
+    staged = []
+    monkeypatch.setattr(blocks, "stage", lambda df, name, **options: staged.append(name) or stage(df, name, **options))
+    index = lexical.build_index(docs.repartition(30))
+    index._weights = index.weights.repartition(100)
+    wanted = brute(corpus(), 7)
+    assert as_dict(lexical.top_documents(queries, index, 7, block_rows=2)) == wanted
+    assert staged.count("scanned") == 1
+    tasks = blocks.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert blocks.in_few_tasks(index.weights).rdd.getNumPartitions() <= tasks < 100
+    assert as_dict(lexical.top_documents(queries, index, 7)) == wanted and staged.count("scanned") == 1
+
+
+def test_documents_meet_only_queries_of_their_domain(docs, queries, monkeypatch):
+    index = lexical.build_index(docs)
+    asked = queries.withColumn("domain_filter", F.coalesce("domain_filter", F.lit("")))
+    weights = lexical.query_weights(asked.where("query != ''"), index.vocab, "domain_filter")
+    packed = lexical.pack_queries(weights.where(F.size("postings") > 0).toArrow())
+    batches = index.weights.select("doc_id", "domain", "postings").toArrow().to_batches()
+    met, tiles = [], kernels._sparse_tiles
+    monkeypatch.setattr(kernels, "_sparse_tiles", lambda asked, *rest: met.append(len(asked[0])) or tiles(asked, *rest))
+
+    def found(most):
+        monkeypatch.setattr(kernels, "SPLIT_DOMAINS", most)
+        met.clear()
+        return sorted(row for b in kernels.sparse_top(iter(batches), packed, 7) for row in zip(*b.to_pydict().values()))
+
+    whole = found(-1)
+    assert set(met) == {len(packed[2])}
+    assert found(16) == whole and min(met) < len(packed[2])
+
+
 def test_no_text_is_shuffled_for_an_index(docs, queries):
     index = lexical.build_index(docs)
     plan = index.weights._jdf.queryExecution().executedPlan().toString()
